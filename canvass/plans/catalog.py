@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from canvass.plans import describe
+from canvass.plans import describe, link
 
-MODULES = (describe,)
+MODULES = (describe, link)
 
 
 def queries() -> dict:
