@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.functions.semantics import n_distinct, nan_to_null, pct
 from canvass.operators.effects import spread_over_interviewers
@@ -176,7 +177,7 @@ def arrange(cell_table: DataFrame, small: str, large: str, levels: int) -> Small
     ).limit(levels)
     spark = cell_table.sparkSession
     rows = per_small.collect()
-    index_schema = cell_table.select(F.col(small).alias("__level")).schema.add("__i", "int")
+    index_schema = cell_table.select(F.col(small).alias("__level")).schema.add("__i", T.IntegerType())
     index = F.broadcast(spark.createDataFrame([(r[0], i) for i, r in enumerate(rows)], index_schema))
     numbered = cell_table.join(index, F.col(small).eqNullSafe(F.col("__level")))
     by_large = numbered.groupBy(large).agg(
