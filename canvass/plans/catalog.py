@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from canvass.plans import describe, link
+from canvass.plans import describe, link, models
 
-MODULES = (describe, link)
+MODULES = (describe, link, models)
 
 
 def queries() -> dict:

@@ -15,11 +15,15 @@ from pyspark.sql import types as T
 from canvass.operators.clock import with_clock
 
 
+# Enough digits that a mean over a small power of two of rows never falls half-way between two of them.
+DIGITS = 9
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every double so that two engines can be compared."""
     return df.select(
         *[
@@ -31,7 +35,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def rounded_sql(sql: str, columns: str, digits: int = 6) -> str:
+def rounded_sql(sql: str, columns: str, digits: int = DIGITS) -> str:
     """The same rounding around an SQL query; ``columns`` is a space-separated list."""
     parts = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns.split())
     return f"SELECT * REPLACE ({parts}) FROM ({sql})"
