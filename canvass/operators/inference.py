@@ -7,10 +7,12 @@ Only k x k matrices reach the driver, where they are inverted.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,12 @@ from canvass.session import materialize
 WEBB = (-(1.5**0.5), -1.0, -(0.5**0.5), 0.5**0.5, 1.0, 1.5**0.5)
 COLLINEAR = 1e-10
 TIE = 1e-9
-PAIRS_PER_TASK = 500_000
+# Modulus of the weight hash (the Mersenne prime 2^31 - 1).
+PRIME = 2_147_483_647
+PAIRS_PER_TASK = 1_500_000
+ROWS_PER_TASK = 150_000
+MAX_TASKS = 2_000
+BLOCK = 1_000
 
 
 @dataclass
@@ -136,113 +143,179 @@ def cluster_key(columns: Sequence[str]) -> Column:
     return F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
 
 
-def webb_weight(seed: int, rep: Column, cluster: Column) -> Column:
-    """Weight drawn from a hash of (seed, replication, cluster): the same however data is partitioned."""
-    text = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), cluster)
-    pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 6
-    return F.element_at(F.array(*[F.lit(w) for w in WEBB]), (pick + 1).cast("int"))
+def text_hash(seed: int, kind: str, text: str) -> int:
+    """A number below PRIME for one replication or cluster (first 8 hex digits of an md5)."""
+    return int(hashlib.md5(f"{seed}|{kind}|{text}".encode()).hexdigest()[:8], 16) % PRIME
+
+
+def cluster_hash(seed: int, cluster: Column) -> Column:
+    """The same number for a cluster, in the plan: one md5 per cluster, not per draw."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|c|"), cluster))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PRIME
+
+
+def rep_hashes(seed: int, reps: int) -> list[int]:
+    return [text_hash(seed, "r", str(r)) for r in range(1, reps + 1)]
+
+
+def draw_index(cluster, rep):
+    """Which of the six weights a (cluster, replication) pair gets, from their two hashes.
+
+    Three steps of arithmetic modulo a prime; every product stays below 2^63.  Works on numpy arrays,
+    on plain integers and on Columns alike, and does not depend on how the data is partitioned.
+    """
+    x = (cluster * rep + cluster + rep) % PRIME
+    x = (x * x + cluster) % PRIME
+    x = (x * x + rep) % PRIME
+    return x % 6
 
 
 def _replicated(table: DataFrame, rows: int, reps: int, seed: int) -> DataFrame:
     """Every row once per replication, with its weight; spread out when there are many rows."""
-    tasks = min(int(rows * reps / PAIRS_PER_TASK) + 1, 2_000)
+    tasks = min(int(rows * reps / ROWS_PER_TASK) + 1, MAX_TASKS)
     spread = table.repartition(tasks, "__g") if tasks > 1 else table
-    return spread.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "__w", webb_weight(seed, F.col("__rep"), F.col("__g"))
+    hashes = F.expr("array(" + ", ".join(f"{h}L" for h in rep_hashes(seed, reps)) + ")")
+    options = F.expr("array(" + ", ".join(f"{w!r}D" for w in WEBB) + ")")
+    drawn = spread.withColumn("__ch", cluster_hash(seed, F.col("__g"))).select(
+        "*", F.posexplode(hashes).alias("__rep", "__rh")
     )
+    index = draw_index(F.col("__ch"), F.col("__rh"))
+    return drawn.withColumn("__w", F.element_at(options, (index + 1).cast("int"))).drop("__ch", "__rh")
 
 
-def _quadratic(d: Sequence[Column], m: np.ndarray) -> Column:
-    total = F.lit(0.0)
-    for i in range(len(d)):
-        for j in range(len(d)):
-            total = total + F.lit(float(m[i, j])) * d[i] * d[j]
-    return total
+def _weighted_sums(
+    table: DataFrame, rows: int, plain: list[Column], linear: list[Column], square: list[Column], reps: int, seed: int
+) -> DataFrame:
+    """Per replication: sum of w x for the linear columns and of w^2 x for the square ones.
+
+    That is a (replications x clusters) matrix of weights times a (clusters x columns) matrix.  Spark
+    spreads the clusters over tasks; each task multiplies its blocks and emits one row per
+    replication, and the partial sums are added up by replication.  Replication 0 has weight one
+    everywhere and also carries the plain sums.
+    """
+    chosen = table.select(cluster_hash(seed, F.col("__g")).alias("__ch"), *plain, *linear, *square)
+    names = chosen.columns[1:]
+    once_end, linear_end = len(plain), len(plain) + len(linear)
+    hashes = np.array(rep_hashes(seed, reps), dtype=np.int64)
+    weights = np.array(WEBB)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((reps + 1, len(names)))
+        for batch in batches:
+            values = batch[names].to_numpy(float)
+            keys = batch["__ch"].to_numpy(np.int64)
+            for at in range(0, len(batch), BLOCK):
+                x = values[at : at + BLOCK]
+                w = weights[draw_index(keys[None, at : at + BLOCK], hashes[:, None])]
+                total[0] += x.sum(axis=0)
+                total[1:, once_end:linear_end] += w @ x[:, once_end:linear_end]
+                total[1:, linear_end:] += (w * w) @ x[:, linear_end:]
+        out = pd.DataFrame(total, columns=names)
+        out.insert(0, "__rep", np.arange(reps + 1, dtype=np.int32))
+        yield out
+
+    tasks = min(int(rows * reps / PAIRS_PER_TASK) + 1, MAX_TASKS)
+    spread = chosen.repartition(tasks) if tasks > 1 else chosen.coalesce(1)
+    schema = "__rep int, " + ", ".join(f"{c} double" for c in names)
+    parts = spread.mapInPandas(multiply, schema)
+    return parts.groupBy("__rep").agg(*[F.sum(c).alias(c) for c in names])
 
 
 @dataclass
 class ClusterResult:
+    """Clusters with rows, sum of squared scores, projected cross-products, bootstrap p-value."""
+
     groups: int
     meat: float
+    projected: np.ndarray
     p: float | None = None
 
 
-def _cluster_totals(
-    table: DataFrame, solutions: Sequence[Solution], picked: Sequence[int]
-) -> tuple[list[ClusterResult], list[np.ndarray]]:
-    """Number of clusters, sum of squared scores and projected cross-product matrix, per spec."""
-    aggs = []
-    for i in picked:
-        s = solutions[i]
-        c = [F.col(s.col(i, "c", j)) for j in range(len(s.kept) + 1)]
-        aggs += [
-            F.count_if(F.col(s.col(i, "n")) > 0).alias(s.col(i, "g")),
-            F.sum(F.col(s.col(i, "u")) ** 2).alias(s.col(i, "uu")),
-            *[
-                F.sum(c[a] * c[b]).alias(s.col(i, "cc", a, b))
-                for a in range(len(c))
-                for b in range(a, len(c))
-            ],
+def _total_columns(s: Solution, i: int) -> list[Column]:
+    """What is summed over clusters without weights: clusters, squared scores, projected cross-products."""
+    c = [F.col(s.col(i, "c", j)) for j in range(len(s.kept) + 1)]
+    u = F.col(s.col(i, "u"))
+    return [
+        (F.col(s.col(i, "n")) > 0).cast("double").alias(s.col(i, "g")),
+        (u * u).alias(s.col(i, "uu")),
+        *[(c[a] * c[b]).alias(s.col(i, "cc", a, b)) for a in range(len(c)) for b in range(a, len(c))],
+    ]
+
+
+def _draw_columns(s: Solution, i: int) -> tuple[list[Column], list[Column]]:
+    """What is summed with weights w, and with w squared, in every replication."""
+    alpha = F.col(s.col(i, "al"))
+    linear = []
+    for j in range(len(s.kept) + 1):
+        linear += [
+            F.col(s.col(i, "w", j)).alias(s.col(i, "P", j)),
+            (alpha * F.col(s.col(i, "c", j))).alias(s.col(i, "R", j)),
         ]
-    row = table.agg(*aggs).first()
-    results, matrices = [], []
+    return linear, [(alpha * alpha).alias(s.col(i, "Q"))]
+
+
+def _read_totals(row, solutions: Sequence[Solution], picked: Sequence[int]) -> list[ClusterResult]:
+    out = []
     for i in picked:
         s = solutions[i]
         m = np.zeros((len(s.kept) + 1,) * 2)
         for a in range(m.shape[0]):
             for b in range(a, m.shape[0]):
                 m[a, b] = m[b, a] = row[s.col(i, "cc", a, b)] or 0.0
-        results.append(ClusterResult(int(row[s.col(i, "g")] or 0), float(row[s.col(i, "uu")] or 0.0)))
-        matrices.append(m)
-    return results, matrices
+        out.append(ClusterResult(int(round(row[s.col(i, "g")] or 0)), float(row[s.col(i, "uu")] or 0.0), m))
+    return out
+
 
+def _cluster_totals(table: DataFrame, solutions: Sequence[Solution], picked: Sequence[int]) -> list[ClusterResult]:
+    columns = [c for i in picked for c in _total_columns(solutions[i], i)]
+    wide = table.select(*columns)
+    return _read_totals(wide.agg(*[F.sum(c).alias(c) for c in wide.columns]).first(), solutions, picked)
 
-def _exceed(s: Solution, i: int, result: ClusterResult, matrix: np.ndarray, square: Column, mixed: list[Column]) -> Column:
-    """TRUE when the replication's |t| is larger than the observed one.
 
-    Squares are compared: the small-sample factor is the same on both sides.
+def _p_values(draws: pd.DataFrame, solutions: Sequence[Solution], picked: Sequence[int], results: Sequence[ClusterResult]) -> None:
+    """Share of replications whose |t| exceeds the observed one.
+
+    ``draws`` has one row of sums per replication.  Squares are compared, and the small-sample factor
+    is left out because it is the same on both sides.
     """
-    sums = [F.col(s.col(i, "P", j)) for j in range(len(s.kept) + 1)]
-    d = [sums[0] / F.lit(float(s.fit.n)), *[_dot(row, sums[1:]) for row in s.inverse]]
-    variance = square - 2 * _dot([1.0] * len(d), [x * y for x, y in zip(d, mixed)]) + _quadratic(d, matrix)
-    observed = float(s.beta[0] ** 2 / result.meat)
-    drawn = F.try_divide(d[1] * d[1], F.when(variance > 0, variance))
-    return F.coalesce(drawn > observed * (1 + TIE), F.lit(False))
+    for i, result in zip(picked, results):
+        s = solutions[i]
+        if result.meat <= 0:
+            continue
+        size = len(s.kept) + 1
+        sums = draws[[s.col(i, "P", j) for j in range(size)]].to_numpy(float)
+        mixed = draws[[s.col(i, "R", j) for j in range(size)]].to_numpy(float)
+        d = np.c_[sums[:, 0] / s.fit.n, sums[:, 1:] @ s.inverse.T]
+        square = draws[s.col(i, "Q")].to_numpy(float)
+        variance = square - 2 * (d * mixed).sum(axis=1) + np.einsum("ra,ab,rb->r", d, result.projected, d)
+        observed = s.beta[0] ** 2 / result.meat
+        result.p = float(np.mean((variance > 0) & (d[:, 1] ** 2 > observed * (1 + TIE) * variance)))
 
 
 def _bootstrap_plain(
-    table: DataFrame, solutions: Sequence[Solution], picked: Sequence[int], results, matrices, reps: int, seed: int
-) -> None:
-    """Replications x clusters on the cluster table; one aggregation for all specs."""
-    rows = max(r.groups for r in results)
-    w = F.col("__w")
-    aggs = []
+    table: DataFrame, rows: int, solutions: Sequence[Solution], picked: Sequence[int], reps: int, seed: int
+) -> list[ClusterResult]:
+    """Cluster totals and all replications of all specs in one pass over the cluster table."""
+    plain, linear, square = [], [], []
     for i in picked:
-        s = solutions[i]
-        alpha = F.col(s.col(i, "al"))
-        for j in range(len(s.kept) + 1):
-            aggs.append(F.sum(w * F.col(s.col(i, "w", j))).alias(s.col(i, "P", j)))
-            aggs.append(F.sum(w * alpha * F.col(s.col(i, "c", j))).alias(s.col(i, "R", j)))
-        aggs.append(F.sum(w * w * alpha * alpha).alias(s.col(i, "Q")))
-    draws = _replicated(table, rows, reps, seed).groupBy("__rep").agg(*aggs)
-    hits = []
-    for i, result, matrix in zip(picked, results, matrices):
-        s = solutions[i]
-        mixed = [F.col(s.col(i, "R", j)) for j in range(len(s.kept) + 1)]
-        hits.append(F.count_if(_exceed(s, i, result, matrix, F.col(s.col(i, "Q")), mixed)).alias(f"p{i}"))
-    row = draws.agg(*hits).first()
-    for i, result in zip(picked, results):
-        result.p = row[f"p{i}"] / reps
+        more_linear, more_square = _draw_columns(solutions[i], i)
+        plain += _total_columns(solutions[i], i)
+        linear += more_linear
+        square += more_square
+    sums = _weighted_sums(table, rows, plain, linear, square, reps, seed).toPandas().set_index("__rep")
+    results = _read_totals(sums.loc[0], solutions, picked)
+    _p_values(sums.drop(index=0), solutions, picked, results)
+    return results
 
 
 def _bootstrap_absorbed(
     cells: DataFrame,
+    rows: int,
     fe: Sequence[str],
     cluster: Sequence[str],
     solutions: Sequence[Solution],
     picked: Sequence[int],
-    results,
-    matrices,
+    results: Sequence[ClusterResult],
     reps: int,
     seed: int,
 ) -> None:
@@ -263,38 +336,29 @@ def _bootstrap_absorbed(
         ]
     base = cells.select(*cols)
     w = F.col("__w")
-    drawn = _replicated(base, cells.count(), reps, seed)
+    drawn = _replicated(base, rows, reps, seed)
     shift = drawn.groupBy("__rep", F.col("__f").alias("__f2")).agg(
-        *[F.try_divide(F.sum(w * F.col(solutions[i].col(i, "e"))), F.max(solutions[i].col(i, "ng"))).alias(f"mu{i}") for i in picked]
+        *[
+            F.try_divide(F.sum(w * F.col(solutions[i].col(i, "e"))), F.max(solutions[i].col(i, "ng"))).alias(f"mu{i}")
+            for i in picked
+        ]
     )
     shift = shift.withColumnRenamed("__rep", "__rep2")
     joined = drawn.join(shift, (F.col("__rep") == F.col("__rep2")) & F.col("__f").eqNullSafe(F.col("__f2")))
-    per_cluster = []
-    for i in picked:
-        s = solutions[i]
-        z = w * F.col(s.col(i, "al")) - F.col(s.col(i, "at")) * F.coalesce(F.col(f"mu{i}"), F.lit(0.0))
-        per_cluster.append(F.sum(z).alias(s.col(i, "z")))
-        for j in range(len(s.kept) + 1):
-            per_cluster.append(F.sum(w * F.col(s.col(i, "w", j))).alias(s.col(i, "w", j)))
-            per_cluster.append(F.sum(s.col(i, "c", j)).alias(s.col(i, "c", j)))
-    by_cluster = joined.groupBy("__rep", "__g").agg(*per_cluster)
-    aggs = []
+    per_cluster, aggs = [], []
     for i in picked:
         s = solutions[i]
         z = F.col(s.col(i, "z"))
+        shifted = w * F.col(s.col(i, "al")) - F.col(s.col(i, "at")) * F.coalesce(F.col(f"mu{i}"), F.lit(0.0))
+        per_cluster.append(F.sum(shifted).alias(s.col(i, "z")))
         aggs.append(F.sum(z * z).alias(s.col(i, "Q")))
         for j in range(len(s.kept) + 1):
+            per_cluster.append(F.sum(w * F.col(s.col(i, "w", j))).alias(s.col(i, "w", j)))
+            per_cluster.append(F.sum(s.col(i, "c", j)).alias(s.col(i, "c", j)))
             aggs.append(F.sum(s.col(i, "w", j)).alias(s.col(i, "P", j)))
             aggs.append(F.sum(z * F.col(s.col(i, "c", j))).alias(s.col(i, "R", j)))
-    draws = by_cluster.groupBy("__rep").agg(*aggs)
-    hits = []
-    for i, result, matrix in zip(picked, results, matrices):
-        s = solutions[i]
-        mixed = [F.col(s.col(i, "R", j)) for j in range(len(s.kept) + 1)]
-        hits.append(F.count_if(_exceed(s, i, result, matrix, F.col(s.col(i, "Q")), mixed)).alias(f"p{i}"))
-    row = draws.agg(*hits).first()
-    for i, result in zip(picked, results):
-        result.p = row[f"p{i}"] / reps
+    draws = joined.groupBy("__rep", "__g").agg(*per_cluster).groupBy("__rep").agg(*aggs)
+    _p_values(draws.toPandas(), solutions, picked, results)
 
 
 def _hc1_sums(df: DataFrame, solutions: Sequence[Solution], picked: Sequence[int], cells: DataFrame) -> dict[int, float]:
@@ -354,7 +418,7 @@ def regress(
     """
     levels = list(clusters)
     bootstrap = levels if bootstrap is None else list(bootstrap)
-    fits, which, raw_cells, cells = fit_moments(df, specs, [clusters[c] for c in levels])
+    fits, which, raw_cells, cells, sizes = fit_moments(df, specs, [clusters[c] for c in levels])
     for fe in {f.fe for f in fits if f.fe}:
         same = [f for f in fits if f.fe == fe]
         counted = cells.groupBy(*fe).agg(*[F.sum(f.col("n")).alias(f.col("n")) for f in same])
@@ -391,7 +455,13 @@ def regress(
             table = roll_up(cells, own, keys).select(
                 cluster_key(keys).alias("__g"), *[x for i in picked for x in _cluster_columns(i, solutions[i])]
             )
-            results, matrices = _cluster_totals(table, solutions, picked)
+            wanted = c in bootstrap
+            if wanted and not fe:
+                results = _bootstrap_plain(table, sizes[levels.index(c)], solutions, picked, reps, seed)
+            else:
+                results = _cluster_totals(table, solutions, picked)
+            if wanted and fe:
+                _bootstrap_absorbed(cells, sizes[-1], list(fe), keys, solutions, picked, results, reps, seed)
             for i, r in zip(picked, results):
                 s = solutions[i]
                 extra = s.fit.levels if s.fit.fe and fe_dof == "all" else 1
@@ -400,17 +470,8 @@ def regress(
                 if r.groups >= 2 and n > params:
                     factor = r.groups / (r.groups - 1) * (n - 1) / (n - params)
                     records[i][f"se_{c}"] = _root(factor * r.meat)
-            sound = [j for j, i in enumerate(picked) if records[i][f"se_{c}"] is not None]
-            if c not in bootstrap or not sound:
-                continue
-            chosen = [picked[j] for j in sound]
-            res, mats = [results[j] for j in sound], [matrices[j] for j in sound]
-            if fe:
-                _bootstrap_absorbed(cells, list(fe), keys, solutions, chosen, res, mats, reps, seed)
-            else:
-                _bootstrap_plain(table, solutions, chosen, res, mats, reps, seed)
-            for i, r in zip(chosen, res):
-                records[i][f"p_boot_{c}"] = r.p
+                if records[i][f"se_{c}"] is not None:
+                    records[i][f"p_boot_{c}"] = r.p
     return [records[i] for i in reported]
 
 

@@ -102,7 +102,8 @@ def cell_moments(df: DataFrame, fits: Sequence[Fit], keys: Sequence[str]) -> Dat
         aggs.append(n.alias(f.col("n")))
         aggs += [F.coalesce(F.avg(v[j]), F.lit(0.0)).alias(f.col("m", j)) for j in range(f.k + 1)]
         aggs += [
-            F.coalesce(n * F.covar_pop(v[i], v[j]), F.lit(0.0)).alias(f.col("c", i, j)) for i, j in _pairs(f.k + 1)
+            F.coalesce(n * (F.var_pop(v[i]) if i == j else F.covar_pop(v[i], v[j])), F.lit(0.0)).alias(f.col("c", i, j))
+            for i, j in _pairs(f.k + 1)
         ]
     return masked_variables(df, fits, keys).groupBy(*keys).agg(*aggs)
 
@@ -167,21 +168,26 @@ def roll_up(cells: DataFrame, fits: Sequence[Fit], keys: Sequence[str]) -> DataF
     return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in additive_columns(fits)])
 
 
-def add_totals(cells: DataFrame, fits: Sequence[Fit]) -> None:
-    """Set each fit's total cross-product matrix (regressors first, outcome last)."""
+def add_totals(cells: DataFrame, fits: Sequence[Fit], levels: Sequence[Sequence[str]]) -> list[int]:
+    """Set each fit's total cross-product matrix (regressors first, outcome last).
+
+    Returns about how many clusters each level has, and the number of cells; used to size tasks.
+    """
     aggs = [F.sum(f.col("s", i, j)).alias(f.col("s", i, j)) for f in fits for i, j in _pairs(f.k + 1)]
-    row = cells.agg(*aggs).first()
+    aggs += [F.approx_count_distinct(F.struct(*keys)).alias(f"size_{i}") for i, keys in enumerate(levels)]
+    row = cells.agg(*aggs, F.count(F.lit(1)).alias("cells")).first()
     for f in fits:
         m = np.zeros((f.k + 1, f.k + 1))
         for i, j in _pairs(f.k + 1):
             m[i, j] = m[j, i] = row[f.col("s", i, j)] or 0.0
         f.cross = m
+    return [*[int(row[f"size_{i}"]) for i in range(len(levels))], int(row["cells"])]
 
 
 def fit_moments(
     df: DataFrame, specs: Sequence[Spec], clusters: Sequence[Sequence[str]]
-) -> tuple[list[Fit], list[int], DataFrame, DataFrame]:
-    """Fits with totals, the fit of each spec, and the cells (raw, centred) keyed by all cluster columns.
+) -> tuple[list[Fit], list[int], DataFrame, DataFrame, list[int]]:
+    """Fits with totals, the fit of each spec, the cells (raw, centred) keyed by all cluster columns, sizes.
 
     The cell table is written to the checkpoint folder: the rows are scanned once however many
     standard errors and bootstraps are derived from it.
@@ -195,5 +201,5 @@ def fit_moments(
     centred = centred_cells(cells, fits, keys)
     if any(f.fe for f in fits):
         centred = materialize(centred)
-    add_totals(centred, fits)
-    return fits, which, cells, centred
+    sizes = add_totals(centred, fits, clusters)
+    return fits, which, cells, centred, sizes

@@ -1,19 +1,16 @@
 """Regression and bootstrap against row-level refitting in numpy."""
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pytest
 
 from canvass.operators.inference import (
-    WEBB, flip_summary, fragile, inference_table, outcome_specs, regress, significance_code, survivors, tidy, verdict)
+    WEBB, draw_index, flip_summary, fragile, inference_table, outcome_specs, regress, significance_code, survivors, text_hash, tidy, verdict)
 from canvass.operators.moments import Spec
 
 
 def weight(seed, rep, cluster):
-    h = hashlib.md5(f"{seed}|{rep}|{cluster}".encode()).hexdigest()[:8]
-    return WEBB[int(h, 16) % 6]
+    return WEBB[draw_index(text_hash(seed, "c", str(cluster)), text_hash(seed, "r", str(rep)))]
 
 
 def ols(X, y):
@@ -55,6 +52,20 @@ def boot(X, y, g, j, reps, seed, params=None):
     return hits / reps
 
 
+def test_weights_look_like_independent_draws():
+    clusters = np.array([text_hash(42, "c", str(i)) for i in range(400)], dtype=np.int64)
+    reps = np.array([text_hash(42, "r", str(i)) for i in range(1, 1000)], dtype=np.int64)
+    pick = draw_index(clusters[None, :], reps[:, None])
+    share = np.bincount(pick.ravel(), minlength=6) / pick.size
+    assert np.abs(share - 1 / 6).max() < 5 * np.sqrt(5 / 36 / pick.size)
+    w = np.array(WEBB)[pick]
+    between_clusters = np.corrcoef(w.T)[np.triu_indices(400, 1)]
+    between_reps = np.corrcoef(w)[np.triu_indices(999, 1)]
+    for r, n in ((between_clusters, 999), (between_reps, 400)):
+        assert abs(r.std() * np.sqrt(n) - 1) < 0.02
+        assert np.abs(r).max() < 6 / np.sqrt(n)
+
+
 def frame(n=600, seed=3):
     rng = np.random.default_rng(seed)
     g = rng.choice(12, n, p=np.r_[[1 / 3], np.full(11, 2 / 33)])
