@@ -207,7 +207,8 @@ def nearest_names(
         .agg(F.min(F.struct(*right_order)).alias("__ord"))
     )
     names = usable(left, left_name).groupBy(*blocks, F.col(left_name).alias("__l")).agg(F.count(F.lit(1)).alias("n"))
-    r = materialize(r)
+    # the rounds are bound by comparisons, not by bytes, so the names are spread over all cores
+    r = materialize(r.repartition(left.sparkSession.sparkContext.defaultParallelism))
     rx = r.select(*[F.col(b).alias(f"__rb_{b}") for b in blocks], "__r", "__ord")
     same = F.col("__l") == F.col("__r")
     for b in blocks:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators import linkage
 from canvass.plans.inputs import rounded, rounded_sql, table
+from canvass.session import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,9 +40,9 @@ def left_words(spark, sf):
     return _words(table(spark, sf, "benchmark"), "item_id").select("item_id", linkage.normalize_name("word").alias("word"))
 
 
-def _nearest(spark, sf, max_dist=3):
-    right = gazetteer(spark, sf).withColumnRenamed("word", "place")
-    return linkage.nearest_names(left_words(spark, sf), right, "word", "place", ["code", "place"], max_dist)
+def _nearest(spark, sf, right=None):
+    right = gazetteer(spark, sf).withColumnRenamed("word", "place") if right is None else right
+    return linkage.nearest_names(left_words(spark, sf), right, "word", "place", ["code", "place"])
 
 
 WORDS = """
@@ -135,8 +136,8 @@ val AS (SELECT rated.*, survey_n, survey_pct FROM rated JOIN survey ON rated.wor
 
 
 def _linked(spark, sf):
-    right = gazetteer(spark, sf).withColumnRenamed("word", "place")
-    linked = linkage.fuzzy_link(left_words(spark, sf), _nearest(spark, sf), "word")
+    right = materialize(gazetteer(spark, sf).withColumnRenamed("word", "place"))
+    linked = linkage.fuzzy_link(left_words(spark, sf), _nearest(spark, sf, right), "word")
     return linkage.attach_first(linked, right, "place", ["code", "place"])
 
 
