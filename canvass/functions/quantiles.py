@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canvass.functions.semantics import nan_to_null
+from canvass.functions.semantics import all_of, nan_to_null
+from canvass.functions.skew import join_per_key
+from canvass.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -46,7 +48,7 @@ def continuous_summary(
 ) -> DataFrame:
     """The same summary for a measurement with any number of distinct levels.
 
-    One pass builds a quantile sketch per group and brackets every wanted rank between two values
+    One pass builds a quantile sketch per group (kept in a checkpoint) and brackets every wanted rank between two values
     (the sketch guarantees a rank error below n/accuracy).  The second pass counts the rows under
     each bracket and keeps only the values inside it, so the part of a group that has to be ordered
     is about 8/accuracy of it; a group of at most ``accuracy`` rows is kept whole.  The result is exact.
@@ -78,14 +80,11 @@ def continuous_summary(
         ]
     )
     sketch = sketch.withColumn("__b", brackets).drop("__e")
-    bounds = sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__b")
     if keys:
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        rows = base.join(bounds, on, "inner").select(*keys, "__v", "__b")
+        sketch = materialize(sketch)
+        rows = join_per_key(base, sketch.select(*keys, "n", "__b"), keys, "n")
     else:
-        rows = base.withColumn("__b", bounds.scalar())
+        rows = base.withColumn("__b", sketch.select("__b").scalar())
     # a value above every bracket yields no row; one below a bracket is only counted
     rows = rows.select(*keys, "__v", F.explode(F.expr("filter(__b, b -> __v <= b.hi)")).alias("b")).select(
         *keys,
@@ -113,9 +112,7 @@ def continuous_summary(
     )
     stats = sketch.select(*keys, "n", "min", "mean", "max")
     if keys:
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        on = all_of(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)
         joined = stats.join(picked, on, "left")
     else:
         joined = stats.withColumn("q", picked.scalar())

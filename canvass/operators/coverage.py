@@ -50,10 +50,18 @@ def size_mean_median(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> D
 
 
 def cluster_structure(df: DataFrame, clusters: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Number of clusters, smallest, median and largest size and their ratio, per cluster level."""
+    """Number of clusters, smallest, median and largest size and their ratio, per cluster level.
+
+    The rows are grouped once by all key columns; every level is added up from those counts.
+    """
+    every: list[str] = []
+    for keys in clusters.values():
+        every += [k for k in keys if k not in every]
+    finest = count_by(df, every, "__rows")
     parts = []
     for level, keys in clusters.items():
-        s = discrete_summary(count_by(df, keys), [], "n", (0.5,))
+        sizes = finest.groupBy(*keys).agg(F.sum("__rows").alias("n"))
+        s = discrete_summary(sizes, [], "n", (0.5,))
         parts.append(
             s.select(
                 F.lit(level).alias("level"),

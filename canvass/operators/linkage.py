@@ -262,11 +262,14 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return picked.select("__row.*")
 
 
-def attach_first(linked: DataFrame, right: DataFrame, right_name: str, right_order: Sequence[str]) -> DataFrame:
-    """Add the other columns of the first gazetteer row that carries the matched name."""
+def attach_first(nearest: DataFrame, right: DataFrame, right_name: str, right_order: Sequence[str]) -> DataFrame:
+    """Add the other columns of the first gazetteer row that carries the matched name.
+
+    Done on the table of distinct names, before :func:`fuzzy_link` spreads it over the rows.
+    """
     first = first_rows(right.where(F.col(right_name).isNotNull()), [right_name], right_order)
     first = first.withColumnRenamed(right_name, "__right_name")
-    return linked.join(first, F.col("matched_name") == F.col("__right_name")).drop("__right_name")
+    return nearest.join(first, F.col("matched_name") == F.col("__right_name")).drop("__right_name")
 
 
 def match_quality(nearest: DataFrame) -> DataFrame:
@@ -297,9 +300,12 @@ def link_via_code(
     """Linked rows -> numeric code -> id -> attributes, one row per ``per``.
 
     Codes are compared as numbers; text that is not a number, and missing codes, match nothing.
-    When a code leads to several ids the first row by ``order`` stays.
+    When a code leads to several ids the first row by ``order`` stays.  Rows with the same ``per`` and
+    code meet the same ids, so only the first of them goes into the join.
     """
     number = F.col(code).try_cast("double")
+    known_order = [c for c in order if c in linked.columns] or [code]
+    linked = first_rows(linked.where(number.isNotNull()), [*per, code], known_order)
     k = keys.select(F.col(key_code).try_cast("double").alias("__code"), F.col(key_id)).where(
         F.col("__code").isNotNull() & F.col(key_id).isNotNull()
     )

@@ -137,8 +137,8 @@ val AS (SELECT rated.*, survey_n, survey_pct FROM rated JOIN survey ON rated.wor
 
 def _linked(spark, sf):
     right = materialize(gazetteer(spark, sf).withColumnRenamed("word", "place"))
-    linked = linkage.fuzzy_link(left_words(spark, sf), _nearest(spark, sf, right), "word")
-    return linkage.attach_first(linked, right, "place", ["code", "place"])
+    near = linkage.attach_first(_nearest(spark, sf, right), right, "place", ["code", "place"])
+    return linkage.fuzzy_link(left_words(spark, sf), near, "word")
 
 
 def _resolved(spark, sf):

@@ -405,7 +405,35 @@ def one_way_r2(spark, sf):
     return variance.one_way_r2(variance.centre(c))
 
 
-@query()
+def two_way_sql(label: str, y: str, steps: int = 25) -> str:
+    """Both group effects by alternating means over the cells, written out step by step."""
+    chain = []
+    for t in range(1, steps + 1):
+        before = f"b{t - 1}" if t > 1 else "(SELECT b, 0.0 AS e FROM sb)"
+        chain += [
+            f"a{t} AS MATERIALIZED (SELECT k.a, (any_value(sa.s) - sum(k.n * p.e)) / any_value(sa.n) AS e FROM cell k "
+            f"JOIN {before} p ON k.b = p.b JOIN sa ON k.a = sa.a GROUP BY k.a)",
+            f"b{t} AS MATERIALIZED (SELECT k.b, (any_value(sb.s) - sum(k.n * p.e)) / any_value(sb.n) AS e FROM cell k "
+            f"JOIN a{t} p ON k.a = p.a JOIN sb ON k.b = sb.b GROUP BY k.b)",
+        ]
+    return f"""(WITH {LINE_ROWS}, r0 AS (SELECT price_group AS a, supplier AS b, {y} AS y FROM d WHERE {y} IS NOT NULL),
+  r1 AS (SELECT * FROM r0 QUALIFY count(*) OVER (PARTITION BY a) >= 5),
+  r2 AS (SELECT * FROM r1 QUALIFY count(*) OVER (PARTITION BY b) >= 5),
+  r3 AS MATERIALIZED (SELECT a, b, y - avg(y) OVER () AS y FROM r2),
+  cell AS MATERIALIZED (SELECT a, b, count(*) AS n FROM r3 GROUP BY 1, 2),
+  sa AS MATERIALIZED (SELECT a, count(*) AS n, sum(y) AS s FROM r3 GROUP BY 1),
+  sb AS MATERIALIZED (SELECT b, count(*) AS n, sum(y) AS s FROM r3 GROUP BY 1),
+  {', '.join(chain)},
+  x AS (SELECT (SELECT count(*) FROM r3) AS n, (SELECT sum(y * y) FROM r3) AS sst,
+    (SELECT sum(s * s / n) FROM sa) AS ea, (SELECT sum(s * s / n) FROM sb) AS eb,
+    (SELECT sum(sa.s * p.e) FROM sa JOIN a{steps} p ON sa.a = p.a)
+      + (SELECT sum(sb.s * p.e) FROM sb JOIN b{steps} p ON sb.b = p.b) AS eab)
+  SELECT '{label}' AS outcome, n, ea / sst AS r2_a, eb / sst AS r2_b, eab / sst AS r2_both,
+    (eab - ea) / sst AS r2_b_given_a FROM x)"""
+
+
+@query(rounded_sql(" UNION ALL ".join(two_way_sql(label, y) for label, y in MOMENT_OUTCOMES.items()),
+                   "r2_a r2_b r2_both r2_b_given_a"))
 def fe_r2(spark, sf):
     return variance.fe_r2(line_rows(spark, sf), MOMENT_OUTCOMES, "price_group", "supplier")
 

@@ -84,7 +84,7 @@ def test_ties_take_the_first_row_and_its_columns(spark):
     l = spark.createDataFrame([("CAT", 1), ("CAT", 2), ("DOG", 3)], "l string, id int")
     r = spark.createDataFrame([("BAT", 2, "two"), ("HAT", 1, "one"), ("HAT", 5, "five"), ("DOG", 9, "nine")], "r string, ord int, tag string")
     near = L.nearest_names(l, r, "l", "r", ["ord"], 3)
-    linked = L.attach_first(L.fuzzy_link(l, near, "l"), r, "r", ["ord"])
+    linked = L.fuzzy_link(l, L.attach_first(near, r, "r", ["ord"]), "l")
     assert sorted((x.id, x.match_distance, x.matched_name, x.tag) for x in linked.collect()) == [
         (1, 1, "HAT", "one"), (2, 1, "HAT", "one"), (3, 0, "DOG", "nine")]
     assert {x.match_distance: (x.n_names, x.n_rows) for x in L.match_quality(near).collect()} == {0: (1, 1), 1: (1, 2)}
