@@ -256,52 +256,65 @@ def weighted_grams(f: SmallFactor, thetas: Sequence[float | None]) -> list[Gram]
 
 # ---------------------------------------------------------------- REML
 
-def _criterion(f: SmallFactor, g: Gram, theta: float) -> tuple[float, float]:
-    """Profiled REML criterion and residual variance; ``g`` carries the larger factor's theta.
+@dataclass
+class Profile:
+    """REML criterion along the smaller factor's scale, for a fixed scale of the larger factor.
 
-    The larger factor is eliminated exactly (its block is diagonal), the smaller one by a Cholesky
-    factor of its own size, then the intercept.
+    The larger factor is already eliminated (its block is diagonal).  With the eigenvalues of what is
+    left, every further evaluation costs only the number of levels of the smaller factor.
     """
-    n = float(f.total_n)
-    lead = theta * theta
-    m = np.eye(len(f.n_small)) + lead * (np.diag(f.n_small) - g.nn)
-    one, rhs = theta * (f.n_small - g.n1), theta * (f.s_small - g.ns)
-    chol = np.linalg.cholesky(m)
-    v1, vy = np.linalg.solve(chol, one), np.linalg.solve(chol, rhs)
-    q11 = n - g.scalars["nn"] - v1 @ v1
-    q1y = float(f.s_small.sum()) - g.scalars["ns"] - v1 @ vy
-    qyy = f.total_ss - g.scalars["ss"] - vy @ vy
-    r2 = max(qyy - q1y * q1y / q11, 1e-300)
-    value = g.scalars["log_d"] + 2 * np.log(np.diag(chol)).sum() + np.log(q11) + (n - 1) * (1 + np.log(2 * np.pi * r2 / (n - 1)))
-    return float(value), r2 / (n - 1)
-
-
-def _best_theta(f: SmallFactor, g: Gram) -> tuple[float, float, float]:
-    """Best theta of the smaller factor for a fixed larger one: (criterion, theta, residual variance)."""
+
+    values: np.ndarray
+    one: np.ndarray
+    rhs: np.ndarray
+    log_d: float
+    q11: float
+    q1y: float
+    qyy: float
+    n: int
+
+    @classmethod
+    def of(cls, f: SmallFactor, g: Gram) -> Profile:
+        values, vectors = np.linalg.eigh(np.diag(f.n_small) - g.nn)
+        return cls(
+            np.maximum(values, 0.0),
+            vectors.T @ (f.n_small - g.n1),
+            vectors.T @ (f.s_small - g.ns),
+            g.scalars["log_d"],
+            f.total_n - g.scalars["nn"],
+            float(f.s_small.sum()) - g.scalars["ns"],
+            f.total_ss - g.scalars["ss"],
+            f.total_n,
+        )
+
+    def __call__(self, theta: float) -> tuple[float, float]:
+        """Criterion and residual variance."""
+        scale = 1.0 + theta * theta * self.values
+        share = theta * theta / scale
+        q11 = self.q11 - share @ (self.one * self.one)
+        q1y = self.q1y - share @ (self.one * self.rhs)
+        qyy = self.qyy - share @ (self.rhs * self.rhs)
+        r2 = max(qyy - q1y * q1y / q11, 1e-300)
+        free = self.n - 1
+        fit = free * (1 + np.log(2 * np.pi * r2 / free))
+        return float(self.log_d + np.log(scale).sum() + np.log(q11) + fit), r2 / free
+
+
+def _best_theta(profile: Profile) -> tuple[float, float, float]:
+    """Best scale of the smaller factor: (criterion, theta, residual variance)."""
     grid = np.r_[0.0, np.geomspace(1e-4, 1e4, 33)]
-    values = [_criterion(f, g, t)[0] for t in grid]
+    values = [profile(t)[0] for t in grid]
     at = int(np.argmin(values))
     lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
     golden = (np.sqrt(5) - 1) / 2
-    c, d = hi - golden * (hi - lo), lo + golden * (hi - lo)
-    fc, fd = _criterion(f, g, c)[0], _criterion(f, g, d)[0]
-    for _ in range(60):
-        if fc < fd:
-            hi, d, fd = d, c, fc
-            c = hi - golden * (hi - lo)
-            fc = _criterion(f, g, c)[0]
+    while hi - lo > 1e-9 * (1 + hi):
+        c, d = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        if profile(c)[0] < profile(d)[0]:
+            hi = d
         else:
-            lo, c, fc = c, d, fd
-            d = lo + golden * (hi - lo)
-            fd = _criterion(f, g, d)[0]
-        if hi - lo < 1e-9 * (1 + hi):
-            break
-    theta = (lo + hi) / 2
-    value, sigma2 = _criterion(f, g, theta)
-    if values[at] < value:
-        theta = grid[at]
-        value, sigma2 = _criterion(f, g, theta)
-    return value, float(theta), sigma2
+            lo = c
+    theta = min(((lo + hi) / 2, float(grid[at])), key=lambda t: profile(t)[0])
+    return (profile(theta)[0], theta, profile(theta)[1])
 
 
 def reml_components(f: SmallFactor, rounds: int = 5, width: int = 16) -> tuple[float, float, float]:
@@ -315,7 +328,7 @@ def reml_components(f: SmallFactor, rounds: int = 5, width: int = 16) -> tuple[f
     for _ in range(rounds):
         found = []
         for theta, g in zip(grid, weighted_grams(f, grid)):
-            value, small, sigma2 = _best_theta(f, g)
+            value, small, sigma2 = _best_theta(Profile.of(f, g))
             found.append((value, theta, small, sigma2))
         at = int(np.argmin([x[0] for x in found]))
         if best is None or found[at][0] < best[0]:
