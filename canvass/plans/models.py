@@ -390,7 +390,8 @@ def variance_components(spark, sf):
 
 
 @query(rounded_sql(" UNION ALL ".join(
-    f"SELECT outcome, '{name}' AS component, {expr} AS variance_share FROM ({moments_sql({'Mixed': 'mixed'})})"
+    f"SELECT outcome, '{name}' AS component, {expr} AS variance_share FROM ({moments_sql({'Mixed': 'mixed'})}) "
+    "WHERE levels_a > 10 AND levels_b > 10 AND n >= 100"
     for name, expr in [("Price group", "icc_a"), ("Supplier", "icc_b"), ("Residual", "1 - icc_a - icc_b")]),
     "variance_share", 4), digits=4)
 def variance_shares(spark, sf):
