@@ -119,10 +119,31 @@ def continuous_summary(
     return joined.select(*keys, "n", "min", "q", "mean", "max")
 
 
-def six_number_summary(df: DataFrame, keys: Sequence[str], value: str, discrete: bool = True) -> DataFrame:
+def approximate_summary(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """The same summary from the sketch alone: one pass, quantiles within n/accuracy ranks."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(value).alias("min"),
+        F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("q"),
+        F.avg(value).alias("mean"),
+        F.max(value).alias("max"),
+    )
+
+
+def _maker(discrete: bool, approximate: bool):
+    if approximate:
+        return approximate_summary
+    return discrete_summary if discrete else continuous_summary
+
+
+def six_number_summary(
+    df: DataFrame, keys: Sequence[str], value: str, discrete: bool = True, approximate: bool = False
+) -> DataFrame:
     """n, min, Q1, median, mean, Q3, max per group."""
-    make = discrete_summary if discrete else continuous_summary
-    s = make(df, keys, value, QUARTILES)
+    s = _maker(discrete, approximate)(df, keys, value, QUARTILES)
     return s.select(
         *keys,
         "n",
@@ -135,8 +156,9 @@ def six_number_summary(df: DataFrame, keys: Sequence[str], value: str, discrete:
     )
 
 
-def mean_median(df: DataFrame, keys: Sequence[str], value: str, discrete: bool = True) -> DataFrame:
+def mean_median(
+    df: DataFrame, keys: Sequence[str], value: str, discrete: bool = True, approximate: bool = False
+) -> DataFrame:
     """n, mean and median per group."""
-    make = discrete_summary if discrete else continuous_summary
-    s = make(df, keys, value, (0.5,))
+    s = _maker(discrete, approximate)(df, keys, value, (0.5,))
     return s.select(*keys, "n", F.col("mean"), F.col("q")[0].alias("median"))

@@ -131,10 +131,3 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     mx, my = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_samp(mx, my), F.stddev_samp(mx) * F.stddev_samp(my))
 
-
-def descending(c: str) -> Column:
-    return F.col(c).desc_nulls_last()
-
-
-def ascending(c: str) -> Column:
-    return F.col(c).asc_nulls_last()

@@ -57,6 +57,14 @@ def single_person_days(by_day: DataFrame, name: Sequence[str]) -> DataFrame:
     return by_day.join(single, null_safe(by_day, single, name), "left_semi")
 
 
+def productivity_summary(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    """n, mean and median of interviews per day: as recorded, per person, and for single-person names."""
+    raw = mean_median(daily, by, "n").withColumn("measure", F.lit("raw"))
+    adjusted = mean_median(daily, by, "adjusted", discrete=False).withColumn("measure", F.lit("adjusted"))
+    single = mean_median(daily.where("single_person"), by, "n").withColumn("measure", F.lit("single"))
+    return raw.unionByName(adjusted).unionByName(single)
+
+
 def valid_duration_stats(
     df: DataFrame, by: Sequence[str], duration: str, low: float = MIN_MINUTES, high: float = MAX_MINUTES
 ) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.semantics import any_of, cut, in_set, n_distinct, null_safe, pct
+from canvass.functions.semantics import any_of, cut, in_set, n_distinct, pct
 from canvass.functions.skew import join_per_key
 from canvass.operators.clock import MAX_MINUTES, MIN_MINUTES, in_range, out_of_range
-from canvass.operators.shares import count_by, overall_and_by
+from canvass.operators.shares import count_by, count_share, overall_and_by
 
 DURATION_BREAKS = (float("-inf"), 5, 30, 60, 90, 120, 180, 240, float("inf"))
 DURATION_LABELS = ("<5", "5-30", "30-60", "60-90", "90-120", "120-180", "180-240", "[240,inf)")
@@ -96,20 +96,9 @@ def binned_counts(
 ) -> DataFrame:
     """Rows and within-group percentage per left-closed bin, with a flag on suspicious bins."""
     label, ordinal = cut(value, breaks, labels, right=False)
-    counts = count_by(
-        df.where(F.col(value).isNotNull()).select(group, label.alias("bin"), ordinal.alias("bin_order")),
-        [group, "bin", "bin_order"],
-    )
-    totals = counts.groupBy(group).agg(F.sum("n").alias("__total"))
-    joined = counts.join(totals, null_safe(counts, totals, [group])).drop(totals[group])
-    return joined.select(
-        group,
-        "bin",
-        "bin_order",
-        "n",
-        pct(F.col("n"), F.col("__total")).alias("pct"),
-        in_set("bin", suspicious).alias("suspicious"),
-    )
+    binned = df.where(F.col(value).isNotNull()).select(group, label.alias("bin"), ordinal.alias("bin_order"))
+    counts = count_share(binned, [group, "bin", "bin_order"], within=[group])
+    return counts.withColumn("suspicious", in_set("bin", suspicious))
 
 
 def _not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -122,6 +122,12 @@ def test_six_numbers_of_counts(spark):
     assert [r.q1, r.median, r.q3, r.mean] == [*np.quantile(known, [0.25, 0.5, 0.75]), pytest.approx(np.mean(known))]
 
 
+def test_approximate_quantiles_are_close(spark):
+    df = spark.range(10_001).selectExpr("cast(id as double) as v")
+    r = Q.six_number_summary(df, [], "v", approximate=True).first()
+    assert abs(r.median - 5000) <= 2 and r.min == 0 and r.max == 10_000
+
+
 def test_join_with_a_hot_key(spark, monkeypatch):
     from canvass.functions import skew
 
