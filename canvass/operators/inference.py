@@ -119,19 +119,25 @@ def _residual_sum(s: Solution, beta: np.ndarray) -> Column:
     return _dev(s.fit, s.fit.k) - _dot(beta, [_dev(s.fit, m) for m in s.kept])
 
 
-def _cluster_columns(index: int, s: Solution) -> list[Column]:
+def _cluster_columns(index: int, s: Solution, draws: bool = True) -> list[Column]:
     """What one spec needs from each cluster: scores, restricted scores and projected cross-products.
 
-    Position 0 is the intercept (absent from the algebra when an effect is absorbed).
+    Position 0 is the intercept (absent from the algebra when an effect is absorbed).  Without
+    bootstrap draws the count and the score are enough.
     """
     f = s.fit
+    score = [
+        F.col(f.col("n")).alias(s.col(index, "n")),
+        _dot(s.a, _score(s, s.beta)).alias(s.col(index, "u")),
+    ]
+    if not draws:
+        return score
     restricted = _score(s, s.restricted)
     intercept = F.lit(0.0) if f.fe else _residual_sum(s, s.restricted)
     projected = [_dot(s.a, [_dev(f, j) for j in s.kept]) if not f.fe else F.lit(0.0)]
     projected += [_dot(s.a, [_cross(f, j, m) for j in s.kept]) for m in s.kept]
     return [
-        F.col(f.col("n")).alias(s.col(index, "n")),
-        _dot(s.a, _score(s, s.beta)).alias(s.col(index, "u")),
+        *score,
         _dot(s.a, restricted).alias(s.col(index, "al")),
         *[c.alias(s.col(index, "w", i)) for i, c in enumerate([intercept, *restricted])],
         *[c.alias(s.col(index, "c", i)) for i, c in enumerate(projected)],
@@ -231,9 +237,9 @@ class ClusterResult:
     p: float | None = None
 
 
-def _total_columns(s: Solution, i: int) -> list[Column]:
+def _total_columns(s: Solution, i: int, draws: bool = True) -> list[Column]:
     """What is summed over clusters without weights: clusters, squared scores, projected cross-products."""
-    c = [F.col(s.col(i, "c", j)) for j in range(len(s.kept) + 1)]
+    c = [F.col(s.col(i, "c", j)) for j in range(len(s.kept) + 1)] if draws else []
     u = F.col(s.col(i, "u"))
     return [
         (F.col(s.col(i, "n")) > 0).cast("double").alias(s.col(i, "g")),
@@ -254,11 +260,13 @@ def _draw_columns(s: Solution, i: int) -> tuple[list[Column], list[Column]]:
     return linear, [(alpha * alpha).alias(s.col(i, "Q"))]
 
 
-def _read_totals(row, solutions: Sequence[Solution], picked: Sequence[int]) -> list[ClusterResult]:
+def _read_totals(
+    row, solutions: Sequence[Solution], picked: Sequence[int], draws: bool = True
+) -> list[ClusterResult]:
     out = []
     for i in picked:
         s = solutions[i]
-        m = np.zeros((len(s.kept) + 1,) * 2)
+        m = np.zeros((len(s.kept) + 1 if draws else 0,) * 2)
         for a in range(m.shape[0]):
             for b in range(a, m.shape[0]):
                 m[a, b] = m[b, a] = row[s.col(i, "cc", a, b)] or 0.0
@@ -266,10 +274,12 @@ def _read_totals(row, solutions: Sequence[Solution], picked: Sequence[int]) -> l
     return out
 
 
-def _cluster_totals(table: DataFrame, solutions: Sequence[Solution], picked: Sequence[int]) -> list[ClusterResult]:
-    columns = [c for i in picked for c in _total_columns(solutions[i], i)]
+def _cluster_totals(
+    table: DataFrame, solutions: Sequence[Solution], picked: Sequence[int], draws: bool
+) -> list[ClusterResult]:
+    columns = [c for i in picked for c in _total_columns(solutions[i], i, draws)]
     wide = table.select(*columns)
-    return _read_totals(wide.agg(*[F.sum(c).alias(c) for c in wide.columns]).first(), solutions, picked)
+    return _read_totals(wide.agg(*[F.sum(c).alias(c) for c in wide.columns]).first(), solutions, picked, draws)
 
 
 def _p_values(draws: pd.DataFrame, solutions: Sequence[Solution], picked: Sequence[int], results: Sequence[ClusterResult]) -> None:
@@ -452,14 +462,14 @@ def regress(
         for fe in sorted({solutions[i].fit.fe for i in usable}):
             picked = [i for i in usable if solutions[i].fit.fe == fe]
             own = list({solutions[i].fit.index: solutions[i].fit for i in picked}.values())
+            wanted = c in bootstrap
             table = roll_up(cells, own, keys).select(
-                cluster_key(keys).alias("__g"), *[x for i in picked for x in _cluster_columns(i, solutions[i])]
+                cluster_key(keys).alias("__g"), *[x for i in picked for x in _cluster_columns(i, solutions[i], wanted)]
             )
-            wanted = c in bootstrap
             if wanted and not fe:
                 results = _bootstrap_plain(table, sizes[levels.index(c)], solutions, picked, reps, seed)
             else:
-                results = _cluster_totals(table, solutions, picked)
+                results = _cluster_totals(table, solutions, picked, wanted)
             if wanted and fe:
                 _bootstrap_absorbed(cells, sizes[-1], list(fe), keys, solutions, picked, results, reps, seed)
             for i, r in zip(picked, results):
