@@ -26,6 +26,8 @@ from canvass.session import materialize
 
 # Largest size of the smaller factor for which its square matrix is formed.
 DENSE_LEVELS = 400
+# Bound on the matrix entries all tasks of one pass emit together; more levels mean fewer, larger tasks.
+PARTIAL_VALUES = 500_000_000
 
 
 def cells(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -236,7 +238,8 @@ def weighted_grams(f: SmallFactor, thetas: Sequence[float | None]) -> list[Gram]
         rows += [(k, -1, scalars[k].tolist()) for k in range(len(grid))]
         yield pd.DataFrame(rows, columns=["k", "i", "row"])
 
-    parts = f.by_large.mapInPandas(add_up, "k int, i int, row array<double>")
+    tasks = max(8, PARTIAL_VALUES // (len(grid) * (size + 1) * (size + 2)))
+    parts = f.by_large.coalesce(tasks).mapInPandas(add_up, "k int, i int, row array<double>")
     summed = (
         parts.select("k", "i", F.posexplode("row").alias("j", "x"))
         .groupBy("k", "i", "j")
