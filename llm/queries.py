@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import ngram_join, outliers
+from llm import ngram_join, outliers, rlz
 from llm.tables import table
 
 
@@ -16,11 +17,17 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_outlier_rules,
         op9_ngram_jaccard,
+        op10_relative_lz,
     )
 }
 SQL: dict[str, str] = {}
