@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ngram_join, outliers, rlz
+from llm import ngram_join, outliers, rlz, toxicity
 from llm.tables import table
 
 
@@ -13,6 +13,19 @@ def op1_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select(
+        "doc_id",
+        toxicity.held_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "best_ratio",
+        "mean_ratio",
+    )
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -26,6 +39,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_outlier_rules,
+        op7_kneser_ney,
         op9_ngram_jaccard,
         op10_relative_lz,
     )
