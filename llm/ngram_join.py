@@ -10,10 +10,11 @@ first dealt into tiles that lose no link: sets of like size are cut into one gro
 shingles in which linked sets can differ, so linked sets agree on a whole group, whose content hash
 names the tile.  Within each tile a tree joins the points; pairs that survive are verified exactly.
 
-Copies share one set and are joined once.  A large tile of near copies is first joined to its
-smallest member (as many pairs as members); only members that are not yet connected meet each other
-through trees, in blocks of bounded size, so neither a pair list nor a block grows with the square of
-a group, unless its members are really unlike.
+Copies share one set and are joined once.  Tiles that share members are then joined as one group, so a
+pair is looked at once however many tiles it shares.  Before that, every member is verified against
+one member of each of its tiles, first against the one with most tiles: this connects large groups of
+near copies with as many pairs as members.  Only members that are not yet connected meet through
+trees, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from llm.tables import cut
 from llm.textops import U, Words, mix, pieces, range_hashes, raw, signed, windows
 
-DIMS = 16
+DIMS = 256
 WIDTH = 3
 # links need 100 * intersection >= PERCENT * union
 PERCENT = 90
 BLOCK = 1024
 LEAF, FAN = 32, 8
+# rounds in which members are verified against single members of their tiles
+STARS = 3
 
 
 def allowed(smaller: int) -> int:
@@ -106,18 +109,16 @@ def _keys(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "__text"):
             sets = shingle_sets(b.column("__text"))
-            points = [np.bincount((s & U(DIMS - 1)).astype(np.int64), minlength=DIMS) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([identity(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([p.tolist() for p in points], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n_shingles", "sid", "point"],
+                names=["doc_id", "n_shingles", "sid"],
             )
 
-    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint, point array<int>")
+    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint")
 
 
 def _tiles(docs: DataFrame, text: str) -> DataFrame:
@@ -157,11 +158,31 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     return src.mapInArrow(run, "sid bigint, shingles array<bigint>")
 
 
+def _points(sets: DataFrame) -> DataFrame:
+    """The sets' points instead of their shingles: 2 bytes a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("shingles")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            points = [
+                np.minimum(np.bincount(values[x:y] & (DIMS - 1), minlength=DIMS), 65_535).astype(np.uint16).tobytes()
+                for x, y in zip(ends[:-1], ends[1:])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in names), pa.array(np.diff(ends), pa.int64()), pa.array(points, pa.binary())],
+                names=[*names, "n_shingles", "point"],
+            )
+
+    names = [c for c in sets.columns if c != "shingles"]
+    return sets.mapInArrow(run, "".join(f"{c} bigint, " for c in names) + "n_shingles bigint, point binary")
+
+
 class Tree:
     """A packed R-tree: points sorted by size and coordinates, leaves of ``LEAF`` points, nodes of ``FAN`` nodes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[:4], sizes))
+        self.order = np.lexsort((points[:, 0], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []
         low, high, top, step = self.sizes, self.sizes, self.points, LEAF
@@ -193,7 +214,7 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
         (al, ah, at), (bl, bh, bt) = a.levels[la], b.levels[lb]
         sized = (PERCENT * al[i] <= 100 * bh[j]) & (PERCENT * bl[j] <= 100 * ah[i])
         i, j = i[sized], j[sized]
-        near = _may_link(al[i], bl[j], np.minimum(at[i], bt[j]).sum(axis=1))
+        near = _may_link(al[i], bl[j], np.minimum(at[i], bt[j]).sum(axis=1, dtype=np.int64))
         i, j = i[near], j[near]
         if la == lb == 0 or not len(i):
             break
@@ -207,7 +228,7 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     for x, y in zip(i * LEAF, j * LEAF):
         pa_, pb = a.points[x : x + LEAF], b.points[y : y + LEAF]
         sa, sb = a.sizes[x : x + LEAF, None], b.sizes[None, y : y + LEAF]
-        most = np.minimum(pa_[:, None, :], pb[None, :, :]).sum(axis=2)
+        most = np.minimum(pa_[:, None, :], pb[None, :, :]).sum(axis=2, dtype=np.int64)
         p, q = np.nonzero(_may_link(sa, sb, most) & (PERCENT * sa <= 100 * sb) & (PERCENT * sb <= 100 * sa))
         left.append(a.order[x + p])
         right.append(b.order[y + q])
@@ -215,28 +236,27 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left or empty), np.concatenate(right or empty)
 
 
-def _tile_pairs(part: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of the tiles (or pairs of blocks of a tile) in ``part``: points of different labels."""
+def _block_pairs(part: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs of the groups (or pairs of blocks of a group) in ``part``: points of different labels."""
     found = [np.zeros((0, 2), np.int64)]
-    part = part.sort_values(["tile", "one", "two"], kind="stable")
-    key = part[["tile", "one", "two"]].to_numpy()
+    part = part.sort_values(["super", "one", "two"], kind="stable")
+    key = part[["super", "one", "two"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    points = np.array(part["point"].tolist(), dtype=np.int64)
-    sizes, sid, label, own = (part[c].to_numpy() for c in ("n_shingles", "sid", "label", "block"))
+    sizes, sid, label, own, raw_points = (part[c].to_numpy() for c in ("n_shingles", "sid", "label", "block", "point"))
     for lo, hi in zip(starts, np.r_[starts[1:], len(part)]):
         if (label[lo:hi] == label[lo]).all():
             continue
+        points = np.frombuffer(b"".join(raw_points[lo:hi]), np.uint16).reshape(hi - lo, DIMS)
         one, two = key[lo][1:]
-        x = lo + np.flatnonzero(own[lo:hi] == one)
-        y = lo + np.flatnonzero(own[lo:hi] == two)
+        x, y = np.flatnonzero(own[lo:hi] == one), np.flatnonzero(own[lo:hi] == two)
         if not len(x) or not len(y):
             continue
-        a = Tree(points[x], sizes[x])
-        i, j = tree_pairs(a, a if one == two else Tree(points[y], sizes[y]))
-        i, j = x[i], y[j]
+        a = Tree(points[x], sizes[lo + x])
+        i, j = tree_pairs(a, a if one == two else Tree(points[y], sizes[lo + y]))
+        i, j = lo + x[i], lo + y[j]
         keep = (label[i] != label[j]) & ((sid[i] < sid[j]) | (one != two))
         found.append(np.stack([np.minimum(sid[i], sid[j])[keep], np.maximum(sid[i], sid[j])[keep]], axis=1))
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -274,49 +294,56 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     and share a component.  Rows without an id belong to components but give them no name.
     """
     keys = cut(_keys(docs, text))
-    points = keys.where("sid is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")
-    )
-    points = cut(points)
+    known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     names = _tiles(docs, text)
-    shared = names.groupBy("tile").agg(F.min("sid").alias("leader"), F.max("sid").alias("other"))
-    members = cut(names.join(shared.where("leader <> other").select("tile", "leader"), "tile").distinct())
-    wanted = members.select("sid").distinct().join(points.select("sid", "first"), "sid")
+    shared = names.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
+    members = cut(names.join(shared.select("tile"), "tile").distinct())
+    tiles_of = members.groupBy("sid").agg(F.count("*").alias("tiles"))
+    members = cut(members.join(tiles_of, "sid"))
     # the texts that give these classes their names, or have none
-    firsts = wanted.select("first").distinct()
+    firsts = tiles_of.join(known, "sid").select("first").distinct()
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
-    sets = cut(_sets(texts, text).dropDuplicates(["sid"]))
-
-    point = points.select("sid", "n_shingles", "point")
-    a = point.select(F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("point").alias("pa"))
-    b = point.select(F.col("sid").alias("b"), F.col("n_shingles").alias("nb"), F.col("point").alias("pb"))
-    stars = members.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
-    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    stars = stars.join(a, "a").join(b, "b").where(_may_link(F.col("na"), F.col("nb"), most)).select("a", "b")
-    links = cut(_verify(stars, sets))
-    roots = components(links)
+    sets = _sets(texts, text).dropDuplicates(["sid"])
+    sets = cut(sets.join(tiles_of.select("sid"), "sid", "left_semi"))
 
     label = F.coalesce("root", "sid").alias("label")
-    labelled = members.join(roots, members.sid == roots.node, "left").select("tile", "sid", label)
-    labelled = cut(labelled)
-    mixed = labelled.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"))
-    mixed = mixed.where("x <> y").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_ = open_.join(point, "sid").withColumn("other", other)
+    links = groups = roots = None
+    for k in range(STARS):
+        order = F.struct("tiles", "sid") if k == 0 else F.struct(F.xxhash64("sid", F.lit(k)), "sid")
+        labelled = members.withColumn("label", F.col("sid"))
+        if roots is not None:
+            labelled = members.join(roots, members.sid == roots.node, "left").select("tile", "sid", "tiles", label)
+        centre = labelled.groupBy("tile").agg(F.max_by(F.struct("sid", "label"), order).alias("c"))
+        stars = labelled.join(centre, "tile").where("label <> c.label")
+        stars = stars.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+        if k == 0:
+            stars = cut(stars)
+            groups = components(stars)
+        found = cut(_verify(stars, sets))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+
+    grouped = groups.select(F.col("node").alias("sid"), F.col("root").alias("super"))
+    grouped = cut(grouped.join(roots, grouped.sid == roots.node, "left").select("sid", "super", label))
+    mixed = grouped.groupBy("super").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"))
+    mixed = mixed.where("x <> y").select("super", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    open_ = grouped.join(mixed, "super")
+    points = _points(open_.select("sid").join(sets, "sid"))
+    open_ = open_.join(points, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    open_ = cut(open_.select("tile", "one", "two", "block", "sid", "label", "n_shingles", "point"))
-    parts = max(1, open_.count() // 20_000)
+    open_ = open_.select("super", "one", "two", "block", "sid", "label", "n_shingles", "point")
+    rows = mixed.agg(F.sum(F.col("blocks") * F.col("blocks") * BLOCK)).first()[0] or 0
+    parts = max(1, rows // 100_000)
     found = (
-        open_.withColumn("part", F.pmod(F.xxhash64("tile", "one", "two"), F.lit(parts)))
+        open_.withColumn("part", F.pmod(F.xxhash64("super", "one", "two"), F.lit(parts)))
         .groupBy("part")
-        .applyInPandas(_tile_pairs, "a bigint, b bigint")
-        .distinct()
+        .applyInPandas(_block_pairs, "a bigint, b bigint")
     )
     links = links.unionByName(_verify(found, sets))
     roots = components(links)
 
-    classes = points.join(roots, points.sid == roots.node, "left").select("sid", "first", label)
+    classes = known.join(roots, known.sid == roots.node, "left").select("sid", "first", label)
     named = classes.groupBy("label").agg(F.min("first").alias("component"))
     classes = classes.join(named, "label").select("sid", "component")
     linked = keys.where("sid is not null").join(classes, "sid").select("doc_id", "n_shingles", "component")
