@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ngram_join, outliers, rlz, toxicity
+from llm import mixing, ngram_join, outliers, rlz, toxicity
 from llm.tables import table
 
 
@@ -13,6 +13,10 @@ def op1_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
     out = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
@@ -39,6 +43,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_outlier_rules,
+        op3_mix,
         op7_kneser_ney,
         op9_ngram_jaccard,
         op10_relative_lz,
