@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import mixing, ngram_join, outliers, rlz, toxicity
+from llm import mixing, ngram_join, outliers, records, rlz, toxicity
 from llm.tables import table
 
 
@@ -13,6 +15,14 @@ def op1_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.records_folder(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    written = records.write_records(table(spark, sf_dir, "documents"), folder, path, end_id=1)
+    out = records.read_records(spark, folder, written)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -43,6 +53,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_outlier_rules,
+        op2_records,
         op3_mix,
         op7_kneser_ney,
         op9_ngram_jaccard,
