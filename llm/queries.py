@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import mixing, ngram_join, outliers, records, rlz, toxicity
+from llm import bpe, mixing, ngram_join, outliers, records, rlz, toxicity
 from llm.tables import table
 
 
@@ -27,6 +27,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
     out = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
@@ -55,6 +60,7 @@ QUERIES = {
         op1_outlier_rules,
         op2_records,
         op3_mix,
+        op5_chunked_bpe,
         op7_kneser_ney,
         op9_ngram_jaccard,
         op10_relative_lz,
