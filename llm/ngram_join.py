@@ -12,8 +12,8 @@ names the tile.  Within each tile a tree joins the points; pairs that survive ar
 
 Copies share one set and are joined once.  Tiles that share members are then joined as one group, so a
 pair is looked at once however many tiles it shares.  Before that, every member is verified against
-one member of each of its tiles, first against the one with most tiles: this connects large groups of
-near copies with as many pairs as members.  Only members that are not yet connected meet through
+one member of its tiles, first the one with most tiles, then one by chance: this connects large groups of
+near copies with no more pairs than members.  Only members that are not yet connected meet through
 trees, in blocks of bounded size.
 """
 
@@ -36,8 +36,8 @@ WIDTH = 3
 PERCENT = 90
 BLOCK = 1024
 LEAF, FAN = 32, 8
-# rounds in which members are verified against single members of their tiles
-STARS = 3
+# rounds in which each member is verified against one member of its tiles
+STARS = 2
 
 
 def allowed(smaller: int) -> int:
@@ -309,16 +309,16 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     label = F.coalesce("root", "sid").alias("label")
     links = groups = roots = None
     for k in range(STARS):
-        order = F.struct("tiles", "sid") if k == 0 else F.struct(F.xxhash64("sid", F.lit(k)), "sid")
+        order = F.col("tiles") if k == 0 else F.xxhash64("sid", F.lit(k))
         labelled = members.withColumn("label", F.col("sid"))
         if roots is not None:
             labelled = members.join(roots, members.sid == roots.node, "left").select("tile", "sid", "tiles", label)
-        centre = labelled.groupBy("tile").agg(F.max_by(F.struct("sid", "label"), order).alias("c"))
-        stars = labelled.join(centre, "tile").where("label <> c.label")
-        stars = stars.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+        centre = labelled.groupBy("tile").agg(F.max(F.struct(order.alias("rank"), "sid", "label")).alias("c"))
+        stars = labelled.join(centre, "tile").where("label <> c.label").select("sid", "c")
         if k == 0:
-            stars = cut(stars)
-            groups = components(stars)
+            groups = components(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")).distinct())
+        stars = stars.groupBy("sid").agg(F.max("c").alias("c"))
+        stars = stars.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
         found = cut(_verify(stars, sets))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
