@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, mixing, ngram_join, outliers, records, rlz, toxicity
+from llm import bpe, mixing, ngram_join, outliers, quality_fm, records, rlz, toxicity
 from llm.tables import table
 
 
@@ -45,6 +45,14 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "quality", 3, 1)
+    out = quality_fm.quality(table(spark, sf_dir, "documents"), labels)
+    return out.select(
+        "doc_id", toxicity.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -62,6 +70,7 @@ QUERIES = {
         op3_mix,
         op5_chunked_bpe,
         op7_kneser_ney,
+        op8_factorisation_machine,
         op9_ngram_jaccard,
         op10_relative_lz,
     )
