@@ -1,15 +1,74 @@
-"""The training-data pipeline: stages that each take and return documents."""
+"""The training-data pipeline: five stages, the first four of which take and return documents.
+
+Toxic documents go; of documents that are nearly alike the one with the smallest id stays; passages that
+stand anywhere else are cut out; the sources are mixed to their target weights; the mix is encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import bpe, mixing, ngram_join, rlz, toxicity
+from llm.tables import cut, table
+
+# up to this many ids (8 MB) are broadcast; more of them are joined by a shuffle
+BROADCAST_IDS = 1_000_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5; the labels of rows that op7 holds out are not learned here either."""
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
+    return toxicity.toxicity(docs, labels, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that names its component; rows without an id and without words stay."""
+    found = ngram_join.jaccard_components(docs)
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # repeated rows share an id: one of each stays
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that stand anywhere else; others keep their text as it is."""
+    out = rlz.substring_dedup(docs, keep=tuple(c for c in docs.columns if c != "text"), verbatim=True)
+    new = {"text": F.col("kept").alias("text"), "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("n_chars")).alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text of the mix: its id, number of tokens, and digests of the ids and of the decoded bytes."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(docs, path, pattern), path, pattern)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("byte_level_bpe", encode),
+]
+# the models, hashes and merges of the stages are beyond SQL; tests/llm compares with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on ``documents``, each written to the shared folder and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

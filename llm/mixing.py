@@ -244,3 +244,29 @@ def taken(docs: DataFrame) -> DataFrame:
     none = d.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
     out = full.unionByName(none).join(mix.sources.select("sid", "source_size", "target"), "sid")
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row for each document and epoch in which words of it are taken.
+
+    ``text`` holds the words taken, in the order of the document; a document that is taken whole keeps its text as it
+    is, else each word keeps the white space behind it.  ``n_chars``, where there is such a column, is set anew.
+    Documents of which nothing is taken (empty ones too) have no row.
+    """
+    space = r"[\x20\x09-\x0D]"
+    row = F.xxhash64("doc_id", "source", F.col(f"`{text}`"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("__row"))
+    small = sizes(docs.select("doc_id", "source", F.col(f"`{text}`").alias("text"), row.alias("__row"))).drop("text")
+    mix = Mix(small)
+    parts = mix.pieces(["__row"]).groupBy("__row", "sid", "start", "size", "epoch")
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("words"))
+    both = keyed.dropDuplicates(["__row"]).join(parts, "__row")
+    words = F.split(F.regexp_replace(F.col("doc")[text], f"^{space}+", ""), f"(?<={space})(?=[^\\x20\\x09-\\x0D])")
+    # the array of words is bound once, not once for each part
+    chosen = F.transform(
+        F.array(words),
+        lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int")))), ""),
+    )[0]
+    both = both.withColumn("__text", F.when(F.col("words") == F.col("size"), F.col("doc")[text]).otherwise(chosen))
+    new = {text: F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return both.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, mixing, ngram_join, outliers, quality_fm, records, rlz, toxicity
+from llm import bpe, licences, mixing, neighbours, ngram_join, outliers, quality_fm, records, rlz, toxicity
 from llm.tables import table
 
 
@@ -27,11 +27,19 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
+def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
     out = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
@@ -68,11 +76,13 @@ QUERIES = {
         op1_outlier_rules,
         op2_records,
         op3_mix,
+        op4_learned_partitions,
         op5_chunked_bpe,
+        op6_licence_scan,
         op7_kneser_ney,
         op8_factorisation_machine,
         op9_ngram_jaccard,
         op10_relative_lz,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_licence_scan": licences.scan_sql()}

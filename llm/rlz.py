@@ -143,12 +143,14 @@ def factors(hit: np.ndarray, ref: np.ndarray, first: np.ndarray, width: int) ->
     return [(int(first[at[s]]), int(at[e] - at[s] + width), int(ref[at[s]])) for s, e in zip(start, end)]
 
 
-def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WIDTH) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WIDTH, verbatim: bool = False
+) -> DataFrame:
     """``keep`` of every document with ``n_words``, ``n_removed``, ``kept`` and ``factors``.
 
     A word is removed when a window of ``width`` words that covers it starts anywhere else too, in the same
     document or another; all occurrences go, and all windows are judged on the input.  ``kept`` is the
-    remaining words joined by one space.  ``factors`` are ``(start, length, block)`` in words.  Nulls and
+    remaining words joined by one space; with ``verbatim``, a text that loses nothing is kept as it is.  ``factors`` are ``(start, length, block)`` in words.  Nulls and
     texts of fewer than ``width`` words lose nothing; repeated rows are copies of each other.
     """
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
@@ -156,7 +158,7 @@ def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
     bits = max(0, int((size[0] or 0) // (4 * RANGE_VALUES)).bit_length() - 2)
     row = F.xxhash64(*src.columns)
-    src = src.withColumn("__row", row).withColumn("block", F.pmod("__row", F.lit(blocks)).cast("int"))
+    src = src.withColumn("__row", row).withColumn("__block", F.pmod("__row", F.lit(blocks)).cast("int"))
     names = list(keep)
 
     def ask_anchors(key: tuple, block: pa.Table) -> pa.Table:
@@ -190,7 +192,7 @@ def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
             removed.append(int(drop.sum()))
             if removed[-1]:
                 parts = [parts[k] for k in np.flatnonzero(~drop)]
-            kept.append(b" ".join(parts))
+            kept.append(t if verbatim and not removed[-1] else b" ".join(parts))
             a, b = at[i], at[i + 1]
             found = factors(hit[a:b], ref[a:b], first[a:b] - lo, width) if removed[-1] else []
             spans.append([{"start": s, "length": n, "block": r} for s, n, r in found])
@@ -205,10 +207,10 @@ def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
             }
         )
 
-    texts = src.groupBy("block")
+    texts = src.groupBy("__block")
     anchors = texts.applyInArrow(ask_anchors, MESSAGE).groupBy("range").applyInArrow(_answer, ANSWER)
-    found = src.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_windows, MESSAGE)
+    found = src.groupBy("__block").cogroup(anchors.groupBy("block")).applyInArrow(ask_windows, MESSAGE)
     found = found.groupBy("range").applyInArrow(_answer, ANSWER)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[: len(names)])
     schema = f"{kinds}n_words bigint, n_removed bigint, kept string, factors array<struct<start: bigint, length: bigint, block: int>>"
-    return src.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, schema)
+    return src.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(parse, schema)
