@@ -10,11 +10,11 @@ first dealt into tiles that lose no link: sets of like size are cut into one gro
 shingles in which linked sets can differ, so linked sets agree on a whole group, whose content hash
 names the tile.  Within each tile a tree joins the points; pairs that survive are verified exactly.
 
-Copies share one set and are joined once.  Tiles that share members are then joined as one group, so a
-pair is looked at once however many tiles it shares.  Before that, every member is verified against
-one member of its tiles, first the one with most tiles, then one by chance: this connects large groups of
-near copies with no more pairs than members.  Only members that are not yet connected meet through
-trees, in blocks of bounded size.
+Copies share one set and are joined once.  Tiles that share members are joined as one group, so a pair is
+looked at once however many tiles it shares.  Before that, every member is verified against the member of
+its tiles that has most tiles: this connects large groups of near copies with no more pairs than members.
+Only groups that are not yet connected are joined by trees, in blocks of bounded size; pairs that survive
+the bounds are verified exactly, unless their documents are connected by then.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,11 @@ DIMS = 256
 WIDTH = 3
 # links need 100 * intersection >= PERCENT * union
 PERCENT = 90
-BLOCK = 1024
+# shingles of one block of a group (2 MB)
+BLOCK = 1 << 18
 LEAF, FAN = 32, 8
-# rounds in which each member is verified against one member of its tiles
-STARS = 2
+# rows for one task of the steps on pairs and links
+ROWS = 100_000
 
 
 def allowed(smaller: int) -> int:
@@ -158,24 +158,12 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     return src.mapInArrow(run, "sid bigint, shingles array<bigint>")
 
 
-def _points(sets: DataFrame) -> DataFrame:
-    """The sets' points instead of their shingles: 2 bytes a group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("shingles")
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            points = [
-                np.minimum(np.bincount(values[x:y] & (DIMS - 1), minlength=DIMS), 65_535).astype(np.uint16).tobytes()
-                for x, y in zip(ends[:-1], ends[1:])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array(np.diff(ends), pa.int64()), pa.array(points, pa.binary())],
-                names=[*names, "n_shingles", "point"],
-            )
-
-    names = [c for c in sets.columns if c != "shingles"]
-    return sets.mapInArrow(run, "".join(f"{c} bigint, " for c in names) + "n_shingles bigint, point binary")
+def _points(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets' group counts; they stop at 65,535, from where on all sizes are let through by the bound."""
+    counts = np.stack([np.bincount((s & U(DIMS - 1)).astype(np.int64), minlength=DIMS) for s in sets])
+    full = counts.max(axis=1) >= 65_535
+    counts[full] = 65_535
+    return counts.astype(np.uint16)
 
 
 class Tree:
@@ -236,27 +224,51 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left or empty), np.concatenate(right or empty)
 
 
-def _block_pairs(part: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of the groups (or pairs of blocks of a group) in ``part``: points of different labels."""
-    found = [np.zeros((0, 2), np.int64)]
-    part = part.sort_values(["super", "one", "two"], kind="stable")
-    key = part[["super", "one", "two"]].to_numpy()
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _block_links(part: pa.Table) -> pa.Table:
+    """Verified links between different labels in the groups (or pairs of blocks of a group) of ``part``.
+
+    A pair is skipped when its labels are connected by links that this block pair has found before.
+    """
+    out: list[tuple[int, int]] = []
+    part = part.sort_by([("super", "ascending"), ("one", "ascending"), ("two", "ascending")])
+    key = np.stack([part[c].to_numpy() for c in ("super", "one", "two")], axis=1)
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    sizes, sid, label, own, raw_points = (part[c].to_numpy() for c in ("n_shingles", "sid", "label", "block", "point"))
-    for lo, hi in zip(starts, np.r_[starts[1:], len(part)]):
+    sid, label, own = (part[c].to_numpy() for c in ("sid", "label", "block"))
+    lists = part["shingles"].combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    for lo, hi in zip(starts, np.r_[starts[1:], part.num_rows]):
         if (label[lo:hi] == label[lo]).all():
             continue
-        points = np.frombuffer(b"".join(raw_points[lo:hi]), np.uint16).reshape(hi - lo, DIMS)
         one, two = key[lo][1:]
-        x, y = np.flatnonzero(own[lo:hi] == one), np.flatnonzero(own[lo:hi] == two)
+        x, y = lo + np.flatnonzero(own[lo:hi] == one), lo + np.flatnonzero(own[lo:hi] == two)
         if not len(x) or not len(y):
             continue
-        a = Tree(points[x], sizes[lo + x])
-        i, j = tree_pairs(a, a if one == two else Tree(points[y], sizes[lo + y]))
-        i, j = lo + x[i], lo + y[j]
-        keep = (label[i] != label[j]) & ((sid[i] < sid[j]) | (one != two))
-        found.append(np.stack([np.minimum(sid[i], sid[j])[keep], np.maximum(sid[i], sid[j])[keep]], axis=1))
-    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+        sets = {r: values[ends[r] : ends[r + 1]] for r in range(lo, hi)}
+        a = Tree(_points([sets[r] for r in x]), np.array([len(sets[r]) for r in x]))
+        b = a if one == two else Tree(_points([sets[r] for r in y]), np.array([len(sets[r]) for r in y]))
+        i, j = tree_pairs(a, b)
+        i, j = x[i], y[j]
+        keep = (label[i] != label[j]) & ((i < j) | (one != two))
+        root = {v: v for v in label[lo:hi].tolist()}
+
+        def find(v: int, root=root) -> int:
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        for p, q in zip(i[keep].tolist(), j[keep].tolist()):
+            u, v = find(int(label[p])), find(int(label[q]))
+            if u != v and _links(sets[p], sets[q]):
+                root[max(u, v)] = min(u, v)
+                out.append((int(sid[p]), int(sid[q])))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,17 +280,26 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * union).select("a", "b")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and cut, in as many partitions as its rows need."""
+    done = cut(df)
+    return done.coalesce(done.count() // ROWS + 1)
+
+
 def components(links: DataFrame, limit: int = 100) -> DataFrame:
     """``(node, root)`` of all nodes in ``links(a, b)``, root the smallest node reachable; alternating star steps."""
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges, before = cut(links.select(high, low).where("u <> v").distinct()), None
+    edges, before = settled(links.select(high, low).where("u <> v").distinct()), None
     for _ in range(limit):
+        tasks = max(1, edges.rdd.getNumPartitions())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks)
+        edges = cut(small.distinct().coalesce(tasks))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -297,51 +318,38 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     names = _tiles(docs, text)
     shared = names.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
-    members = cut(names.join(shared.select("tile"), "tile").distinct())
-    tiles_of = members.groupBy("sid").agg(F.count("*").alias("tiles"))
-    members = cut(members.join(tiles_of, "sid"))
+    members = settled(names.join(shared.select("tile"), "tile").distinct())
+    tiles_of = settled(members.groupBy("sid").agg(F.count("*").alias("tiles")))
+    members = settled(members.join(tiles_of, "sid"))
     # the texts that give these classes their names, or have none
     firsts = tiles_of.join(known, "sid").select("first").distinct()
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
     sets = _sets(texts, text).dropDuplicates(["sid"])
     sets = cut(sets.join(tiles_of.select("sid"), "sid", "left_semi"))
 
-    label = F.coalesce("root", "sid").alias("label")
-    links = groups = roots = None
-    for k in range(STARS):
-        order = F.col("tiles") if k == 0 else F.xxhash64("sid", F.lit(k))
-        labelled = members.withColumn("label", F.col("sid"))
-        if roots is not None:
-            labelled = members.join(roots, members.sid == roots.node, "left").select("tile", "sid", "tiles", label)
-        centre = labelled.groupBy("tile").agg(F.max(F.struct(order.alias("rank"), "sid", "label")).alias("c"))
-        stars = labelled.join(centre, "tile").where("label <> c.label").select("sid", "c")
-        if k == 0:
-            groups = components(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")).distinct())
-        stars = stars.groupBy("sid").agg(F.max("c").alias("c"))
-        stars = stars.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-        found = cut(_verify(stars, sets))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    centre = members.groupBy("tile").agg(F.max(F.struct("tiles", "sid")).alias("c"))
+    stars = settled(members.join(centre, "tile").where("sid <> c.sid").select("sid", "c").distinct())
+    groups = components(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")))
+    stars = stars.groupBy("sid").agg(F.max("c").alias("c"))
+    links = settled(_verify(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")), sets))
+    roots = settled(components(links))
 
+    label = F.coalesce("root", "sid").alias("label")
     grouped = groups.select(F.col("node").alias("sid"), F.col("root").alias("super"))
-    grouped = cut(grouped.join(roots, grouped.sid == roots.node, "left").select("sid", "super", label))
-    mixed = grouped.groupBy("super").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"))
-    mixed = mixed.where("x <> y").select("super", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    open_ = grouped.join(mixed, "super")
-    points = _points(open_.select("sid").join(sets, "sid"))
-    open_ = open_.join(points, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    grouped = settled(grouped.join(roots, grouped.sid == roots.node, "left").select("sid", "super", label))
+    mixed = grouped.groupBy("super").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    open_ = grouped.join(mixed.select("super"), "super")
+    weights = open_.join(sets.select("sid", F.size("shingles").alias("n")), "sid").groupBy("super").agg(F.sum("n").alias("n"))
+    weights = settled(weights.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    work = weights.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    open_ = open_.join(weights.select("super", "blocks"), "super")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    open_ = open_.select("super", "one", "two", "block", "sid", "label", "n_shingles", "point")
-    rows = mixed.agg(F.sum(F.col("blocks") * F.col("blocks") * BLOCK)).first()[0] or 0
-    parts = max(1, rows // 100_000)
-    found = (
-        open_.withColumn("part", F.pmod(F.xxhash64("super", "one", "two"), F.lit(parts)))
-        .groupBy("part")
-        .applyInPandas(_block_pairs, "a bigint, b bigint")
-    )
-    links = links.unionByName(_verify(found, sets))
-    roots = components(links)
+    part = F.pmod(F.xxhash64("super", "one", "two"), F.lit(work // BLOCK + 1)).alias("part")
+    open_ = open_.join(sets, "sid").select("super", "one", "two", "block", "sid", "label", "shingles", part)
+    found = open_.groupBy("part").applyInArrow(_block_links, "a bigint, b bigint")
+    roots = components(links.unionByName(found))
 
     classes = known.join(roots, known.sid == roots.node, "left").select("sid", "first", label)
     named = classes.groupBy("label").agg(F.min("first").alias("component"))
