@@ -40,7 +40,7 @@ def usable(column: str) -> Column:
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` nearest of each sample vector by inner product of unit vectors, block by block."""
+    """The ``k`` of largest inner product with each sample vector (lengths count), block by block."""
     out = np.empty((len(x), k), np.int32)
     for lo in range(0, len(x), 1024):
         s = x[lo : lo + 1024] @ x.T
@@ -166,8 +166,9 @@ def learn(vectors: DataFrame, rows: int) -> Router | None:
     some = vectors.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).withColumn("one", F.lit(0))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64)).astype(np.float32)
-        graph = neighbour_graph(x, min(GRAPH, len(x) - 1))
+        x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+        graph = neighbour_graph((x / np.abs(x).max()).astype(np.float32), min(GRAPH, len(x) - 1))
+        x = _unit(x).astype(np.float32)
         label = balanced_partition(x, graph, parts)
         asked = np.arange(len(x)) % 10 == 9
         router = Router.fit(x, label, graph, parts, np.flatnonzero(~asked))

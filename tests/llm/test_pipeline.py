@@ -35,7 +35,7 @@ def test_stages(spark):
         elif name == "substring_dedup":
             seen = Counter()
             for t in before.values():
-                seen.update({tuple(words(t)[k : k + 35]) for k in range(len(words(t)) - 34)})
+                seen.update(tuple(words(t)[k : k + 35]) for k in range(len(words(t)) - 34))
             for i, t in now:
                 gone = [k for k in range(len(words(before[i])) - 34) if seen[tuple(words(before[i])[k : k + 35])] > 1]
                 assert gone or t == before[i]
