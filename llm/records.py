@@ -2,8 +2,8 @@
 
 A shard is a file of records; each is framed as ``uint64 length, uint32 masked crc32c of those 8 bytes,
 payload, uint32 masked crc32c of the payload``, little-endian.  The mask is ``rotate_right(crc, 15) +
-0xA282EAD8``.  A payload is ``int64 doc_id``, one byte that tells whether there is an id, and the token ids as
-``uint32``.  Beside ``x.rec`` lies ``x.idx``: the offset of every record and of the end, as ``uint64``, so records
+0xA282EAD8``.  A payload is ``int64 doc_id``, one byte that tells whether there is an id, one byte with the bytes of
+a token id (2 for vocabularies of up to 65,536 entries, else 4), and the token ids.  Beside ``x.rec`` lies ``x.idx``: the offset of every record and of the end, as ``uint64``, so records
 can be read in any order.
 
 Documents are range-partitioned by id, each task encodes and streams its range into one shard, and only the
@@ -28,7 +28,8 @@ from llm.textops import pieces
 MASK = 0xA282EAD8
 HEAD = 12
 # words whose ids a worker remembers; the memory is bounded and the ids do not depend on it
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+MARKS, ALNUM = b",.;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 TARGET_BYTES = 16 << 20
 _tokenizers: dict = {}
 
@@ -75,17 +76,17 @@ _ZEROS = _zeros_after()
 _LANE = 7  # 2**7 bytes a lane
 
 
-def crc32c(data: bytes | np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """crc32c of consecutive records of ``sizes`` bytes; all records run side by side in lanes of 128 bytes."""
-    sizes = np.asarray(sizes, np.int64)
+def crc32c(records: list[bytes]) -> np.ndarray:
+    """crc32c of each record; all records run side by side in lanes of 128 bytes."""
+    sizes = np.array([len(r) for r in records], np.int64)
     lane = 1 << _LANE
     lanes = np.maximum(-(-sizes // lane), 1)
-    ends = np.cumsum(lanes)
-    padded = np.zeros(int(ends[-1]) * lane if len(ends) else 0, np.uint8)
-    source = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
     # records end where their last lane ends: leading zeros leave a zero state as it is
-    shift = ends * lane - np.cumsum(sizes)
-    padded[np.arange(len(source)) + np.repeat(shift, sizes)] = source
+    zeros = bytes(lane)
+    parts: list[bytes] = []
+    for r, pad in zip(records, (lanes * lane - sizes).tolist()):
+        parts += (zeros[:pad], r)
+    padded = np.frombuffer(b"".join(parts), np.uint8)
     words = padded.view(np.uint16).reshape(-1, lane // 2)
     state = np.zeros(len(words), np.uint32)
     for k in range(lane // 2):
@@ -112,30 +113,23 @@ def masked(crc: np.ndarray) -> np.ndarray:
 def framed(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records of ``payloads`` and their lengths with frames."""
     sizes = np.array([len(p) for p in payloads], np.uint64)
-    heads = sizes.tobytes()
-    head_crc = masked(crc32c(heads, np.full(len(sizes), 8)))
-    body_crc = masked(crc32c(b"".join(payloads), sizes))
+    heads = [n.tobytes() for n in sizes]
     parts = []
-    for i, p in enumerate(payloads):
-        parts += [heads[8 * i : 8 * i + 8], head_crc[i].tobytes(), p, body_crc[i].tobytes()]
+    for h, hc, p, pc in zip(heads, masked(crc32c(heads)), payloads, masked(crc32c(payloads))):
+        parts += (h, hc.tobytes(), p, pc.tobytes())
     return b"".join(parts), sizes.astype(np.int64) + HEAD + 4
 
 
 def unframed(block: bytes, offsets: np.ndarray) -> list[bytes]:
     """Payloads of the records at ``offsets`` (and the end); raises when a length or checksum is wrong."""
     view = memoryview(block)
-    heads, body, stored = [], [], []
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        heads.append(bytes(view[a : a + HEAD]))
-        body.append(bytes(view[a + HEAD : b - 4]))
-        stored.append(bytes(view[b - 4 : b]))
-    head = np.frombuffer(b"".join(heads), np.dtype([("n", "<u8"), ("crc", "<u4")]))
-    sizes = np.array([len(p) for p in body], np.int64)
-    if (head["n"] != sizes).any():
+    spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    heads, body = [bytes(view[a : a + 8]) for a, _ in spans], [bytes(view[a + HEAD : b - 4]) for a, b in spans]
+    if [int.from_bytes(h, "little") for h in heads] != [len(p) for p in body]:
         raise ValueError("a record's length is not what the index says")
-    if (masked(crc32c(head["n"].tobytes(), np.full(len(head), 8))) != head["crc"]).any():
+    if [c.tobytes() for c in masked(crc32c(heads))] != [bytes(view[a + 8 : a + HEAD]) for a, _ in spans]:
         raise ValueError("a length's checksum is wrong")
-    if (masked(crc32c(b"".join(body), sizes)) != np.frombuffer(b"".join(stored), np.uint32)).any():
+    if [c.tobytes() for c in masked(crc32c(body))] != [bytes(view[b - 4 : b]) for _, b in spans]:
         raise ValueError("a payload's checksum is wrong")
     return body
 
@@ -153,22 +147,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        lists = [((t.lower() if t.isascii() else t) if t else b"").split() for t in texts]
+        """Little-endian ids of each text, ``width`` bytes each."""
+        lists = [(t or b"").split() for t in texts]
         get = self.known.get
-        missing = list({w for words in lists for w in words if get(w) is None})
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list({w for words in lists for w in words})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in found)))
+        missing: set[bytes] = set()
+        found = [list(map(get, words)) for words in lists]
+        for words, ids in zip(lists, found):
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.known.clear()
+                missing = {w for words in lists for w in words}
+            self._learn(missing)
+            known = self.known
+            found = [
+                [known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids
+                for words, ids in zip(lists, found)
+            ]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words.  Lower case of ASCII, and marks behind an ASCII letter or digit, are taken off first: the
+        normalizer lowers all words and the pre-tokenizer always cuts between letters or digits and marks."""
+        forms = {}
+        for w in words:
+            core = w.lower() if w.isascii() else w
+            bare = core.rstrip(MARKS)
+            if bare and bare != core and bare[-1] in ALNUM:
+                forms[w] = (bare, core[len(bare) :])
+            else:
+                forms[w] = (core,)
+        new = list({f for parts in forms.values() for f in parts if f not in self.known})
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            ids = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in ids)))
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in lists]
+        known.update({w: known[parts[0]] + known[parts[1]] if len(parts) == 2 else known[parts[0]] for w, parts in forms.items()})
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -190,12 +211,12 @@ def write_records(
         size = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
         shards = max(1, -(-size // TARGET_BYTES))
     ordered = src.repartitionByRange(shards, "doc_id", "__text").sortWithinPartitions("doc_id", "__text")
-    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = _encoder(tokenizer)
+        end, width = np.array([end_id], encoder.kind).tobytes(), bytes([encoder.width])
         fs, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{base}/{shard:08d}-{uuid.uuid4().hex}"
@@ -209,12 +230,12 @@ def write_records(
             keys = b.column("doc_id")
             known = keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
             keys = keys.fill_null(0).to_numpy()
-            block, sizes = framed([k.tobytes() + v.tobytes() + x for k, v, x in zip(keys, known, ids)])
+            block, sizes = framed([k.tobytes() + v.tobytes() + width + x for k, v, x in zip(keys, known, ids)])
             out.write(block)
             offsets.append(at + np.cumsum(sizes) - sizes)
             at += int(sizes.sum())
             docs_done += len(ids)
-            tokens += sum(map(len, ids)) // 4
+            tokens += sum(map(len, ids)) // encoder.width
         if out is None:
             return
         out.close()
@@ -248,7 +269,7 @@ def read_records(spark: SparkSession, folder: str, written: DataFrame, batch: in
                         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + batch, "right")) - 1)
                         block = f.read_at(int(offsets[hi] - offsets[lo]), int(offsets[lo]))
                         found = unframed(block, offsets[lo : hi + 1] - offsets[lo])
-                        ids = [p[9:] for p in found]
+                        ids = [p[10:] if p[9] == 4 else np.frombuffer(p, "<u2", offset=10).astype("<u4").tobytes() for p in found]
                         sizes = np.array([len(x) // 4 for x in ids], np.int64)
                         keys = np.array([int.from_bytes(p[:8], "little", signed=True) for p in found], np.int64)
                         starts = start + np.cumsum(sizes) - sizes
