@@ -145,8 +145,9 @@ def _cluster_columns(index: int, s: Solution, draws: bool = True) -> list[Column
 
 
 def cluster_key(columns: Sequence[str]) -> Column:
-    """Display text of a cluster; a missing part reads NA, so it is a cluster of its own."""
-    return F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
+    """Name of a cluster, different for different tuples of parts; a missing part is a value of its own."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
 
 
 def text_hash(seed: int, kind: str, text: str) -> int:

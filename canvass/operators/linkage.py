@@ -26,6 +26,16 @@ GROUP = 2_000
 BROADCAST_NAMES = 5_000
 
 
+# accented capitals and what they are folded to; letters that are not listed stay as they are
+ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def fold(c: Column) -> Column:
+    """Upper case without the listed accents; ß becomes SS."""
+    return F.translate(F.upper(F.replace(c, F.lit("ß"), F.lit("ss"))), ACCENTED, PLAIN)
+
+
 def normalize_name(c: Column | str) -> Column:
     """Upper case, without surrounding white space."""
     return trimmed_upper(c)
@@ -107,7 +117,7 @@ def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[Dat
     sizes = (
         count_by(left, keys, "__nl")
         .join(count_by(right, keys, "__nr"), list(keys))
-        .where(F.col("__nl") * F.col("__nr") > GROUP * GROUP)
+        .where(F.col("__nl").cast("double") * F.col("__nr") > GROUP * GROUP)
         .select(
             *keys,
             F.ceil(F.col("__nl") / GROUP).cast("int").alias("__sl"),

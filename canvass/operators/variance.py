@@ -80,11 +80,11 @@ def factor_totals(cell_table: DataFrame) -> DataFrame:
     by_b = cell_table.groupBy("b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") ** 2).alias("nn"))
 
     def one_way(t: DataFrame, name: str) -> DataFrame:
-        n, s = F.col("n"), F.col("s")
+        n, s = F.col("n").cast("double"), F.col("s")  # squares of counts pass 2**63
         return t.agg(
             F.count(F.lit(1)).alias(f"levels_{name}"),
             F.sum(s * s / n).alias(f"between_{name}"),
-            F.sum(n * n).cast("double").alias(f"sq_{name}"),
+            F.sum(n * n).alias(f"sq_{name}"),
             F.sum(F.col("nn") / n).alias(f"cross_{name}"),
         )
 
@@ -305,9 +305,14 @@ class Profile:
 
 def _best_theta(profile: Profile) -> tuple[float, float, float]:
     """Best scale of the smaller factor: (criterion, theta, residual variance)."""
-    grid = np.r_[0.0, np.geomspace(1e-4, 1e4, 33)]
-    values = [profile(t)[0] for t in grid]
-    at = int(np.argmin(values))
+    low, high = 1e-6, 1e6
+    while True:  # the grid grows until the best point has neighbours on both sides
+        grid = np.r_[0.0, np.geomspace(low, high, 4 * int(round(np.log10(high / low))) + 1)]
+        values = [profile(t)[0] for t in grid]
+        at = int(np.argmin(values))
+        if at < len(grid) - 1 or high >= 1e15:
+            break
+        high *= 1e3
     lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
     golden = (np.sqrt(5) - 1) / 2
     while hi - lo > 1e-9 * (1 + hi):
@@ -320,28 +325,38 @@ def _best_theta(profile: Profile) -> tuple[float, float, float]:
     return (profile(theta)[0], theta, profile(theta)[1])
 
 
-def reml_components(f: SmallFactor, rounds: int = 5, width: int = 16) -> tuple[float, float, float]:
-    """Variances (smaller factor, larger factor, residual) at the REML optimum.
+def reml_components(
+    f: SmallFactor, rounds: int = 14, width: int = 16, tolerance: float = 1e-8
+) -> tuple[float, float, float, bool]:
+    """Variances (smaller factor, larger factor, residual) at the REML optimum, and whether it converged.
 
-    The larger factor's scale is searched on a narrowing grid; all grid points of a round share one
-    Spark job over its levels.
+    The larger factor's scale is searched on a grid that first widens until the best point has neighbours on both
+    sides and then narrows around it; all grid points of a round share one Spark job over its levels.  A best scale
+    of zero is on the boundary.
     """
-    grid: list[float] = [0.0, *np.geomspace(1e-3, 1e3, width + 8)]
+    grid: list[float] = [0.0, *np.geomspace(1e-4, 1e3, width + 8)]
     best: tuple[float, float, float, float] | None = None
+    converged = False
     for _ in range(rounds):
         found = []
         for theta, g in zip(grid, weighted_grams(f, grid)):
             value, small, sigma2 = _best_theta(Profile.of(f, g))
             found.append((value, theta, small, sigma2))
         at = int(np.argmin([x[0] for x in found]))
-        if best is None or found[at][0] < best[0]:
+        if best is None or found[at][0] <= best[0]:
             best = found[at]
+        if at == len(grid) - 1 and grid[-1] < 1e12:
+            grid = [*grid[-2:], *np.geomspace(grid[-1], grid[-1] * 1e3, width)[1:]]
+            continue
         lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-        if hi - lo < 1e-7 * (1 + hi):
+        values = sorted(x[0] for x in found[max(at - 1, 0) : at + 2])
+        # the bracket is narrow, or the criterion is flat on it to the last digits
+        converged = hi - lo <= tolerance * hi or values[-1] - values[0] <= 1e-13 * abs(values[0])
+        if converged:
             break
         grid = list(np.linspace(lo, hi, width))
     _, large, small, sigma2 = best
-    return small**2 * sigma2, large**2 * sigma2, sigma2
+    return small**2 * sigma2, large**2 * sigma2, sigma2, converged
 
 
 def variance_components(
@@ -351,16 +366,17 @@ def variance_components(
     b: str,
     min_levels: int = 10,
     min_n: int = 100,
-    dense_levels: int = DENSE_LEVELS,
-    estimator: str = "auto",
+    estimator: str = "reml",
 ) -> DataFrame:
     """Variance of two crossed random factors and their shares, per outcome (label -> column).
 
     An outcome needs more than ``min_levels`` levels of each factor and ``min_n`` rows, otherwise it
-    has no row.  ``estimator`` in the result tells which estimator was used: ``reml``, or
-    ``moments`` when the smaller factor has more than ``dense_levels`` levels (or on request).
+    has no row.  ``estimator`` is the caller's choice: ``reml``, whose work grows with the square of the levels of
+    the smaller factor, or ``moments``; ``converged`` tells whether the search settled.
     """
     records = []
+    if estimator not in ("reml", "moments"):
+        raise ValueError("estimator must be reml or moments")
     for label, y in outcomes.items():
         table = materialize(cells(df, y, a, b))
         table = centre(table)
@@ -368,17 +384,18 @@ def variance_components(
         n, la, lb = int(t["n"] or 0), t["levels_a"], t["levels_b"]
         if n < min_n or la <= min_levels or lb <= min_levels:
             continue
-        if estimator == "moments" or (estimator == "auto" and min(la, lb) > dense_levels):
+        converged = True
+        if estimator == "moments":
             r = moment_components(table).first()
             found, used, clipped = (r["var_a"], r["var_b"], r["var_residual"]), "moments", r["clipped"]
         else:
             small, large = ("a", "b") if la <= lb else ("b", "a")
-            vs, vl, ve = reml_components(arrange(table, small, large, min(la, lb)))
+            vs, vl, ve, converged = reml_components(arrange(table, small, large, min(la, lb)))
             found, used, clipped = ((vs, vl, ve) if small == "a" else (vl, vs, ve)), "reml", False
-        records.append((label, n, la, lb, *map(float, found), used, clipped))
+        records.append((label, n, la, lb, *map(float, found), used, clipped, converged))
     schema = (
         "outcome string, n long, levels_a long, levels_b long, var_a double, var_b double, "
-        "var_residual double, estimator string, clipped boolean"
+        "var_residual double, estimator string, clipped boolean, converged boolean"
     )
     return add_shares(df.sparkSession.createDataFrame(records, schema))
 
@@ -407,7 +424,7 @@ def explained_two_way(f: SmallFactor) -> float:
 
 
 def explained_by_conjugate_gradients(
-    cell_table: DataFrame, a: str = "a", b: str = "b", tolerance: float = 1e-10, max_steps: int = 200
+    cell_table: DataFrame, a: str = "a", b: str = "b", tolerance: float = 1e-10, max_steps: int = 2_000
 ) -> float:
     """The same sum of squares without a matrix: conjugate gradients with two groupings per step.
 
@@ -456,6 +473,8 @@ def explained_by_conjugate_gradients(
         new = moved.agg(F.sum(F.col("r") * F.col("z"))).first()[0]
         state = materialize(moved.withColumn("p", F.col("z") + (new / rz) * F.col("p")))
         rz = new
+    else:
+        raise RuntimeError(f"conjugate gradients did not settle in {max_steps} steps")
     gained = state.agg(F.sum(F.col("x") * F.col("rhs"))).first()[0] or 0.0
     return float(between_b + gained)
 

@@ -56,9 +56,9 @@ def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.minute("ts").alias("minute_start"),
         F.hour("te").alias("hour_end"),
         F.minute("te").alias("minute_end"),
-        F.when(F.col("k") >= 3, F.col("k") % 5 + 1).alias("q_caste"),
-        F.when(F.col("k") < 96, F.col("k") % 3 + 1).alias("q_religion"),
-        F.when((F.col("k") < 40) | (F.col("k") >= 46), F.round("value", 1)).alias("q_land"),
+        F.when(F.col("k") >= 3, F.col("k") % 5 + 1).alias("q_group"),
+        F.when(F.col("k") < 96, F.col("k") % 3 + 1).alias("q_kind"),
+        F.when((F.col("k") < 40) | (F.col("k") >= 46), F.round("value", 1)).alias("q_size"),
     )
     return with_clock(e)
 
@@ -75,9 +75,9 @@ iv0 AS (
          CAST(month(ts) AS INTEGER) AS month_interview, CAST(day(ts) AS INTEGER) AS date_interview,
          CAST(hour(ts) AS INTEGER) AS hour_start, CAST(minute(ts) AS INTEGER) AS minute_start,
          CAST(hour(te) AS INTEGER) AS hour_end, CAST(minute(te) AS INTEGER) AS minute_end,
-         CASE WHEN k >= 3 THEN k % 5 + 1 END AS q_caste,
-         CASE WHEN k < 96 THEN k % 3 + 1 END AS q_religion,
-         CASE WHEN k < 40 OR k >= 46 THEN round(value, 1) END AS q_land,
+         CASE WHEN k >= 3 THEN k % 5 + 1 END AS q_group,
+         CASE WHEN k < 96 THEN k % 3 + 1 END AS q_kind,
+         CASE WHEN k < 40 OR k >= 46 THEN round(value, 1) END AS q_size,
          CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS start_mins,
          CAST(hour(te) * 60 + minute(te) AS INTEGER) AS end_mins,
          CAST((hour(te) * 60 + minute(te)) - (hour(ts) * 60 + minute(ts)) AS INTEGER) AS duration_mins,

@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 
 def _words(df, id_column):
-    runs = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
-    return df.select(id_column, F.explode(runs).alias("word")).withColumn("word", F.upper("word"))
+    runs = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)
+    return df.select(id_column, F.explode(runs).alias("word")).withColumn("word", linkage.fold(F.col("word")))
 
 
 def gazetteer(spark, sf):
@@ -45,10 +45,11 @@ def _nearest(spark, sf, right=None):
     return linkage.nearest_names(left_words(spark, sf), right, "word", "place", ["code", "place"])
 
 
-WORDS = """
+FOLDED = f"translate(upper(replace({{}}, 'ß', 'ss')), '{linkage.ACCENTED}', '{linkage.PLAIN}')"
+WORDS = f"""
 gz AS (SELECT w AS place, min(doc_id) AS code, count(*) AS uses FROM (
-    SELECT doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents) GROUP BY 1),
-lw AS (SELECT item_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM benchmark),
+    SELECT doc_id, {FOLDED.format(r"unnest(regexp_extract_all(text, '\p{L}+'))")} AS w FROM documents) GROUP BY 1),
+lw AS (SELECT item_id, {FOLDED.format(r"unnest(regexp_extract_all(text, '\p{L}+'))")} AS word FROM benchmark),
 ln AS (SELECT word, count(*) AS n FROM lw GROUP BY 1),
 cand AS (
   SELECT ln.word, 0 AS d, gz.code, gz.place FROM ln JOIN gz ON ln.word = gz.place

@@ -31,47 +31,48 @@ def rounded_sql(sql: str, columns: str, digits: int = 6) -> str:
     return round_in_sql(sql, columns, digits)
 
 
+def key_sql(*columns: str) -> str:
+    """The name of a cluster: the length and text of each part, or a dash for a missing one."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in columns)
+
+
 # ---------------------------------------------------------------- inputs
 
 def order_rows(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     d = o.join(c, o.o_custkey == c.c_custkey)
     return d.select(
         F.col("c_nationkey").alias("state"),
         F.col("c_custkey").alias("village"),
         S.log1p_or_null("o_totalprice").alias("log_total"),
-        S.indicator(F.col("o_totalprice") > 200000).alias("big"),
-        S.indicator(S.in_set("c_mktsegment", ["BUILDING", "FURNITURE"])).alias("home"),
-        S.indicator(F.col("c_mktsegment") == "MACHINERY").alias("machinery"),
-        S.indicator(F.col("c_mktsegment") == "AUTOMOBILE").alias("automobile"),
-        S.indicator(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        F.when(F.col("o_orderstatus") != "P", S.indicator(F.col("o_orderstatus") == "F")).alias("finished"),
+        (F.col("c_acctbal") / 1000).alias("balance"),
+        S.indicator(F.col("c_acctbal") < 0).alias("debtor"),
+        S.indicator(S.in_set("o_orderpriority", ["1-URGENT", "2-HIGH"])).alias("rush"),
+        S.indicator(F.month("o_orderdate") >= 10).alias("late_in_year"),
+        F.when(F.col("o_orderstatus") != "P", S.indicator(F.col("o_orderstatus") == "O")).alias("still_open"),
     )
 
 
 ORDER_ROWS = """d AS (SELECT c_nationkey AS state, c_custkey AS village, ln(1 + o_totalprice) AS log_total,
-  CAST(o_totalprice > 200000 AS INTEGER) AS big, CAST(c_mktsegment IN ('BUILDING', 'FURNITURE') AS INTEGER) AS home,
-  CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS machinery, CAST(c_mktsegment = 'AUTOMOBILE' AS INTEGER) AS automobile,
-  CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS urgent,
-  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderstatus = 'F' AS INTEGER) END AS finished
+  c_acctbal / 1000 AS balance, CAST(c_acctbal < 0 AS INTEGER) AS debtor,
+  CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS rush,
+  CAST(month(o_orderdate) >= 10 AS INTEGER) AS late_in_year,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderstatus = 'O' AS INTEGER) END AS still_open
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
+# each with a second regressor held fixed
 ORDER_SPECS = [
-    Spec("Total ~ home", "log_total", ("home",), min_n=1000),
-    Spec("Total ~ machinery", "log_total", ("machinery",), min_n=1000),
-    Spec("Total ~ automobile", "log_total", ("automobile",), min_n=1000),
-    Spec("Big ~ home", "big", ("home",), min_n=1000),
-    Spec("Big ~ machinery", "big", ("machinery",), min_n=1000),
-    Spec("Home ~ total", "home", ("log_total",), min_n=1000),
-    Spec("Machinery ~ total", "machinery", ("log_total",), min_n=1000),
-    Spec("Total ~ urgent", "log_total", ("urgent",), min_n=1000),
-    Spec("Total ~ finished", "log_total", ("finished",), min_n=1000),
-    Spec("Home ~ urgent", "home", ("urgent",), min_n=1000),
-    Spec("Big ~ urgent", "big", ("urgent",), min_n=1000),
+    Spec("value by balance", "log_total", ("balance", "rush"), min_n=1000),
+    Spec("open by value", "still_open", ("log_total", "rush"), min_n=1000),
+    Spec("rush by debt", "rush", ("debtor", "late_in_year"), min_n=1000),
+    Spec("value by rush", "log_total", ("rush", "debtor"), min_n=1000),
+    Spec("value late in the year", "log_total", ("late_in_year", "balance"), min_n=1000),
+    Spec("open by debt", "still_open", ("debtor", "late_in_year"), min_n=1000),
+    Spec("balance late in the year", "balance", ("late_in_year", "log_total"), min_n=1000),
 ]
 ORDER_CLUSTERS = {"village": ["state", "village"], "state": ["state"]}
-ORDER_KEYS = {"village": "concat_ws('_', state, village)", "state": "CAST(state AS VARCHAR)"}
+ORDER_KEYS = {"village": key_sql("state", "village"), "state": key_sql("state")}
 
 
 def line_rows(spark, sf):
@@ -102,7 +103,7 @@ LINE_ROWS = """d AS (SELECT s_nationkey AS state, l_suppkey AS supplier, p_brand
   p_retailprice + s_acctbal / 50 + l_quantity AS mixed, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS treatment
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 LINE_CLUSTERS = {"state": ["state"]}
-LINE_KEYS = {"state": "CAST(state AS VARCHAR)"}
+LINE_KEYS = {"state": key_sql("state")}
 
 
 # ---------------------------------------------------------------- closed-form SQL
@@ -439,14 +440,14 @@ def fe_r2(spark, sf):
     return variance.fe_r2(line_rows(spark, sf), MOMENT_OUTCOMES, "price_group", "supplier")
 
 
-MEANS = """mn AS (SELECT source, interviewer, count(*) AS n, avg(q_land) AS mean_value, stddev_samp(q_land) AS sd_value,
-    100.0 * avg(CASE WHEN q_caste IN (1, 2) THEN 1 ELSE 0 END) AS pct_flag, count(DISTINCT state) AS n_areas
-  FROM iv WHERE q_land > 0 AND q_land < 100 GROUP BY 1, 2 HAVING count(*) >= 20)"""
+MEANS = """mn AS (SELECT source, interviewer, count(*) AS n, avg(q_size) AS mean_value, stddev_samp(q_size) AS sd_value,
+    100.0 * avg(CASE WHEN q_group IN (1, 2) THEN 1 ELSE 0 END) AS pct_flag, count(DISTINCT state) AS n_areas
+  FROM iv WHERE q_size > 0 AND q_size < 100 GROUP BY 1, 2 HAVING count(*) >= 20)"""
 
 
 def _means(spark, sf):
-    d = interviews(spark, sf).withColumn("flag", S.indicator(S.in_set("q_caste", [1, 2]), missing_as_zero=True))
-    return variance.interviewer_means(d, "q_land", "flag", "state", ["source", "interviewer"])
+    d = interviews(spark, sf).withColumn("flag", S.indicator(S.in_set("q_group", [1, 2]), missing_as_zero=True))
+    return variance.interviewer_means(d, "q_size", "flag", "state", ["source", "interviewer"])
 
 
 @query(q(INTERVIEWS, f", {MEANS} SELECT * FROM mn", "mean_value sd_value pct_flag"), digits=9)
