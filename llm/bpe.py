@@ -137,15 +137,21 @@ def encode(
                 tail.append(at[(at >= end - overlap - MARGIN) & (at <= end - MARGIN)].tolist())
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("chunk"), pa.array(head, kind), pa.array(tail, kind)],
-                names=["row", "chunk", "head", "tail"],
+                [*(b.column(c) for c in ("row", "chunk", "start")), pa.array(head, kind), pa.array(tail, kind)],
+                names=["row", "chunk", "start", "head", "tail"],
             )
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for b in batches:
-            ids = []
-            for start, body, lo, hi in zip(*(b.column(c).to_pylist() for c in ("start", "body", "lo", "hi"))):
+            ids, raw_text = [], []
+            for start, body, lo, hi, ahead, lost in zip(
+                *(b.column(c).to_pylist() for c in ("start", "body", "lo", "hi", "ahead", "lost"))
+            ):
+                if lost:  # the text goes on as it is, without what the next chunk has too
+                    ids.append(None)
+                    raw_text.append(body if ahead is None else body[: ahead - start])
+                    continue
                 # from a border on, matches are those of the whole text; the last ones may be cut and go
                 found, at, used = own.pattern.findall(body[lo - start :].decode()), lo, 0
                 stop = start + len(body) if hi is None else hi
@@ -153,41 +159,36 @@ def encode(
                     at += len(found[used].encode())
                     used += 1
                 ids.append(own.encode_pieces(found[:used]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(ids, pa.binary())], names=["row", "chunk", "ids"])
+                raw_text.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("chunk"), pa.array(ids, pa.binary()), pa.array(raw_text, pa.binary())],
+                names=["row", "chunk", "ids", "raw"],
+            )
 
-    def together(part: pa.Table) -> pa.Table:
+    def together(key: tuple, part: pa.Table, rows: pa.Table) -> pa.Table:
         part = part.sort_by("chunk")
-        return pa.table({"row": part["row"][:1], "ids": pa.array([b"".join(part["ids"].to_pylist())], pa.binary())})
+        if part["raw"].null_count < part.num_rows:
+            ids = coder(path, pattern).encode(b"".join(part["raw"].to_pylist()).decode()).tobytes()
+        else:
+            ids = b"".join(part["ids"].to_pylist())
+        rows = rows.take(np.repeat(np.arange(rows.num_rows), rows["__times"].to_numpy()))
+        return pa.table([*(rows[c] for c in names), pa.array([ids] * rows.num_rows, pa.binary())], names=[*names, "ids"])
 
     out = src.where(~is_long).mapInArrow(whole, f"{kinds}ids binary")
-    # long texts: equal rows are encoded once
-    row = F.xxhash64(*src.columns).alias("__row")
-    long = src.where(is_long).select("*", row)
+    # long texts: equal rows are encoded once, and the chunks are shuffled once
+    long = src.where(is_long).withColumn("__row", F.xxhash64(*src.columns))
     rows = long.groupBy("__row", *names).agg(F.count("*").alias("__times"))
-    texts = long.select("__row", "__text").dropDuplicates(["__row"])
-    chunks = texts.mapInArrow(cut_up, "row bigint, chunk bigint, start bigint, body binary").repartition("row", "chunk")
-    edges = chunks.mapInArrow(overlaps, "row bigint, chunk bigint, head array<bigint>, tail array<bigint>")
+    chunks = long.select("__row", "__text").mapInArrow(cut_up, "row bigint, chunk bigint, start bigint, body binary")
+    chunks = chunks.repartition("row", "chunk").dropDuplicates(["row", "chunk"])
+    edges = chunks.mapInArrow(overlaps, "row bigint, chunk bigint, start bigint, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("row").orderBy("chunk")
     met = F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))
-    edges = edges.select("row", "chunk", F.when(F.col("chunk") == 0, 0).otherwise(met).alias("lo"))
-    edges = edges.withColumn("hi", F.lead("lo").over(order))
+    lo = F.when(F.col("chunk") == 0, 0).otherwise(met)
+    edges = edges.select("row", "chunk", lo.alias("lo"), F.lead("start").over(order).alias("ahead"))
     lost = F.max(F.col("lo").isNull()).over(Window.partitionBy("row"))
-    edges = edges.withColumn("lost", lost)
-    joined = chunks.join(edges.where("not lost").select("row", "chunk", "lo", "hi"), ["row", "chunk"])
-    stitched = joined.mapInArrow(spans, "row bigint, chunk bigint, ids binary")
-    stitched = stitched.groupBy("row").applyInArrow(together, "row bigint, ids binary")
-    unmet = edges.where("lost and chunk = 0").select(F.col("row").alias("__row"))
-    unmet = texts.join(unmet, "__row").select(F.col("__row").alias("row"), "__text")
-
-    def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
-        for b in pieces(batches, "__text"):
-            ids = [own.encode(t.decode()).tobytes() for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
-
-    found = stitched.unionByName(unmet.mapInArrow(whole_rows, "row bigint, ids binary"))
-    again = F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))
-    rest = rows.join(found, rows["__row"] == found["row"]).select(*names, "ids", again.alias("__one")).drop("__one")
+    edges = edges.withColumns({"hi": F.lead("lo").over(order), "lost": lost})
+    stitched = chunks.join(edges, ["row", "chunk"]).mapInArrow(spans, "row bigint, chunk bigint, ids binary, raw binary")
+    rest = stitched.groupBy("row").cogroup(rows.groupBy("__row")).applyInArrow(together, f"{kinds}ids binary")
     return out.unionByName(rest)
 
 
