@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, licences, mixing, neighbours, ngram_join, outliers, quality_fm, records, rlz, toxicity
+from llm import bpe, licences, mixing, neighbours, ngram_join, oracles, outliers, quality_fm, records, rlz, toxicity
 from llm.tables import table
 
 
@@ -85,4 +85,8 @@ QUERIES = {
         op10_relative_lz,
     )
 }
-SQL: dict[str, str] = {"op6_licence_scan": licences.scan_sql()}
+SQL: dict[str, str] = {
+    "op6_licence_scan": licences.scan_sql(),
+    "op9_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op10_relative_lz": oracles.RELATIVE_LZ,
+}
