@@ -15,6 +15,8 @@ from llm.tables import cut, table
 
 # up to this many ids (8 MB) are broadcast; more of them are joined by a shuffle
 BROADCAST_IDS = 1_000_000
+# near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component; rows without an id and without words stay."""
-    found = ngram_join.jaccard_components(docs)
+    found = ngram_join.jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set holds the hashes of its distinct 3-word shingles.  Its shingles are hashed into
+A document's set holds the hashes of its distinct shingles of ``width`` words (3, if the caller names no other);
+sets link from a Jaccard similarity of ``percent`` (90) on.  Its shingles are hashed into
 ``DIMS`` groups and the group counts are its point: the overlap of two sets is at most the sum of the
 coordinate minima of their points, and of two tree nodes at most that of their upper corners.
 
@@ -19,6 +20,8 @@ the bounds are verified exactly, unless their documents are connected by then.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from llm.tables import cut
 from llm.textops import U, Words, mix, pieces, range_hashes, raw, signed, windows
 
 DIMS = 256
+# what op9 asks for; links need 100 * intersection >= percent * union
 WIDTH = 3
-# links need 100 * intersection >= PERCENT * union
 PERCENT = 90
 # shingles of one block of a group (2 MB)
 BLOCK = 1 << 18
@@ -40,29 +43,49 @@ LEAF, FAN = 32, 8
 ROWS = 100_000
 
 
-def allowed(smaller: int) -> int:
+def allowed(smaller: int, percent: int = PERCENT) -> int:
     """In how many shingles linked sets can differ, by the size of the smaller."""
-    return smaller * (100 - PERCENT) // PERCENT
+    return smaller * (100 - percent) // percent
 
 
-def _class_edges(top: int) -> list[int]:
-    edges = [-(-PERCENT // (100 - PERCENT))]
-    while edges[-1] <= top:
+@functools.cache
+def _class_edges(percent: int) -> np.ndarray:
+    """Least sizes of the size classes; they grow faster than linked sets can differ in size, so links span two at most."""
+    if not 70 <= percent < 100:
+        raise ValueError("percent must be from 70 to 99")
+    edges = [-(-percent // (100 - percent))]
+    while edges[-1] <= 1 << 40:
         edges.append(edges[-1] * 3 // 2)
-    return edges
+    return np.array(edges)
 
 
-EDGES = np.array(_class_edges(1 << 40))
+@functools.cache
+def _slack(c: int, percent: int) -> int:
+    """Groups of class ``c`` beyond those that must agree: so many that few sets have more empty groups.
+
+    Any number loses no link.  Where groups hold few shingles many are empty, and sets that name their empty
+    groups would meet all others that do.
+    """
+    n, d = int(_class_edges(percent)[c]), allowed(int(_class_edges(percent)[c + 1]) - 1, percent)
+    slack = least = 1 + d // 64
+    while slack <= 2 * d:
+        groups = d + 1 + slack
+        empty = groups * (1 - 1 / groups) ** n
+        spread = max(0.0, groups * (groups - 1) * (1 - 2 / groups) ** n + empty - empty * empty)
+        if empty + 2 * math.sqrt(spread) <= slack:
+            return slack
+        slack += 1 + slack // 32
+    return least
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer than three words are one shingle, none are none."""
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer than ``width`` words are one shingle, none are none."""
     data, offsets = raw(column)
     w = Words(data, offsets, lower=True)
     h = w.hashes()
-    first, _ = w.window_starts(WIDTH)
-    long = windows(h, first, WIDTH)
-    n = np.maximum(w.counts - WIDTH + 1, 0)
+    first, _ = w.window_starts(width)
+    long = windows(h, first, width)
+    n = np.maximum(w.counts - width + 1, 0)
     ends = np.cumsum(n)
     short = np.flatnonzero((w.counts > 0) & (n == 0))
     alone = range_hashes(mix(h), w.at[:-1][short], w.at[1:][short], 0x2545F4914F6CDD1D)
@@ -78,22 +101,22 @@ def identity(s: np.ndarray) -> int:
         return int(np.int64(mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum() + U(len(s))], np.uint64)).view(np.int64)[0]))
 
 
-def tiles(s: np.ndarray) -> np.ndarray:
+def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Names of the tiles of one set: the content hashes of its groups, for each size class in which it may be linked.
 
     With ``d`` the differences allowed in a class, there are ``d + 1 + slack`` groups; linked sets agree on
     at least ``1 + slack`` of them.  Empty groups name a tile only in sets with more than ``slack`` of them.
     """
-    n = len(s)
-    k = int(np.searchsorted(EDGES, n, "right")) - 1
+    n, edges = len(s), _class_edges(percent)
+    k = int(np.searchsorted(edges, n, "right")) - 1
     if k < 0:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(s), out=sums[1:])
     out = []
-    for c in {k, k - 1} if k and PERCENT * n <= 100 * (int(EDGES[k]) - 1) else {k}:
-        d = allowed(int(EDGES[c + 1]) - 1)
-        slack = 1 + d // 64
+    for c in {k, k - 1} if k and percent * n <= 100 * (int(edges[k]) - 1) else {k}:
+        d = allowed(int(edges[c + 1]) - 1, percent)
+        slack = _slack(c, percent)
         groups = d + 1 + slack
         bounds = np.arange(1, groups, dtype=np.uint64) * U((1 << 64) // groups)
         at = np.concatenate([[0], np.searchsorted(s, bounds), [n]])
@@ -103,12 +126,12 @@ def tiles(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _keys(docs: DataFrame, text: str) -> DataFrame:
+def _keys(docs: DataFrame, text: str, width: int) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "__text"):
-            sets = shingle_sets(b.column("__text"))
+            sets = shingle_sets(b.column("__text"), width)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -121,17 +144,17 @@ def _keys(docs: DataFrame, text: str) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint")
 
 
-def _tiles(docs: DataFrame, text: str) -> DataFrame:
+def _tiles(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     src = docs.select(F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's split: copies name their tiles once
         for b in pieces(batches, "__text"):
             names, owners = [], []
-            for s in shingle_sets(b.column("__text")):
+            for s in shingle_sets(b.column("__text"), width):
                 if len(s) and (sid := identity(s)) not in seen:
                     seen.add(sid)
-                    names.append(tiles(s))
+                    names.append(tiles(s, percent))
                     owners.append(np.full(len(names[-1]), sid, np.int64))
             if names:
                 yield pa.RecordBatch.from_arrays(
@@ -141,12 +164,12 @@ def _tiles(docs: DataFrame, text: str) -> DataFrame:
     return src.mapInArrow(run, "tile bigint, sid bigint")
 
 
-def _sets(docs: DataFrame, text: str) -> DataFrame:
+def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     src = docs.select(F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "__text"):
-            sets = [s for s in shingle_sets(b.column("__text")) if len(s)]
+            sets = [s for s in shingle_sets(b.column("__text"), width) if len(s)]
             if not sets:
                 continue
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
@@ -182,12 +205,12 @@ class Tree:
             step = FAN
 
 
-def _may_link(size_a, size_b, most) -> np.ndarray:
+def _may_link(size_a, size_b, most, percent: int) -> np.ndarray:
     """``most``: an upper bound of the overlap; sizes: lower bounds of the sizes."""
-    return (200 - (100 - PERCENT)) * most >= PERCENT * (size_a + size_b)
+    return (100 + percent) * most >= percent * (size_a + size_b)
 
 
-def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(a: Tree, b: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the points that may link by the bound, found from the roots down."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -200,9 +223,9 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
 
     while True:
         (al, ah, at), (bl, bh, bt) = a.levels[la], b.levels[lb]
-        sized = (PERCENT * al[i] <= 100 * bh[j]) & (PERCENT * bl[j] <= 100 * ah[i])
+        sized = (percent * al[i] <= 100 * bh[j]) & (percent * bl[j] <= 100 * ah[i])
         i, j = i[sized], j[sized]
-        near = _may_link(al[i], bl[j], np.minimum(at[i], bt[j]).sum(axis=1, dtype=np.int64))
+        near = _may_link(al[i], bl[j], np.minimum(at[i], bt[j]).sum(axis=1, dtype=np.int64), percent)
         i, j = i[near], j[near]
         if la == lb == 0 or not len(i):
             break
@@ -217,19 +240,19 @@ def tree_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
         pa_, pb = a.points[x : x + LEAF], b.points[y : y + LEAF]
         sa, sb = a.sizes[x : x + LEAF, None], b.sizes[None, y : y + LEAF]
         most = np.minimum(pa_[:, None, :], pb[None, :, :]).sum(axis=2, dtype=np.int64)
-        p, q = np.nonzero(_may_link(sa, sb, most) & (PERCENT * sa <= 100 * sb) & (PERCENT * sb <= 100 * sa))
+        p, q = np.nonzero(_may_link(sa, sb, most, percent) & (percent * sa <= 100 * sb) & (percent * sb <= 100 * sa))
         left.append(a.order[x + p])
         right.append(b.order[y + q])
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(left or empty), np.concatenate(right or empty)
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> bool:
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _block_links(part: pa.Table) -> pa.Table:
+def _block_links(part: pa.Table, percent: int) -> pa.Table:
     """Verified links between different labels in the groups (or pairs of blocks of a group) of ``part``.
 
     A pair is skipped when its labels are connected by links that this block pair has found before.
@@ -251,7 +274,7 @@ def _block_links(part: pa.Table) -> pa.Table:
         sets = {r: values[ends[r] : ends[r + 1]] for r in range(lo, hi)}
         a = Tree(_points([sets[r] for r in x]), np.array([len(sets[r]) for r in x]))
         b = a if one == two else Tree(_points([sets[r] for r in y]), np.array([len(sets[r]) for r in y]))
-        i, j = tree_pairs(a, b)
+        i, j = tree_pairs(a, b, percent)
         i, j = x[i], y[j]
         keep = (label[i] != label[j]) & ((i < j) | (one != two))
         root = {v: v for v in label[lo:hi].tolist()}
@@ -264,20 +287,20 @@ def _block_links(part: pa.Table) -> pa.Table:
 
         for p, q in zip(i[keep].tolist(), j[keep].tolist()):
             u, v = find(int(label[p])), find(int(label[q]))
-            if u != v and _links(sets[p], sets[q]):
+            if u != v and _links(sets[p], sets[q], percent):
                 root[max(u, v)] = min(u, v)
                 out.append((int(sid[p]), int(sid[q])))
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets really link."""
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -308,15 +331,16 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
+    Links join texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more.
     Nulls and texts without words have no shingles and are linked with nothing; repeated rows are kept
     and share a component.  Rows without an id belong to components but give them no name.
     """
-    keys = cut(_keys(docs, text))
+    keys = cut(_keys(docs, text, width))
     known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    names = _tiles(docs, text)
+    names = _tiles(docs, text, width, percent)
     shared = names.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
     members = settled(names.join(shared.select("tile"), "tile").distinct())
     tiles_of = settled(members.groupBy("sid").agg(F.count("*").alias("tiles")))
@@ -324,14 +348,14 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     # the texts that give these classes their names, or have none
     firsts = tiles_of.join(known, "sid").select("first").distinct()
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
-    sets = _sets(texts, text).dropDuplicates(["sid"])
+    sets = _sets(texts, text, width).dropDuplicates(["sid"])
     sets = cut(sets.join(tiles_of.select("sid"), "sid", "left_semi"))
 
     centre = members.groupBy("tile").agg(F.max(F.struct("tiles", "sid")).alias("c"))
     stars = settled(members.join(centre, "tile").where("sid <> c.sid").select("sid", "c").distinct())
     groups = components(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")))
     stars = stars.groupBy("sid").agg(F.max("c").alias("c"))
-    links = settled(_verify(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")), sets))
+    links = settled(_verify(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")), sets, percent))
     roots = settled(components(links))
 
     label = F.coalesce("root", "sid").alias("label")
@@ -348,7 +372,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     open_ = open_.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     part = F.pmod(F.xxhash64("super", "one", "two"), F.lit(work // BLOCK + 1)).alias("part")
     open_ = open_.join(sets, "sid").select("super", "one", "two", "block", "sid", "label", "shingles", part)
-    found = open_.groupBy("part").applyInArrow(_block_links, "a bigint, b bigint")
+    found = open_.groupBy("part").applyInArrow(lambda part: _block_links(part, percent), "a bigint, b bigint")
     roots = components(links.unionByName(found))
 
     classes = known.join(roots, known.sid == roots.node, "left").select("sid", "first", label)

@@ -58,3 +58,39 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     assert oracle.compare(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.SQL[name]) == []
+
+
+def test_near_duplicates_as_brute_force(spark):
+    """Five-word shingles, similarity of 0.8 or more: copies with one to five changed words of 100 lie on both sides."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = [f"t{i}" for i in range(100)]
+    texts = [first, first[:4], first[:8], first[1:9], first[:9]]
+    for changes in ([50], [20, 60], [20, 50, 80], [30, 31, 32, 33], [10, 30, 50, 70], [1, 20, 40, 60, 80]):
+        texts.append([f"e{changes[0]}_{k}" if k in changes else w for k, w in enumerate(w + "x" * len(changes) for w in first)])
+        texts.append([w + "x" * len(changes) for w in first])
+    rows = [(1_000_000 + i, " ".join(ws), "en", "a", 9) for i, ws in enumerate(texts)]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    have = docs.select("doc_id", "text").collect()
+
+    sets = {}
+    for r in have:
+        ws = [w.lower() for w in words(r.text)]
+        sets[r.doc_id] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids[: ids.index(a)]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i for i in ids if find(i) == i}
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # two changed words of 100: 86 of 106 five-word shingles are shared, but only 92 of 104 of three words
+    assert 1_000_008 not in want
