@@ -1,14 +1,19 @@
 """License scan: normalised text compared to licence templates by Dice coefficient over word bigrams.
 
-Units of comparison are the whole text and each of its lines.  Normalising lower-cases A-Z and takes
+Units of comparison are the whole text, each of its lines, and stretches of it: for templates of ``LONG`` pairs
+or more all stretches of words, for shorter ones all runs of whole lines.  So a notice is found that is wrapped
+or stands within other text; only a short one has to have its lines to itself.  Normalising lower-cases A-Z and takes
 words, the runs of letters, digits and characters beyond ASCII.  A unit's set holds its distinct word pairs
 (its word, if it has one only).  Two sets of a and b pairs can reach a coefficient of t only if
 ``a * t / (2 - t) <= b <= a * (2 - t) / t``, so a template is compared only with units of fitting size.
+Stretches are tried only in texts that hold ``t / (2 - t)`` of a template's pairs, which any match has.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,11 @@ from llm.textops import Words, mix, pieces, raw, windows
 from llm.toxicity import SOLID
 
 THRESHOLD = 0.8
-# notices and texts of common licences; a caller may pass any others
+# templates with so many pairs are looked for at any word of a text
+LONG = 20
+# bounds are this much wider than computed
+ROUND = 1e-6
+# short notices, the templates of ``scan_sql``; whole texts and notices are in ``licence_texts``
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -41,6 +50,12 @@ TEMPLATES = {
 }
 
 
+@functools.cache
+def whole_texts() -> dict[str, str]:
+    """Standard licence texts and notices by name."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pair hashes of each unit: the hashes, the unit of each, and the number in each unit."""
     w = Words(data, offsets, lower=True, solid=SOLID)
@@ -65,6 +80,7 @@ class Scanner:
         pair, unit, self.sizes = _sets(np.frombuffer(b"".join(texts), np.uint8), offsets)
         self.pairs = [pair[unit == i] for i in range(len(texts))]
         self.any = np.unique(pair)
+        self.holds = np.stack([np.isin(self.any, p) for p in self.pairs], axis=1) if texts else np.zeros((0, 0), bool)
         self.threshold = threshold
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +98,64 @@ class Scanner:
             top[better], which[better] = dice[better], i
         return top, which
 
+    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Texts and templates, of whose pairs the text holds as many as any match needs."""
+        pair, unit, _ = _sets(data, offsets)
+        at = np.searchsorted(self.any, pair)
+        known = np.flatnonzero(at < len(self.any))
+        known = known[self.any[at[known]] == pair[known]]
+        if not len(known):
+            return []
+        at, unit = at[known], unit[known]
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        hits = np.add.reduceat(self.holds[at], first, axis=0, dtype=np.int64)
+        i, k = np.nonzero((hits > 0) & (hits >= self.sizes * self.threshold / (2 - self.threshold) - ROUND))
+        return list(zip(unit[first[i]].tolist(), k.tolist()))
+
+    def stretch(self, data: np.ndarray, templates: list[int], least: float) -> tuple[float, int, int] | None:
+        """The best stretch of one text with more than ``least``: coefficient, template and line of its first word.
+
+        Equal ones go to the largest template, then the first line, then the first name.
+        """
+        w = Words(data, np.array([0, len(data)]), lower=True, solid=SOLID)
+        if len(w.starts) < 2:
+            return None
+        pair = windows(w.hashes(), np.arange(len(w.starts) - 1), 2)
+        line = np.searchsorted(np.flatnonzero(data == 10), w.starts)
+        order = np.argsort(pair, kind="stable")
+        before = np.full(len(pair), -1)
+        same = pair[order[1:]] == pair[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        heads = np.r_[True, line[1:] != line[:-1]][:-1]  # pairs that start and end a line
+        tails = np.r_[line[1:] != line[:-1], True][1:]
+        t, found = self.threshold, None
+        for k in templates:
+            n = int(self.sizes[k])
+            need, most = n * t / (2 - t) - ROUND, n * (2 - t) / t + ROUND
+            own = np.isin(pair, self.pairs[k])
+            # the ends of a best stretch of words are pairs of the template
+            starts, ends = (own, own) if n >= LONG else (heads, tails)
+            left = np.cumsum(own[::-1])[::-1]
+            for s in np.flatnonzero(starts):
+                if left[s] < need:
+                    break
+                span = int(most) + 1
+                while True:  # longer where pairs repeat
+                    new = before[s : s + span] < s
+                    size = np.cumsum(new)
+                    if size[-1] > most or s + span >= len(pair):
+                        break
+                    span *= 2
+                hits = np.cumsum(new & own[s : s + span])
+                if hits[-1] < need:
+                    continue
+                dice = np.where(ends[s : s + span] & (size <= most), 2 * hits / (size + n), 0.0)
+                top = float(dice.max())
+                if top >= t and top > least:
+                    here = (-top, -n, int(line[s]), k)
+                    found = here if found is None else min(found, here)
+        return found and (-found[0], found[3], found[2])
+
 
 def scan(
     docs: DataFrame,
@@ -92,11 +166,12 @@ def scan(
 ) -> DataFrame:
     """``keep`` of every document with ``licence``, ``dice`` and ``line`` of its best match.
 
-    ``line`` counts lines from 0 and is -1 where the whole text matches better than any line.  Equal coefficients go to
-    the whole text, then the first line, then the first name.  Without a match (null and empty texts too) all
-    three are null.  Repeated rows are scanned alike.
+    ``line`` counts lines from 0, is that of a stretch's first word, and is -1 where the whole text matches better than
+    any part.  Equal coefficients go to the whole text, then lines before stretches (of these the one with the
+    largest template), then the first line, then the first name.  Without a match (null and empty texts too) all
+    three are null.  Repeated rows are scanned alike.  Without ``templates`` these are ``TEMPLATES`` and ``whole_texts``.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | whole_texts() if templates is None else templates
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
     names = list(keep)
@@ -116,6 +191,13 @@ def scan(
                 if dice[u] > top[i]:
                     top[i], which[i] = dice[u], name[u]
                     line[i] = u - np.searchsorted(cuts, offsets[i])
+            parts: dict[int, list[int]] = {}
+            for i, k in scanner.candidates(data, offsets):
+                if top[i] < 1:
+                    parts.setdefault(i, []).append(k)
+            for i, found in parts.items():
+                if part := scanner.stretch(data[offsets[i] : offsets[i + 1]], found, top[i]):
+                    top[i], which[i], line[i] = part
             none = which < 0
             columns = [
                 pa.array([scanner.names[k] if k >= 0 else None for k in which], pa.string()),

@@ -301,6 +301,57 @@ def test_licences(spark):
     assert got == {0: ("MIT", 1.0, 1), 1: ("all-rights-reserved", 1.0, -1), 2: none, 3: ("all-rights-reserved", 1.0, 1), 4: none}
 
 
+def test_whole_licences_and_notices_within_texts(spark):
+    whole = licences.whole_texts()
+    prose = " ".join(f"w{i}" for i in range(300))
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + whole["MIT-whole"]
+    apache = "".join(f"# {x}\n" for x in whole["Apache-2.0-notice"].split("\n"))
+    texts = [
+        mit,
+        prose + "\n" + apache + prose,
+        prose + " " + " ".join(whole["BSD-3-Clause-whole"].split()) + " " + prose,
+        "one\nReleased under\nthe MIT License.\ntwo\n" + prose,
+        whole["GPL-3.0-whole"].replace("\n", "\r\n") + prose,
+        prose + "\n" + " ".join(whole["ISC-whole"].split()[:40]),
+        prose,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.licence, r.dice, r.line) for r in licences.scan(docs).orderBy("doc_id").collect()]
+    assert got == [
+        ("MIT-whole", 1.0, 4),
+        ("Apache-2.0-notice", 1.0, 1),
+        ("BSD-3-Clause-whole", 1.0, 0),
+        ("MIT", 1.0, 1),
+        ("GPL-3.0-whole", 1.0, 0),
+        (None, None, None),
+        (None, None, None),
+    ]
+
+
+def test_best_stretch_by_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (6, 24):
+        own = [f"a{i}" for i in range(n + 1)]
+        scanner = licences.Scanner({"x": " ".join(own)}, 0.8)
+        for _ in range(20):
+            ws = [f"b{k}" for k in rng.integers(0, 3, 8)] + own + [f"b{k}" for k in rng.integers(0, 3, 8)]
+            for at in rng.choice(len(ws), int(rng.integers(0, 3))):
+                ws[at] += "c"
+            borders = rng.random(len(ws)) < 0.3
+            text = "".join(x + ("\n" if b else " ") for x, b in zip(ws, borders))
+            cuts = [0, *(i + 1 for i in range(len(ws)) if borders[i]), len(ws)]
+            places = cuts if n < licences.LONG else range(len(ws) + 1)
+            pairs, best = {(own[i], own[i + 1]) for i in range(n)}, 0.0
+            for i in places:
+                for j in places:
+                    unit = {(ws[k], ws[k + 1]) for k in range(i, j - 1)}
+                    best = max(best, 2 * len(unit & pairs) / (len(unit) + n))
+            data = np.frombuffer(text.encode(), np.uint8)
+            templates = [k for _, k in scanner.candidates(data, np.array([0, len(data)]))]
+            got = scanner.stretch(data, templates, 0.0) if templates else None
+            assert (got[0] if got else 0.0) == (best if best >= 0.8 else 0.0)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(6)
