@@ -64,6 +64,28 @@ def test_outliers_are_rejected_and_the_rest_is_kept(spark):
     assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 20))
 
 
+def test_moderate_junk_is_rejected(spark):
+    """15 % symbols: beyond any usual cut-off, but within the bound that sums of floors and covariances left."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        ws = ["w" * int(rng.integers(2, 8)) + str(rng.integers(100, 999)) for _ in range(int(rng.integers(80, 200)))]
+        text = " ".join(ws) if i % 20 else " ".join(w + ("#" if k % 3 else "##") for k, w in enumerate(ws))
+        rows.append((i, text, "en", "a"))
+    got = outliers.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 20))
+
+
+def test_floors_are_a_minimum():
+    floor = np.array([0.5, 0.1, 0.2])
+    turn = np.linalg.qr(np.random.default_rng(10).normal(size=(3, 3)))[0]
+    wide = turn @ np.diag([4.0, 9.0, 1.5]) @ turn.T * np.outer(floor, floor)
+    np.testing.assert_allclose(outliers.at_least(wide, floor), wide)
+    np.testing.assert_allclose(outliers.at_least(np.zeros((3, 3)), floor), np.diag(floor**2))
+    thin = turn @ np.diag([4.0, 0.01, 1.5]) @ turn.T * np.outer(floor, floor)
+    np.testing.assert_allclose(outliers.at_least(thin, floor), turn @ np.diag([4.0, 1.0, 1.5]) @ turn.T * np.outer(floor, floor))
+
+
 def test_mcd_centre_resists_a_quarter_of_bad_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.normal(200, 20)), int(rng.normal(1000, 80)), 0 if i % 5 else 900, 0, 0, 5, "en", "a") for i in range(500)]
