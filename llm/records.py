@@ -146,7 +146,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text's strings of added tokens are these tokens, as is the library's default
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.known: dict[bytes, bytes] = {}
@@ -174,12 +175,15 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words.  Lower case of ASCII, and marks behind an ASCII letter or digit, are taken off first: the
-        normalizer lowers all words and the pre-tokenizer always cuts between letters or digits and marks."""
+        normalizer lowers all words and the pre-tokenizer always cuts between letters or digits and marks.  Added tokens
+        are found before, in their own case and marks: words with such strings stay as they are."""
         forms = {}
         for w in words:
             core = w.lower() if w.isascii() else w
             bare = core.rstrip(MARKS)
-            if bare and bare != core and bare[-1] in ALNUM:
+            if any(t in w.lower() for t in self.added):
+                forms[w] = (w,)
+            elif bare and bare != core and bare[-1] in ALNUM:
                 forms[w] = (bare, core[len(bare) :])
             else:
                 forms[w] = (core,)

@@ -110,6 +110,17 @@ def test_crc32c():
     assert slow(b"123456789") == 0xE3069283
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), records.WordEncoder(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y.", "<|endoftext|>", "<|EndOfText|> <|ENDOFTEXT|>", "\u00e9t\u00e9<|endoftext|>?!", "Word<|endoftext|>", "<|endoftext|"]
+    got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0][1] == 49407
+
+
 def test_records_round_trip(spark, given):
     from tokenizers import Tokenizer
 
