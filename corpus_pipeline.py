@@ -26,15 +26,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component; rows without an id and without words stay."""
-    found = ngram_join.jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    """One document of each component: with the id that names it; rows without an id and without words stay.
+
+    Rows leave by id and text, so an id with several texts loses only those that are near copies.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.jaccard_components(keyed, width=NEAR_WIDTH, percent=NEAR_PERCENT, row="__row")
+    gone = found.where("doc_id <> component_id").select("__row")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1)
+    if again:  # of the texts of one id in a component one stays
+        named = found.where("doc_id = component_id and group is not null").select("group", "__row").distinct()
+        first = named.groupBy("group").agg(F.min("__row").alias("first"))
+        gone = gone.unionByName(named.join(first, "group").where("__row <> first").select("__row"))
+    gone = cut(gone.distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # repeated rows share an id: one of each stays
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = named.unionByName(kept.where("doc_id is null"))
+    kept = keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    if again:  # repeated rows share an id: one of each stays
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
     return kept
 
 

@@ -126,8 +126,9 @@ def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _keys(docs: DataFrame, text: str, width: int) -> DataFrame:
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("__text"))
+def _keys(docs: DataFrame, text: str, width: int, row: list[str]) -> DataFrame:
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`").cast("long").alias(c) for c in row)]
+    src = docs.select(*ids, F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "__text"):
@@ -137,11 +138,12 @@ def _keys(docs: DataFrame, text: str, width: int) -> DataFrame:
                     b.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([identity(s) if len(s) else None for s in sets], pa.int64()),
+                    *(b.column(c) for c in row),
                 ],
-                names=["doc_id", "n_shingles", "sid"],
+                names=["doc_id", "n_shingles", "sid", *row],
             )
 
-    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint")
+    return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint" + "".join(f", `{c}` bigint" for c in row))
 
 
 def _tiles(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -331,14 +333,19 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, row: str | None = None
+) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Links join texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more.
     Nulls and texts without words have no shingles and are linked with nothing; repeated rows are kept
     and share a component.  Rows without an id belong to components but give them no name.
+    With ``row``, the name of a bigint column, this column is returned too, and ``group``: one number for each component,
+    also where an id with several texts names several; null without words.
     """
-    keys = cut(_keys(docs, text, width))
+    extra = [row] if row else []
+    keys = cut(_keys(docs, text, width, extra))
     known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     names = _tiles(docs, text, width, percent)
     shared = names.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
@@ -377,7 +384,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = WIDTH,
 
     classes = known.join(roots, known.sid == roots.node, "left").select("sid", "first", label)
     named = classes.groupBy("label").agg(F.min("first").alias("component"))
-    classes = classes.join(named, "label").select("sid", "component")
-    linked = keys.where("sid is not null").join(classes, "sid").select("doc_id", "n_shingles", "component")
-    alone = keys.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    classes = classes.join(named, "label").select("sid", "component", F.col("label").alias("group"))
+    more = [*extra, "group"] if row else []
+    linked = keys.where("sid is not null").join(classes, "sid").select("doc_id", "n_shingles", "component", *more)
+    alone = keys.where("sid is null").withColumns({"component": F.col("doc_id"), "group": F.lit(None).cast("long")})
+    alone = alone.select("doc_id", "n_shingles", "component", *more)
     return linked.unionByName(alone).withColumnRenamed("component", "component_id")

@@ -94,3 +94,16 @@ def test_near_duplicates_as_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
     # two changed words of 100: 86 of 106 five-word shingles are shared, but only 92 of 104 of three words
     assert 1_000_008 not in want
+
+
+def test_near_duplicates_leave_by_row(spark):
+    """Id 5 has a copy of document 1, and texts of its own, of which one names a component and two are near copies."""
+    a, b, c, d = ([f"{x}{i}" for i in range(100)] for x in "abcd")
+    near = [*c[:50], "other", *c[51:]]
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, near), (7, c), (8, d), (8, d), (None, a), (9, []), (9, ["one"])]
+    rows = [(i, " ".join(ws), "en", "a", 9) for i, ws in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    one_of = [(5, " ".join(c)), (5, " ".join(near))]
+    assert sum(got.pop(x, 0) for x in one_of) == 1
+    assert got == Counter([(1, " ".join(a)), (5, " ".join(b)), (8, " ".join(d)), (None, " ".join(a)), (9, ""), (9, "one")])
