@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, licences, mixing, neighbours, ngram_join, oracles, outliers, quality_fm, records, rlz, toxicity
-from llm.tables import table
+from llm import alignment, bpe, chat, licences, mixing, neighbours, ngram_join, oracles, outliers, periods, quality_fm, records, rlz, toxicity
+from llm.tables import cut, table
 
 
 def op1_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    messages = chat.fold(chat.conversation_log(rows.unionByName(more)))
+    return chat.digests(cut(chat.render(messages)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(periods.retold(table(spark, sf_dir, "documents"))))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    out = alignment.aligned(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
+    return out.select("row.doc_id", *[c for c in out.columns if c != "row"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,10 +101,15 @@ QUERIES = {
         op8_factorisation_machine,
         op9_ngram_jaccard,
         op10_relative_lz,
+        op11_event_chat,
+        op12_periodic_runs,
+        op13_token_alignment,
     )
 }
 SQL: dict[str, str] = {
     "op6_licence_scan": licences.scan_sql(),
     "op9_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op10_relative_lz": oracles.RELATIVE_LZ,
+    "op11_event_chat": oracles.CHAT,
+    "op12_periodic_runs": oracles.RUNS,
 }
