@@ -21,8 +21,10 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -62,18 +64,26 @@ EMPTY = Fragment(False, NOTHING, "", b"", (0, 0), NOTHING)
 
 def linked(a: Tokens, b: Tokens, ids: int) -> tuple[str, bytes]:
     """The groups of tokens that begin and end at common ends, and ``a_id * ids + b_id`` of all their links."""
-    (a_ids, a_ends), (b_ids, b_ends) = a, b
-    i = j = i0 = j0 = 0
-    groups, codes = [], []
-    while i < len(a_ids) and j < len(b_ids):
-        codes.append(a_ids[i] * ids + b_ids[j])
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(f"{','.join(map(str, a_ids[i0:i]))}|{','.join(map(str, b_ids[j0:j]))}")
-            i0, j0 = i, j
-    return ";".join(groups), np.array(codes, "<u4").tobytes()
+    groups, codes, mine, others = [], array("I"), [], []
+    second = zip(*b)
+    y_id, y = next(second, (0, 0))
+    for x_id, x in zip(*a):
+        mine.append(x_id)
+        codes.append(x_id * ids + y_id)
+        while y < x:  # the next token of the other side begins within this one
+            others.append(y_id)
+            y_id, y = next(second)
+            codes.append(x_id * ids + y_id)
+        if y == x:
+            if others or len(mine) > 1:
+                others.append(y_id)
+                groups.append(f"{','.join(map(str, mine))}|{','.join(map(str, others))}")
+                others = []
+            else:
+                groups.append(f"{x_id}|{y_id}")
+            mine = []
+            y_id, y = next(second, (0, 0))
+    return ";".join(groups), codes.tobytes()
 
 
 def joined(f: tuple[Tokens, Tokens], g: tuple[Tokens, Tokens]) -> tuple[Tokens, Tokens]:
@@ -147,7 +157,7 @@ class Tokenizers:
         a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
         if b"".join(a) != want or b"".join(b) != want:
             return None
-        return (a_ids, np.cumsum([len(x) for x in a]).tolist()), (b_ids, np.cumsum([len(x) for x in b]).tolist())
+        return (a_ids, list(accumulate(map(len, a)))), (b_ids, list(accumulate(map(len, b))))
 
     def learn(self, stretches: set[str]) -> None:
         """Remember the groups of new stretches, the latest ones and those that were used meanwhile."""
@@ -164,7 +174,7 @@ class Tokenizers:
 
     def parts(self, parts: list[str]) -> list[tuple | None]:
         """Groups, links and sizes of each part; an empty tuple for one that goes on, None for one that is not given back."""
-        missing = set(parts) - self.young.keys()
+        missing = {p for p in parts if p not in self.young}
         if missing:
             if len(self.young) > REMEMBERED:
                 self.old, self.young, missing = self.young, {}, set(parts)
