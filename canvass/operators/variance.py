@@ -11,7 +11,7 @@ Rows are reduced once to (a, b) cells with counts and sums.  After that:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canvass.functions.semantics import n_distinct, nan_to_null, pct
+from canvass.operators import reml
 from canvass.operators.effects import spread_over_interviewers
 from canvass.session import materialize
 
 # Largest size of the smaller factor for which its square matrix is formed.
 DENSE_LEVELS = 400
-# Bound on the matrix entries all tasks of one pass emit together; more levels mean fewer, larger tasks.
-PARTIAL_VALUES = 500_000_000
 
 
 def cells(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -183,11 +182,15 @@ def arrange(cell_table: DataFrame, small: str, large: str, levels: int) -> Small
     index = F.broadcast(spark.createDataFrame([(r[0], i) for i, r in enumerate(rows)], index_schema))
     numbered = cell_table.join(index, F.col(small).eqNullSafe(F.col("__level")))
     by_large = numbered.groupBy(large).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.collect_list(F.struct("__i", "n")).alias("cells")
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("w").alias("w"),
+        F.collect_list(F.struct(F.col("__i").alias("i"), "n", "s")).alias("cells"),
     )
+    cell = {"i": "cells.i", "cn": "cells.n", "cs": "cells.s"}
     totals = cell_table.agg(F.sum("n"), F.sum(F.col("w") + F.col("s") * F.col("s") / F.col("n"))).first()
     return SmallFactor(
-        materialize(by_large.select("n", "s", "cells")),
+        materialize(by_large.select("n", "s", "w", *[F.col(x).alias(name) for name, x in cell.items()])),
         np.array([r["n"] for r in rows], dtype=float),
         np.array([r["s"] for r in rows], dtype=float),
         int(totals[0]),
@@ -195,168 +198,31 @@ def arrange(cell_table: DataFrame, small: str, large: str, levels: int) -> Small
     )
 
 
-@dataclass
-class Gram:
-    """Sums over levels of the larger factor with weights w: N w N', N w n, N w s and scalars."""
-
-    nn: np.ndarray
-    n1: np.ndarray
-    ns: np.ndarray
-    scalars: dict[str, float]
-
-
-def weighted_grams(f: SmallFactor, thetas: Sequence[float | None]) -> list[Gram]:
-    """Cross-products for several weightings in one pass over the larger factor.
-
-    With theta the weight of a level with n rows is theta^2 / (1 + theta^2 n); None stands for 1/n.
-    Each task adds up its own levels with matrix products and emits one row per matrix row.
-    """
+def explained_by_larger(f: SmallFactor) -> tuple[np.ndarray, np.ndarray, float]:
+    """Counts c of the smaller factor per level of the larger one: sums of c c' / n, of c s / n and of s s / n."""
     size = len(f.n_small)
-    grid = list(thetas)
-
-    def weight(theta: float | None, n: np.ndarray) -> np.ndarray:
-        return 1.0 / n if theta is None else theta**2 / (1.0 + theta**2 * n)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(grid), size, size + 2))
-        scalars = np.zeros((len(grid), size + 2))
-        for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                part = batch.iloc[at : at + 2_000]
-                n, s = part["n"].to_numpy(float), part["s"].to_numpy(float)
-                dense = np.zeros((len(part), size))
-                for r, listed in enumerate(part["cells"]):
-                    for cell in listed:
-                        dense[r, cell["__i"]] = cell["n"]
-                wide = np.c_[dense, n, s]
-                for k, theta in enumerate(grid):
-                    w = weight(theta, n)
-                    total[k] += (dense * w[:, None]).T @ wide
-                    log_d = np.zeros(len(n)) if theta is None else np.log1p(theta**2 * n)
-                    scalars[k, :4] += [log_d.sum(), (w * n * n).sum(), (w * n * s).sum(), (w * s * s).sum()]
-        rows = [(k, i, total[k, i].tolist()) for k in range(len(grid)) for i in range(size)]
-        rows += [(k, -1, scalars[k].tolist()) for k in range(len(grid))]
-        yield pd.DataFrame(rows, columns=["k", "i", "row"])
-
-    tasks = max(8, PARTIAL_VALUES // (len(grid) * (size + 1) * (size + 2)))
-    parts = f.by_large.coalesce(tasks).mapInPandas(add_up, "k int, i int, row array<double>")
-    summed = (
-        parts.select("k", "i", F.posexplode("row").alias("j", "x"))
-        .groupBy("k", "i", "j")
-        .agg(F.sum("x").alias("x"))
-        .groupBy("k", "i")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("row"))
-    )
-    grams = [Gram(np.zeros((size, size)), np.zeros(size), np.zeros(size), {}) for _ in grid]
-    for r in summed.collect():
-        g = grams[r["k"]]
-        if r["i"] < 0:
-            g.scalars = dict(zip(["log_d", "nn", "ns", "ss"], r["row"][:4]))
-        else:
-            g.nn[r["i"]], g.n1[r["i"]], g.ns[r["i"]] = r["row"][:size], r["row"][size], r["row"][size + 1]
-    return grams
-
-
-# ---------------------------------------------------------------- REML
+        total, ss = np.zeros((size + 1, size)), 0.0
+        for part in reml.stretches(batches, size):
+            counts, _ = reml.dense(part, size)
+            n, s = part["n"].to_numpy(float), part["s"].to_numpy(float)
+            total[:size] += counts.T @ (counts / n[:, None])
+            total[size] += counts.T @ (s / n)
+            ss += float((s * s / n).sum())
+        yield pd.DataFrame(reml.piecewise(0, total, [ss]), columns=["k", "i", "row"])
 
-@dataclass
-class Profile:
-    """REML criterion along the smaller factor's scale, for a fixed scale of the larger factor.
+    levels = reml.spread(f.by_large, size * (size + 1))
+    [(found, (between,))] = reml.added(levels.mapInPandas(add_up, reml.ROWS), size)
+    return found[:-1], found[-1], float(between)
 
-    The larger factor is already eliminated (its block is diagonal).  With the eigenvalues of what is
-    left, every further evaluation costs only the number of levels of the smaller factor.
-    """
 
-    values: np.ndarray
-    one: np.ndarray
-    rhs: np.ndarray
-    log_d: float
-    q11: float
-    q1y: float
-    qyy: float
-    n: int
-
-    @classmethod
-    def of(cls, f: SmallFactor, g: Gram) -> Profile:
-        values, vectors = np.linalg.eigh(np.diag(f.n_small) - g.nn)
-        return cls(
-            np.maximum(values, 0.0),
-            vectors.T @ (f.n_small - g.n1),
-            vectors.T @ (f.s_small - g.ns),
-            g.scalars["log_d"],
-            f.total_n - g.scalars["nn"],
-            float(f.s_small.sum()) - g.scalars["ns"],
-            f.total_ss - g.scalars["ss"],
-            f.total_n,
-        )
-
-    def __call__(self, theta: float) -> tuple[float, float]:
-        """Criterion and residual variance."""
-        scale = 1.0 + theta * theta * self.values
-        share = theta * theta / scale
-        q11 = self.q11 - share @ (self.one * self.one)
-        q1y = self.q1y - share @ (self.one * self.rhs)
-        qyy = self.qyy - share @ (self.rhs * self.rhs)
-        r2 = max(qyy - q1y * q1y / q11, 1e-300)
-        free = self.n - 1
-        fit = free * (1 + np.log(2 * np.pi * r2 / free))
-        return float(self.log_d + np.log(scale).sum() + np.log(q11) + fit), r2 / free
-
-
-def _best_theta(profile: Profile) -> tuple[float, float, float]:
-    """Best scale of the smaller factor: (criterion, theta, residual variance)."""
-    low, high = 1e-6, 1e6
-    while True:  # the grid grows until the best point has neighbours on both sides
-        grid = np.r_[0.0, np.geomspace(low, high, 4 * int(round(np.log10(high / low))) + 1)]
-        values = [profile(t)[0] for t in grid]
-        at = int(np.argmin(values))
-        if at < len(grid) - 1 or high >= 1e15:
-            break
-        high *= 1e3
-    lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-    golden = (np.sqrt(5) - 1) / 2
-    while hi - lo > 1e-9 * (1 + hi):
-        c, d = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        if profile(c)[0] < profile(d)[0]:
-            hi = d
-        else:
-            lo = c
-    theta = min(((lo + hi) / 2, float(grid[at])), key=lambda t: profile(t)[0])
-    return (profile(theta)[0], theta, profile(theta)[1])
-
-
-def reml_components(
-    f: SmallFactor, rounds: int = 14, width: int = 16, tolerance: float = 1e-8
-) -> tuple[float, float, float, bool]:
-    """Variances (smaller factor, larger factor, residual) at the REML optimum, and whether it converged.
+# ---------------------------------------------------------------- REML
 
-    The larger factor's scale is searched on a grid that first widens until the best point has neighbours on both
-    sides and then narrows around it; all grid points of a round share one Spark job over its levels.  A best scale
-    of zero is on the boundary.
-    """
-    grid: list[float] = [0.0, *np.geomspace(1e-4, 1e3, width + 8)]
-    best: tuple[float, float, float, float] | None = None
-    converged = False
-    for _ in range(rounds):
-        found = []
-        for theta, g in zip(grid, weighted_grams(f, grid)):
-            value, small, sigma2 = _best_theta(Profile.of(f, g))
-            found.append((value, theta, small, sigma2))
-        at = int(np.argmin([x[0] for x in found]))
-        if best is None or found[at][0] <= best[0]:
-            best = found[at]
-        if at == len(grid) - 1 and grid[-1] < 1e12:
-            grid = [*grid[-2:], *np.geomspace(grid[-1], grid[-1] * 1e3, width)[1:]]
-            continue
-        lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-        values = sorted(x[0] for x in found[max(at - 1, 0) : at + 2])
-        # the bracket is narrow, or the criterion is flat on it to the last digits
-        converged = hi - lo <= tolerance * hi or values[-1] - values[0] <= 1e-13 * abs(values[0])
-        if converged:
-            break
-        grid = list(np.linspace(lo, hi, width))
-    _, large, small, sigma2 = best
-    return small**2 * sigma2, large**2 * sigma2, sigma2, converged
+def reml_components(f: SmallFactor) -> tuple[float, float, float, bool]:
+    """Variances (smaller factor, larger factor, residual) at the REML optimum, and whether it is verified."""
+    best, converged = reml.optimum(f.by_large, len(f.n_small))
+    return best.t * best.residual, best.x * best.residual, best.residual, bool(converged)
 
 
 def variance_components(
@@ -372,7 +238,7 @@ def variance_components(
 
     An outcome needs more than ``min_levels`` levels of each factor and ``min_n`` rows, otherwise it
     has no row.  ``estimator`` is the caller's choice: ``reml``, whose work grows with the square of the levels of
-    the smaller factor, or ``moments``; ``converged`` tells whether the search settled.
+    the smaller factor, or ``moments``; ``converged`` tells whether the optimum is verified.
     """
     records = []
     if estimator not in ("reml", "moments"):
@@ -416,11 +282,11 @@ def one_way_r2(cell_table: DataFrame) -> DataFrame:
 
 def explained_two_way(f: SmallFactor) -> float:
     """Sum of squares explained by both factors: eliminate the larger one, solve for the smaller."""
-    [g] = weighted_grams(f, [None])
-    m = np.diag(f.n_small) - g.nn
-    r = f.s_small - g.ns
+    nn, ns, between = explained_by_larger(f)
+    m = np.diag(f.n_small) - nn
+    r = f.s_small - ns
     effect = np.linalg.pinv(m, rcond=1e-10, hermitian=True) @ r
-    return float(effect @ r + g.scalars["ss"])
+    return float(effect @ r + between)
 
 
 def explained_by_conjugate_gradients(

@@ -390,6 +390,36 @@ def variance_components(spark, sf):
     return variance.variance_components(line_rows(spark, sf), MOMENT_OUTCOMES, "price_group", "supplier")
 
 
+BALANCED = {"Mixed": "mixed", "Quantity": "quantity", "Discount": "discount"}
+
+
+def balanced_sql(label: str, y: str) -> str:
+    """REML of a two-way table with one value in every cell: mean squares, pooled from below where they are out of order."""
+    return f"""(WITH {LINE_ROWS}, k AS (SELECT state AS a, brand AS b, avg({y}) AS y FROM d GROUP BY 1, 2),
+  size AS (SELECT count(*) AS n, count(DISTINCT a) AS la, count(DISTINCT b) AS lb, avg(y) AS m, var_samp(y) * (count(*) - 1) AS sst FROM k),
+  fa AS (SELECT sum((x - m) ** 2) AS q FROM (SELECT avg(y) AS x FROM k GROUP BY a), size),
+  fb AS (SELECT sum((x - m) ** 2) AS q FROM (SELECT avg(y) AS x FROM k GROUP BY b), size),
+  sq AS (SELECT n, la, lb, fa.q * lb AS ssa, fb.q * la AS ssb, sst - fa.q * lb - fb.q * la AS sse,
+    la - 1 AS dfa, lb - 1 AS dfb, (la - 1) * (lb - 1) AS dfe FROM size, fa, fb),
+  ms AS (SELECT *, ssa / dfa AS msa, ssb / dfb AS msb FROM sq),
+  one AS (SELECT *, least(msa, msb) AS low, CASE WHEN msa <= msb THEN ssa ELSE ssb END AS ss1,
+    CASE WHEN msa <= msb THEN dfa ELSE dfb END AS df1, CASE WHEN msa <= msb THEN ssb ELSE ssa END AS ss2,
+    CASE WHEN msa <= msb THEN dfb ELSE dfa END AS df2 FROM ms),
+  two AS (SELECT *, CASE WHEN low < sse / dfe THEN sse + ss1 ELSE sse END AS ss, CASE WHEN low < sse / dfe THEN dfe + df1 ELSE dfe END AS df FROM one),
+  three AS (SELECT *, CASE WHEN ss2 / df2 < ss / df THEN (ss + ss2) / (df + df2) ELSE ss / df END AS e FROM two),
+  var AS (SELECT n, la, lb, greatest(msa - e, 0) / lb AS va, greatest(msb - e, 0) / la AS vb, e FROM three)
+SELECT '{label}' AS outcome, n, la AS levels_a, lb AS levels_b, va AS var_a, vb AS var_b, e AS var_residual, 'reml' AS estimator,
+  false AS clipped, true AS converged, va / (va + vb + e) AS icc_a, vb / (va + vb + e) AS icc_b
+FROM var WHERE n >= 100 AND la > 10 AND lb > 10)"""
+
+
+@query(rounded_sql(" UNION ALL ".join(balanced_sql(label, y) for label, y in BALANCED.items()),
+                   "var_a var_b var_residual icc_a icc_b", 6), digits=6)
+def balanced_components(spark, sf):
+    rows = line_rows(spark, sf).groupBy("state", "brand").agg(*[F.avg(y).alias(y) for y in BALANCED.values()])
+    return variance.variance_components(rows, BALANCED, "state", "brand")
+
+
 @query(rounded_sql(" UNION ALL ".join(
     f"SELECT outcome, '{name}' AS component, {expr} AS variance_share FROM ({moments_sql({'Mixed': 'mixed'})}) "
     "WHERE levels_a > 10 AND levels_b > 10 AND n >= 100"

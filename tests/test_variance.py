@@ -95,3 +95,51 @@ def test_group_filter_runs_once_or_to_a_fixpoint(spark):
     assert {r.a: r["sum(n)"] for r in once} == {1: 2, 2: 3}
     again = V.keep_large_groups(table, 3, fixpoint=True).groupBy("a").sum("n").collect()
     assert {r.a: r["sum(n)"] for r in again} == {2: 3}
+
+
+def balanced_optimum(y):
+    """REML of one value per cell: mean squares, pooled from below where they are out of order."""
+    ka, kb = y.shape
+    ssa, ssb = kb * ((y.mean(1) - y.mean()) ** 2).sum(), ka * ((y.mean(0) - y.mean()) ** 2).sum()
+    rest = y - y.mean(1, keepdims=True) - y.mean(0, keepdims=True) + y.mean()
+    ss, df = (rest**2).sum(), (ka - 1) * (kb - 1)
+    for s, k in sorted([(ssa, ka - 1), (ssb, kb - 1)], key=lambda x: x[0] / x[1]):
+        if s / k < ss / df:
+            ss, df = ss + s, df + k
+    e = ss / df
+    return max(ssa / (ka - 1) - e, 0) / kb, max(ssb / (kb - 1) - e, 0) / ka, e
+
+
+@pytest.mark.parametrize("ratio", [1e-8, 1e-4, 1.0, 1e4, 1e8])
+@pytest.mark.parametrize("other", [0.0, 1e-2, 1e6])
+def test_reml_matches_the_closed_form_at_any_ratio(spark, ratio, other):
+    """Ratios of 1e8 and 1e6 to the residual's variance and far below; the criterion must not lose digits."""
+    rng = np.random.default_rng(3)
+    y = 50 + np.sqrt(ratio) * rng.normal(size=(12, 1)) + np.sqrt(other) * rng.normal(size=(1, 15)) + rng.normal(size=(12, 15))
+    want = balanced_optimum(y)
+    rows = [(a, b, float(y[a, b])) for a in range(12) for b in range(15)]
+    df = spark.createDataFrame(rows, "a int, b int, y double")
+    table = V.centre(V.cells(df, "y", "a", "b"))
+    small, large, rest, converged = V.reml_components(V.arrange(table, "a", "b", 12))
+    assert converged is True
+    assert rest == pytest.approx(want[2], rel=1e-6)
+    for got, expected in ((small, want[0]), (large, want[1])):
+        assert got == pytest.approx(expected, rel=1e-6, abs=1e-7 * want[2])
+
+
+def test_reml_without_a_residual_is_an_error(spark):
+    df = spark.createDataFrame([(a, b, float(a * 3 + b)) for a in range(12) for b in range(12)], "a int, b int, y double")
+    with pytest.raises(ValueError, match="exactly"):
+        V.variance_components(df, {"Y": "y"}, "a", "b")
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_reml_on_the_given_tables_is_near_the_moments(spark, sf):
+    """The estimators differ by sampling error only; the residual's variance is close."""
+    from canvass.plans import models
+
+    rows = models.line_rows(spark, f"/root/testdata/sf{sf}")
+    found = {e: V.variance_components(rows, {"Mixed": "mixed"}, "price_group", "supplier", estimator=e).first() for e in ("reml", "moments")}
+    assert found["reml"].converged
+    for part in ("var_a", "var_b", "var_residual"):
+        assert found["reml"][part] == pytest.approx(found["moments"][part], rel=0.25)
