@@ -15,7 +15,7 @@ tolerance and both neighbours are higher.  Values that are not finite are an err
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,8 @@ class Within:
     ss: float
     n: int
     levels: int
+    total: float
+    shift: np.ndarray
 
 
 @dataclass
@@ -63,17 +65,22 @@ class Sums:
     ss_v: float
 
 
-def dense(part: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and deviations of a batch of levels as matrices: level x level of the smaller factor."""
+def dense(part: pd.DataFrame, size: int, shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of levels: counts and deviations by level of the smaller factor, and the levels' sums.
+
+    ``shift`` is taken off the outcome, a number for each level of the smaller factor.
+    """
     lengths = part["i"].str.len().to_numpy()
     row = np.repeat(np.arange(len(part)), lengths)
     col = np.concatenate(part["i"].to_numpy())
     counts, off = np.zeros((len(part), size)), np.zeros((len(part), size))
     n, s = np.concatenate(part["cn"].to_numpy()).astype(float), np.concatenate(part["cs"].to_numpy())
+    if shift is not None:
+        s = s - n * shift[col]
+    sums = np.bincount(row, s, len(part))
     counts[row, col] = n
-    mean = part["s"].to_numpy(float) / part["n"].to_numpy(float)
-    off[row, col] = s - n * np.repeat(mean, lengths)
-    return counts, off
+    off[row, col] = s - n * np.repeat(sums / part["n"].to_numpy(float), lengths)
+    return counts, off, sums
 
 
 def stretches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -111,29 +118,29 @@ def spread(levels: DataFrame, values: int) -> DataFrame:
     return levels.coalesce(max(cores, 500_000_000 // max(values, 1)))
 
 
-def within(levels: DataFrame, size: int) -> Within:
-    """One pass over ``levels``: rows (n, s, w, i, cn, cs) of the larger factor's levels with their cells."""
+def within(levels: DataFrame, size: int, shift: np.ndarray) -> Within:
+    """One pass over ``levels``: rows (n, w, i, cn, cs) of the larger factor's levels with their cells."""
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rhs, ss, n, k = np.zeros((size, size)), np.zeros(size), 0.0, 0.0, 0
+        total, rhs, ss, n, k, all_ss = np.zeros((size, size)), np.zeros(size), 0.0, 0.0, 0, 0.0
         for part in stretches(batches, size):
-            counts, off = dense(part, size)
+            counts, off, s = dense(part, size, shift)
             rows = part["n"].to_numpy(float)
             total += counts.T @ (counts / rows[:, None])
             rhs += off.sum(0)
             some = counts > 0
             ss += part["w"].sum() + (off[some] ** 2 / counts[some]).sum()
-            n, k = n + rows.sum(), k + len(rows)
-        yield pd.DataFrame(piecewise(0, np.vstack([total, rhs]), [ss, n, k]), columns=["k", "i", "row"])
+            n, k, all_ss = n + rows.sum(), k + len(rows), all_ss + float((s * s / rows).sum())
+        yield pd.DataFrame(piecewise(0, np.vstack([total, rhs]), [ss, n, k, all_ss]), columns=["k", "i", "row"])
 
-    [(found, (ss, n, k))] = added(spread(levels, size * size).mapInPandas(add_up, ROWS), size)
+    [(found, (ss, n, k, all_ss))] = added(spread(levels, size * size).mapInPandas(add_up, ROWS), size)
     shared, rhs = found[:-1].copy(), found[-1]
     # rows of a Laplacian add up to zero: its diagonal follows from the rest without subtracting like numbers
     np.fill_diagonal(shared, 0.0)
-    return Within(np.diag(shared.sum(1)) - shared, rhs, float(ss), int(n), int(k))
+    return Within(np.diag(shared.sum(1)) - shared, rhs, float(ss), int(n), int(k), float(ss + all_ss), shift)
 
 
-def sums(levels: DataFrame, size: int, scales: Sequence[float]) -> list[Sums]:
+def sums(levels: DataFrame, size: int, scales: Sequence[float], shift: np.ndarray) -> list[Sums]:
     """One pass over the levels of the larger factor for several of its scales."""
     grid = list(scales)
 
@@ -141,8 +148,8 @@ def sums(levels: DataFrame, size: int, scales: Sequence[float]) -> list[Sums]:
         total = np.zeros((len(grid), 2 * size + 2, size))
         scalars = np.zeros((len(grid), len(_SCALARS)))
         for part in stretches(batches, size):
-            counts, _ = dense(part, size)
-            n, s = part["n"].to_numpy(float), part["s"].to_numpy(float)
+            counts, _, s = dense(part, size, shift)
+            n = part["n"].to_numpy(float)
             for k, x in enumerate(grid):
                 w = 1.0 / (1.0 + x * n)
                 v = w * w
@@ -169,13 +176,15 @@ class Profile:
         d, u = np.linalg.eigh(fixed.laplacian + at.a)
         self.d, self.u = np.maximum(d, 0.0), u
         self.c = u.sum(0)
-        self.rho = u.T @ (fixed.rhs + at.s)
-        yy = fixed.ss + at.ss_w
+        # squares left when the smaller factor is fixed; the effects taken off beforehand leave little to subtract
+        rho = u.T @ (fixed.rhs + at.s)
         some = self.d > 1e-15 * max(self.d.max(initial=0.0), 1e-300)
-        self.rho_d = np.where(some, self.rho / np.where(some, self.d, 1.0), 0.0)
-        # squares left when the smaller factor is fixed; its rounding error is that of the total
-        self.left = max(yy - float(self.rho @ self.rho_d), 0.0)
-        self.noise = 1e-14 * yy
+        rho_d = np.where(some, rho / np.where(some, self.d, 1.0), 0.0)
+        self.left = max(fixed.ss + at.ss_w - float(rho @ rho_d), 0.0)
+        self.shift = fixed.shift
+        self.rho_d = rho_d + u.T @ fixed.shift
+        self.rho = rho + self.d * (u.T @ fixed.shift)
+        self.noise = 1e-24 * fixed.total
 
     def parts(self, t: float) -> tuple[float, float, float, np.ndarray]:
         """1'V1, mean, squares left, and the shrinkage of each eigenvector."""
@@ -233,6 +242,7 @@ class Profile:
         z = inverse.sum(1)
         # what is left of each level: its sum less its counts times the mean and the smaller factor's effects
         fitted = mean + t * (self.u @ ((self.rho - self.d * self.c * mean) * shrink))
+        fitted = fitted - self.shift
         residual = at.ss_v - 2 * float(fitted @ at.bs) + float(fitted @ at.b @ fitted)
         return at.n_w - t * float((inverse * at.b).sum()) - float(z @ at.b @ z) / q11 - self.free * max(residual, 0.0) / r2
 
@@ -251,7 +261,7 @@ def evaluate(levels: DataFrame, fixed: Within, scales: Sequence[float]) -> list[
     size, out = len(fixed.rhs), []
     step = max(1, PASS_VALUES // (2 * size * (size + 1)))
     for at in range(0, len(scales), step):
-        for x, found in zip(scales[at : at + step], sums(levels, size, scales[at : at + step])):
+        for x, found in zip(scales[at : at + step], sums(levels, size, scales[at : at + step], fixed.shift)):
             p = Profile(fixed, found)
             t = p.best()
             out.append(Point(float(x), t, p.criterion(t), p.slope_of_larger(t), p.parts(t)[2] / p.free))
@@ -264,7 +274,10 @@ def optimum(levels: DataFrame, size: int, tolerance: float = 1e-9, rounds: int =
     It is verified when the derivative changes its sign within ``tolerance`` of it, or is not negative at scale 0, and no other
     point seen is lower.
     """
-    fixed = within(levels, size)
+    whole = within(levels, size, np.zeros(size))
+    # the smaller factor's effects as if both factors were fixed
+    shift = np.linalg.pinv(whole.laplacian, rcond=1e-10, hermitian=True) @ whole.rhs
+    fixed = replace(within(levels, size, shift), total=whole.total)
     unit = fixed.levels / max(fixed.n, 1)
     seen = evaluate(levels, fixed, [0.0, *(unit * np.geomspace(10.0**-DECADES, 10.0**DECADES, 2 * DECADES + 1))])
     for _ in range(rounds):
@@ -275,8 +288,8 @@ def optimum(levels: DataFrame, size: int, tolerance: float = 1e-9, rounds: int =
         if best.x == 0 and best.slope >= 0:
             return best, True
         lo, hi = (seen[k], seen[k + 1] if k + 1 < len(seen) else None) if best.slope < 0 else (seen[k - 1], seen[k])
-        if hi is None:  # the lowest point is the last one
-            return best, False
+        if hi is None:
+            raise ValueError("nothing is left for the residual: both factors explain the outcome exactly")
         if lo.slope >= 0 or hi.slope < 0:  # rounding near the optimum: the slopes at hand decide
             signs = [i for i in range(len(seen) - 1) if seen[i].slope < 0 <= seen[i + 1].slope and seen[i].value <= lowest]
             if not signs:

@@ -205,8 +205,8 @@ def explained_by_larger(f: SmallFactor) -> tuple[np.ndarray, np.ndarray, float]:
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, ss = np.zeros((size + 1, size)), 0.0
         for part in reml.stretches(batches, size):
-            counts, _ = reml.dense(part, size)
-            n, s = part["n"].to_numpy(float), part["s"].to_numpy(float)
+            counts, _, s = reml.dense(part, size)
+            n = part["n"].to_numpy(float)
             total[:size] += counts.T @ (counts / n[:, None])
             total[size] += counts.T @ (s / n)
             ss += float((s * s / n).sum())
