@@ -12,8 +12,8 @@ shingles in which linked sets can differ, so linked sets agree on a whole group,
 names the tile.  Within each tile a tree joins the points; pairs that survive are verified exactly.
 
 Copies share one set and are joined once.  Tiles that share members are joined as one group, so a pair is
-looked at once however many tiles it shares.  Before that, every member is verified against the member of
-its tiles that has most tiles: this connects large groups of near copies with no more pairs than members.
+looked at once however many tiles it shares.  Before that, every member is verified against the first owner with which
+it shares most tiles: this connects large groups of near copies with no more pairs than members.
 Only groups that are not yet connected are joined by trees, in blocks of bounded size; pairs that survive
 the bounds are verified exactly, unless their documents are connected by then.
 """
@@ -39,6 +39,8 @@ PERCENT = 90
 # shingles of one block of a group (2 MB)
 BLOCK = 1 << 18
 LEAF, FAN = 32, 8
+# tiles of one batch; text for each range of tile hashes; bytes of a hash that are sent, beside its range
+BATCH_TILES, RANGE_BYTES, TILE_BYTES = 500_000, 1 << 22, 6
 # rows for one task of the steps on pairs and links
 ROWS = 100_000
 
@@ -146,24 +148,79 @@ def _keys(docs: DataFrame, text: str, width: int, row: list[str]) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint" + "".join(f", `{c}` bigint" for c in row))
 
 
-def _tiles(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def _stars(owners: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (owner, tile) pairs: which are the first of their tile, and the rest as edges to the tile's first owner."""
+    order = np.lexsort((owners, names))
+    new = np.ones(len(order), bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    edges = np.stack([owners[order[~new]], owners[first[~new]]], axis=1)
+    return order[new], *np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0, return_counts=True)
+
+
+def _edges_table(edges: np.ndarray, counts: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(edges[:, 0].copy(), pa.int64()), "b": pa.array(edges[:, 1].copy(), pa.int64()), "n": pa.array(counts, pa.int64())})
+
+
+def _tile_edges(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """``(a, b, n)``: sets a share n tiles whose first owner is b; it connects all that share a tile.
+
+    Sets that share a tile within a batch are connected there, and the batch sends every tile once, with its first
+    owner, as bare hashes by hash range.  So a tile of very many sets costs one entry a batch, and no tile is sent twice.
+    """
     src = docs.select(F.col(f"`{text}`").cast("binary").alias("__text"))
+    size = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    ranges = size // RANGE_BYTES + 1
+
+    def messages(owners: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        first, edges, counts = _stars(owners, names)
+        owners, names = owners[first], names[first]
+        spot = ((names >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+        order = np.lexsort((owners, spot))
+        owners, spot = owners[order], spot[order]
+        bare = names[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TILE_BYTES]
+        begin = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (owners[1:] != owners[:-1])]) if len(spot) else spot
+        sizes = np.diff(np.r_[begin, len(spot)])
+        at = np.flatnonzero(np.r_[True, spot[begin][1:] != spot[begin][:-1]]) if len(begin) else begin
+        ends = np.r_[at[1:], len(begin)] if len(at) else at
+        rows = [
+            (int(spot[begin[x]]), owners[begin[x:y]].tobytes(), sizes[x:y].astype("<u4").tobytes(), bare[begin[x] : begin[x] + sizes[x:y].sum()].tobytes())
+            for x, y in zip(at, ends)
+        ]
+        # the batch's own edges go along with one of its messages
+        mine = [np.c_[edges, counts].astype(np.int64).tobytes(), *[b""] * (len(rows) - 1)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), pa.array(mine, pa.binary())],
+            names=["range", "sids", "sizes", "tiles", "edges"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's split: copies name their tiles once
+        names, owners, held = [], [], 0
         for b in pieces(batches, "__text"):
-            names, owners = [], []
             for s in shingle_sets(b.column("__text"), width):
                 if len(s) and (sid := identity(s)) not in seen:
                     seen.add(sid)
                     names.append(tiles(s, percent))
                     owners.append(np.full(len(names[-1]), sid, np.int64))
-            if names:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(names))), pa.array(np.concatenate(owners))], names=["tile", "sid"]
-                )
-
-    return src.mapInArrow(run, "tile bigint, sid bigint")
+                    held += len(names[-1])
+            if held >= BATCH_TILES:
+                yield messages(np.concatenate(owners), np.concatenate(names))
+                names, owners, held = [], [], 0
+        if held:
+            yield messages(np.concatenate(owners), np.concatenate(names))
+
+    def meet(part: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("sids", np.int64), ("sizes", "<u4"), ("tiles", np.uint8))]
+        names = np.zeros((len(parts[2]) // TILE_BYTES, 8), np.uint8)
+        names[:, :TILE_BYTES] = parts[2].reshape(-1, TILE_BYTES)
+        _, edges, counts = _stars(np.repeat(parts[0], parts[1]), names.view("<u8").ravel())
+        mine = np.frombuffer(b"".join(part["edges"].to_pylist()), np.int64).reshape(-1, 3)
+        return pa.concat_tables([_edges_table(edges, counts), _edges_table(mine[:, :2], mine[:, 2].copy())])
+
+    sent = src.mapInArrow(run, "range bigint, sids binary, sizes binary, tiles binary, edges binary")
+    met = sent.groupBy("range").applyInArrow(meet, "a bigint, b bigint, n bigint")
+    return met.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -347,22 +404,17 @@ def jaccard_components(
     extra = [row] if row else []
     keys = cut(_keys(docs, text, width, extra))
     known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    names = _tiles(docs, text, width, percent)
-    shared = names.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
-    members = settled(names.join(shared.select("tile"), "tile").distinct())
-    tiles_of = settled(members.groupBy("sid").agg(F.count("*").alias("tiles")))
-    members = settled(members.join(tiles_of, "sid"))
+    stars = settled(_tile_edges(docs, text, width, percent))
+    shared = settled(stars.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     # the texts that give these classes their names, or have none
-    firsts = tiles_of.join(known, "sid").select("first").distinct()
+    firsts = shared.join(known, "sid").select("first").distinct()
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
     sets = _sets(texts, text, width).dropDuplicates(["sid"])
-    sets = cut(sets.join(tiles_of.select("sid"), "sid", "left_semi"))
+    sets = cut(sets.join(shared, "sid", "left_semi"))
 
-    centre = members.groupBy("tile").agg(F.max(F.struct("tiles", "sid")).alias("c"))
-    stars = settled(members.join(centre, "tile").where("sid <> c.sid").select("sid", "c").distinct())
-    groups = components(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")))
-    stars = stars.groupBy("sid").agg(F.max("c").alias("c"))
-    links = settled(_verify(stars.select(F.col("sid").alias("a"), F.col("c.sid").alias("b")), sets, percent))
+    groups = components(stars.select("a", "b"))
+    best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+    links = settled(_verify(best, sets, percent))
     roots = settled(components(links))
 
     label = F.coalesce("root", "sid").alias("label")
