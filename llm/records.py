@@ -13,6 +13,7 @@ shards named by the tasks that succeeded are read: a task that runs twice leaves
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,13 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.tables import cut, ensure_checkpoint_dir
-from llm.textops import pieces
+from llm.textops import Words, pieces, raw
 
 MASK = 0xA282EAD8
 HEAD = 12
-# words whose ids a worker remembers; the memory is bounded and the ids do not depend on it
-REMEMBERED = 800_000
-MARKS, ALNUM = b",.;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+# words, and as many parts of words, whose ids a worker remembers in each of two generations; the memory is bounded and
+# the ids do not depend on it
+REMEMBERED = 250_000
+# texts of about this many bytes are looked up at once, each distinct word of them one time
+TOGETHER = 4 << 20
+# between these two ASCII characters the pre-tokenizer always cuts: at digits, and between letters and marks, where an
+# apostrophe may belong to the letters behind it
+CUT = re.compile(
+    rb"(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])"
+)
 TARGET_BYTES = 16 << 20
 _tokenizers: dict = {}
 
@@ -134,11 +142,32 @@ def unframed(block: bytes, offsets: np.ndarray) -> list[bytes]:
     return body
 
 
+class Memory:
+    """The ids of what a worker met lately: the young generation becomes the old one when it is full."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def missing(self, names: list[bytes]) -> list[bytes]:
+        """Names that are not known; those of the old generation become young again."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for n in names:
+            if n not in young:
+                if n in old:
+                    young[n] = old[n]
+                else:
+                    out.append(n)
+        return out
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its white-space separated words, and a word met again is looked up.
+    its white-space separated words.  A word met again is looked up, and so are the parts of a new one.
     """
 
     def __init__(self, path: str):
@@ -150,50 +179,45 @@ class WordEncoder:
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian ids of each text, ``width`` bytes each."""
-        lists = [(t or b"").split() for t in texts]
-        get = self.known.get
-        missing: set[bytes] = set()
-        found = [list(map(get, words)) for words in lists]
-        for words, ids in zip(lists, found):
-            if None in ids:
-                missing.update([w for w, i in zip(words, ids) if i is None])
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known.clear()
-                missing = {w for words in lists for w in words}
-            self._learn(missing)
-            known = self.known
-            found = [
-                [known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids
-                for words, ids in zip(lists, found)
-            ]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words.  Lower case of ASCII, and marks behind an ASCII letter or digit, are taken off first: the
-        normalizer lowers all words and the pre-tokenizer always cuts between letters or digits and marks.  Added tokens
-        are found before, in their own case and marks: words with such strings stay as they are."""
-        forms = {}
+        self.words, self.parts = Memory(), Memory()
+
+    def encode(self, column: pa.Array, end_id: int) -> list[bytes]:
+        """Little-endian ids of each text, ``width`` bytes each, and the end's."""
+        words = Words(*raw(column))
+        bounds = np.zeros(len(words.starts) + 1, np.int64)
+        np.cumsum(words.ends - words.starts, out=bounds[1:])
+        body = [None, pa.py_buffer(bounds), pa.py_buffer(words.data[words.inside])]
+        found = pa.Array.from_buffers(pa.large_binary(), len(words.starts), body).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        if new := self.words.missing(names):
+            self._learn(new)
+        ids = [self.words.young[n] for n in names]
+        # the ids of all words one after the other, an end behind those of each text
+        sizes = np.array([*map(len, ids), self.width]) // self.width
+        begin, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids) + np.array([end_id], self.kind).tobytes(), self.kind)
+        which = np.insert(found.indices.to_numpy(), words.at[1:], len(names))
+        many = sizes[which]
+        ends = np.cumsum(many)
+        out = flat[np.arange(int(many.sum())) + np.repeat(begin[which] - (ends - many), many)].tobytes()
+        stops = ends[words.at[1:] + np.arange(len(words.counts))] * self.width
+        return [out[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words by their parts.  ASCII parts are lowered, as the normalizer does.  Added tokens are found
+        before anything is cut, in their own case and marks: words with such strings stay as they are."""
+        forms = []
         for w in words:
-            core = w.lower() if w.isascii() else w
-            bare = core.rstrip(MARKS)
-            if any(t in w.lower() for t in self.added):
-                forms[w] = (w,)
-            elif bare and bare != core and bare[-1] in ALNUM:
-                forms[w] = (bare, core[len(bare) :])
+            if b"<" in w and any(t in w.lower() for t in self.added):
+                forms.append([w])
             else:
-                forms[w] = (core,)
-        new = list({f for parts in forms.values() for f in parts if f not in self.known})
+                forms.append([p.lower() if p.isascii() else p for p in CUT.split(w)])
+        new = self.parts.missing(list({p for parts in forms for p in parts}))
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in ids)))
-        known = self.known
-        known.update({w: known[parts[0]] + known[parts[1]] if len(parts) == 2 else known[parts[0]] for w, parts in forms.items()})
+            some = new[k : k + 20_000]
+            ids = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            self.parts.young.update(zip(some, (np.array(e.ids, self.kind).tobytes() for e in ids)))
+        known = self.parts.young
+        self.words.young.update((w, known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])) for w, parts in zip(words, forms))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -208,29 +232,31 @@ def write_records(
     """Encode every whole text, append ``end_id`` and write shards in ascending ``doc_id`` order (no id first).
 
     Returns ``(shard, path, docs, tokens)``, in order of the shards; null texts are empty.  Rows of one id stand
-    in order of their texts.
+    in order of a hash of their texts.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("__text"))
     if shards is None:
         size = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
         shards = max(1, -(-size // TARGET_BYTES))
-    ordered = src.repartitionByRange(shards, "doc_id", "__text").sortWithinPartitions("doc_id", "__text")
+    # ranges are drawn from a sample of ids and hashes, not of texts
+    order = [F.col("doc_id"), F.xxhash64("__text")]
+    ordered = src.repartitionByRange(shards, *order).sortWithinPartitions(*order, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = _encoder(tokenizer)
-        end, width = np.array([end_id], encoder.kind).tobytes(), bytes([encoder.width])
+        width = bytes([encoder.width])
         fs, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{base}/{shard:08d}-{uuid.uuid4().hex}"
         docs_done = tokens = at = 0
         offsets = []
         out = None
-        for b in pieces(batches, "__text"):
+        for b in pieces(batches, "__text", TOGETHER):
             if out is None:
                 out = fs.open_output_stream(f"{name}.rec")
-            ids = [x + end for x in encoder.encode(b.column("__text").to_pylist())]
+            ids = encoder.encode(b.column("__text"), end_id)
             keys = b.column("doc_id")
             known = keys.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
             keys = keys.fill_null(0).to_numpy()
