@@ -15,7 +15,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -205,19 +207,29 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words by their parts.  ASCII parts are lowered, as the normalizer does.  Added tokens are found
         before anything is cut, in their own case and marks: words with such strings stay as they are."""
-        forms = []
+        alone, split, parts = [], [], []
         for w in words:
             if b"<" in w and any(t in w.lower() for t in self.added):
-                forms.append([w])
+                some = [w]
             else:
-                forms.append([p.lower() if p.isascii() else p for p in CUT.split(w)])
-        new = self.parts.missing(list({p for parts in forms for p in parts}))
+                some = CUT.split(w.lower() if w.isascii() else w)
+            if len(some) == 1:
+                alone.append(w)
+                parts.append(some[0])
+            else:
+                # parts between ASCII characters; only those without others are lowered here
+                some = tuple([p.lower() if p.isascii() else p for p in some])
+                split.append((w, some))
+        new = self.parts.missing(list({*parts, *chain.from_iterable([x for _, x in split])}))
+        known, kind = self.parts.young, "H" if self.width == 2 else "I"
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             ids = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.parts.young.update(zip(some, (np.array(e.ids, self.kind).tobytes() for e in ids)))
-        known = self.parts.young
-        self.words.young.update((w, known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])) for w, parts in zip(words, forms))
+            known.update(zip(some, [array(kind, e.ids).tobytes() for e in ids]))
+        young = self.words.young
+        young.update(zip(alone, map(known.__getitem__, parts)))
+        for w, some in split:
+            young[w] = b"".join([known[p] for p in some])
 
 
 def _encoder(path: str) -> WordEncoder:
