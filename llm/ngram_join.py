@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import cut
+from llm.tables import cut, release
 from llm.textops import U, Words, mix, pieces, range_hashes, raw, signed, windows
 
 DIMS = 256
@@ -355,11 +355,11 @@ def _block_links(part: pa.Table, percent: int) -> pa.Table:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets really link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
+    return pairs.join(left, "b").join(right, "a").where(100 * both >= percent * union).select("a", "b")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -404,17 +404,22 @@ def jaccard_components(
     extra = [row] if row else []
     keys = cut(_keys(docs, text, width, extra))
     known = keys.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
+    spark = docs.sparkSession
     stars = settled(_tile_edges(docs, text, width, percent))
+    release(spark)
     shared = settled(stars.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     # the texts that give these classes their names, or have none
     firsts = shared.join(known, "sid").select("first").distinct()
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
     sets = _sets(texts, text, width).dropDuplicates(["sid"])
     sets = cut(sets.join(shared, "sid", "left_semi"))
+    release(spark)
 
     groups = components(stars.select("a", "b"))
     best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+    release(spark)
     links = settled(_verify(best, sets, percent))
+    release(spark)
     roots = settled(components(links))
 
     label = F.coalesce("root", "sid").alias("label")
