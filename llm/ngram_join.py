@@ -36,8 +36,8 @@ DIMS = 256
 # what op9 asks for; links need 100 * intersection >= percent * union
 WIDTH = 3
 PERCENT = 90
-# shingles of one block of a group (2 MB)
-BLOCK = 1 << 18
+# shingles of one block of a group (8 MB); a set goes along once for each block of its group
+BLOCK = 1 << 20
 LEAF, FAN = 32, 8
 # tiles of one batch; text for each range of tile hashes; bytes of a hash that are sent, beside its range
 BATCH_TILES, RANGE_BYTES, TILE_BYTES = 500_000, 1 << 22, 6
