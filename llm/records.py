@@ -182,6 +182,13 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.words, self.parts = Memory(), Memory()
+        # which ids end a pre-token; None where the vocabulary has no such mark
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, column: pa.Array, end_id: int) -> list[bytes]:
         """Little-endian ids of each text, ``width`` bytes each, and the end's."""
@@ -190,10 +197,12 @@ class WordEncoder:
         np.cumsum(words.ends - words.starts, out=bounds[1:])
         body = [None, pa.py_buffer(bounds), pa.py_buffer(words.data[words.inside])]
         found = pa.Array.from_buffers(pa.large_binary(), len(words.starts), body).dictionary_encode()
-        names = found.dictionary.to_pylist()
+        data, offsets = raw(found.dictionary)
+        data, offsets = data.tobytes(), offsets.tolist()
+        names = [data[a:b] for a, b in zip(offsets, offsets[1:])]
         if new := self.words.missing(names):
             self._learn(new)
-        ids = [self.words.young[n] for n in names]
+        ids = [*map(self.words.young.__getitem__, names)]
         # the ids of all words one after the other, an end behind those of each text
         sizes = np.array([*map(len, ids), self.width]) // self.width
         begin, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids) + np.array([end_id], self.kind).tobytes(), self.kind)
@@ -209,6 +218,10 @@ class WordEncoder:
         before anything is cut, in their own case and marks: words with such strings stay as they are."""
         alone, split, parts = [], [], []
         for w in words:
+            if w.isalpha():
+                alone.append(w)
+                parts.append(w.lower())
+                continue
             if b"<" in w and any(t in w.lower() for t in self.added):
                 some = [w]
             else:
@@ -222,6 +235,15 @@ class WordEncoder:
                 split.append((w, some))
         new = self.parts.missing(list({*parts, *chain.from_iterable([x for _, x in split])}))
         known, kind = self.parts.young, "H" if self.width == 2 else "I"
+        if self.last is not None:
+            # ASCII letters are one pre-token: thousands of such parts are one text, cut at the ends of pre-tokens
+            letters, new = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+            for k in range(0, len(letters), 5_000):
+                some = letters[k : k + 5_000]
+                if (ids := self._joined(some)) is None:
+                    new += some
+                else:
+                    known.update(zip(some, ids))
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             ids = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
@@ -231,6 +253,16 @@ class WordEncoder:
         for w, some in split:
             young[w] = b"".join([known[p] for p in some])
 
+    def _joined(self, parts: list[bytes]) -> list[bytes] | None:
+        """Ids of parts that are one pre-token each, encoded as one text; None if the ends don't match the parts."""
+        text = b" ".join(parts).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * self.width
+        if len(ends) != len(parts) or ends[-1] != ids.nbytes:
+            return None
+        flat, ends = ids.tobytes(), ends.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
 
 def _encoder(path: str) -> WordEncoder:
     if path not in _tokenizers:
