@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -411,6 +411,30 @@ def _root(value: float) -> float | None:
     return float(np.sqrt(value)) if value > 0 and np.isfinite(value) else None
 
 
+def _effect_levels(cells: DataFrame, fits: Sequence[Fit], clusters: Mapping[str, Sequence[str]]) -> None:
+    """Set the number of levels of each fit's absorbed effect, and the cluster levels it is nested in.
+
+    An effect is nested when each of its levels has one cluster only: the least and the greatest
+    cluster of the level are the same.  One grouping of the cell table answers it for all cluster levels.
+    """
+    for fe in sorted({f.fe for f in fits if f.fe}):
+        same = [f for f in fits if f.fe == fe]
+        per_level, totals = [], []
+        for f in same:
+            n = F.col(f.col("n"))
+            per_level.append(F.sum(n).alias(f.col("n")))
+            totals.append(F.count_if(n > 0).alias(f.col("n")))
+            for i, keys in enumerate(clusters.values()):
+                lo, hi = f.col("lo", i), f.col("hi", i)
+                present = F.when(n > 0, cluster_key(keys))
+                per_level += [F.min(present).alias(lo), F.max(present).alias(hi)]
+                totals.append(F.count_if(F.col(lo) != F.col(hi)).alias(f.col("split", i)))
+        row = cells.groupBy(*fe).agg(*per_level).agg(*totals).first()
+        for f in same:
+            f.levels = int(row[f.col("n")])
+            f.nested = frozenset(c for i, c in enumerate(clusters) if row[f.col("split", i)] == 0)
+
+
 def regress(
     df: DataFrame,
     specs: Sequence[Spec],
@@ -418,24 +442,33 @@ def regress(
     bootstrap: Sequence[str] | None = None,
     reps: int = 999,
     seed: int = 42,
-    fe_dof: str = "all",
+    fe_dof: str = "nested",
     hc1: bool = True,
+    missing_clusters: str = "level",
 ) -> list[dict]:
     """Coefficient, standard errors and bootstrap p-values of each spec, as plain records.
 
     A spec with fewer than ``min_n`` complete rows is left out.  A regressor without variation, a
-    single cluster, or a failed fit gives NULL instead of a number.  ``fe_dof`` says whether the
-    levels of an absorbed effect count as parameters in the clustered error: ``all`` or ``none``.
+    single cluster, or a failed fit gives NULL instead of a number.
+
+    ``fe_dof`` says which levels of an absorbed effect count as parameters in the clustered error:
+    ``all``, ``none``, or all unless the effect is ``nested`` in the clusters.  ``missing_clusters``
+    says what a row without some part of a cluster key is: ``level``, one of a cluster of such rows,
+    or ``drop``, left out of every spec, as are rows without the absorbed effect's key.  The rows are
+    the same for all cluster levels of a call, so a coefficient and all its errors belong together;
+    ``Spec.complete`` asks for columns spec by spec.
     """
+    if fe_dof not in ("all", "none", "nested"):
+        raise ValueError("fe_dof must be all, none or nested")
+    if missing_clusters not in ("level", "drop"):
+        raise ValueError("missing_clusters must be level or drop")
     levels = list(clusters)
     bootstrap = levels if bootstrap is None else list(bootstrap)
+    if missing_clusters == "drop":
+        keys = [c for level in levels for c in clusters[level]]
+        specs = [replace(s, complete=(*s.complete, *keys, *s.fe)) for s in specs]
     fits, which, raw_cells, cells, sizes = fit_moments(df, specs, [clusters[c] for c in levels])
-    for fe in {f.fe for f in fits if f.fe}:
-        same = [f for f in fits if f.fe == fe]
-        counted = cells.groupBy(*fe).agg(*[F.sum(f.col("n")).alias(f.col("n")) for f in same])
-        row = counted.agg(*[F.count_if(F.col(f.col("n")) > 0).alias(f.col("n")) for f in same]).first()
-        for f in same:
-            f.levels = int(row[f.col("n")])
+    _effect_levels(cells, fits, clusters)
     solutions = [solve(s, fits[w]) for s, w in zip(specs, which)]
     reported = [i for i, s in enumerate(solutions) if s.fit.n >= s.spec.min_n and s.fit.n > 0]
     usable = [i for i in reported if solutions[i].ok]
@@ -475,7 +508,8 @@ def regress(
                 _bootstrap_absorbed(cells, sizes[-1], list(fe), keys, solutions, picked, results, reps, seed)
             for i, r in zip(picked, results):
                 s = solutions[i]
-                extra = s.fit.levels if s.fit.fe and fe_dof == "all" else 1
+                counted = fe_dof == "all" or (fe_dof == "nested" and c not in s.fit.nested)
+                extra = s.fit.levels if s.fit.fe and counted else 1
                 n, params = s.fit.n, len(s.kept) + extra
                 records[i][f"n_clusters_{c}"] = r.groups
                 if r.groups >= 2 and n > params:
@@ -513,14 +547,15 @@ def inference_table(
     seed: int = 42,
     crit: float = 1.96,
     alpha: float = 0.05,
-    fe_dof: str = "all",
+    fe_dof: str = "nested",
+    missing_clusters: str = "level",
 ) -> DataFrame:
     """One row per spec: coefficient, errors, t values, bootstrap p-values and significance flags.
 
     A missing error or p-value counts as not significant; ``boot_failed`` tells the two apart.
     """
     levels = list(clusters)
-    records = regress(df, specs, clusters, bootstrap, reps, seed, fe_dof)
+    records = regress(df, specs, clusters, bootstrap, reps, seed, fe_dof, missing_clusters=missing_clusters)
     out = df.sparkSession.createDataFrame(records, result_schema(levels))
     booted = levels if bootstrap is None else list(bootstrap)
     columns: dict[str, Column] = {}

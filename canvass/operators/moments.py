@@ -25,6 +25,7 @@ class Spec:
     """One reported regression: outcome, regressors, and the label of the result row.
 
     The first regressor is the one reported.  ``fe`` names the columns of an absorbed group effect.
+    Rows that lack a variable or one of the ``complete`` columns take no part.
     """
 
     label: str
@@ -32,6 +33,7 @@ class Spec:
     xs: tuple[str, ...]
     fe: tuple[str, ...] = ()
     min_n: int = 0
+    complete: tuple[str, ...] = ()
 
     @property
     def key(self) -> str:
@@ -40,7 +42,7 @@ class Spec:
 
 @dataclass
 class Fit:
-    """A regression actually computed: one per outcome and regressor set."""
+    """A regression actually computed: one per outcome, regressor set and list of complete columns."""
 
     index: int
     y: str
@@ -50,6 +52,9 @@ class Fit:
     means: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cross: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     levels: int = 0
+    complete: tuple[str, ...] = ()
+    # cluster levels within which every level of the absorbed effect lies
+    nested: frozenset[str] = frozenset()
 
     @property
     def variables(self) -> tuple[str, ...]:
@@ -70,10 +75,11 @@ def distinct_fits(specs: Sequence[Spec]) -> tuple[list[Fit], list[int]]:
     fits: list[Fit] = []
     which = []
     for s in specs:
-        ident = (s.y, frozenset(s.xs), s.fe)
+        complete = tuple(sorted(set(s.complete)))
+        ident = (s.y, frozenset(s.xs), s.fe, complete)
         if ident not in seen:
             seen[ident] = len(fits)
-            fits.append(Fit(len(fits), s.y, tuple(sorted(s.xs)), s.fe))
+            fits.append(Fit(len(fits), s.y, tuple(sorted(s.xs)), s.fe, complete=complete))
         which.append(seen[ident])
     return fits, which
 
@@ -85,10 +91,16 @@ def _pairs(m: int) -> list[tuple[int, int]]:
 def masked_variables(df: DataFrame, fits: Sequence[Fit], keep: Sequence[str]) -> DataFrame:
     """Keys plus, per fit, its variables with incomplete rows set to NULL."""
     used = sorted({v for f in fits for v in f.variables})
-    clean = df.select(*keep, *[nan_to_null(F.col(v).cast("double")).alias(f"__x_{v}") for v in used])
+    needed = sorted({c for f in fits for c in f.complete})
+    floats = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    clean = df.select(
+        *keep,
+        *[nan_to_null(F.col(v).cast("double")).alias(f"__x_{v}") for v in used],
+        *[(nan_to_null(c) if c in floats else F.col(c)).alias(f"__c_{c}") for c in needed],
+    )
     columns = []
     for f in fits:
-        present = complete([f"__x_{v}" for v in f.variables])
+        present = complete([*[f"__x_{v}" for v in f.variables], *[f"__c_{c}" for c in f.complete]])
         columns += [F.when(present, F.col(f"__x_{v}")).alias(f.col("v", j)) for j, v in enumerate(f.variables)]
     return clean.select(*keep, *columns)
 

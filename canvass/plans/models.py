@@ -51,6 +51,7 @@ def order_rows(spark, sf):
         S.indicator(S.in_set("o_orderpriority", ["1-URGENT", "2-HIGH"])).alias("rush"),
         S.indicator(F.month("o_orderdate") >= 10).alias("late_in_year"),
         F.when(F.col("o_orderstatus") != "P", S.indicator(F.col("o_orderstatus") == "O")).alias("still_open"),
+        F.month("o_orderdate").alias("month"),
     )
 
 
@@ -58,7 +59,8 @@ ORDER_ROWS = """d AS (SELECT c_nationkey AS state, c_custkey AS village, ln(1 +
   c_acctbal / 1000 AS balance, CAST(c_acctbal < 0 AS INTEGER) AS debtor,
   CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS rush,
   CAST(month(o_orderdate) >= 10 AS INTEGER) AS late_in_year,
-  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderstatus = 'O' AS INTEGER) END AS still_open
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderstatus = 'O' AS INTEGER) END AS still_open,
+  month(o_orderdate) AS month
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 # each with a second regressor held fixed
@@ -124,9 +126,12 @@ def weights_sql(clusters: str) -> str:
     )
 
 
-def regression_sql(rows: str, specs: list[Spec], keys: dict[str, str], boot: bool = True, min_n: int = 0) -> str:
+def regression_sql(rows: str, specs: list[Spec], keys: dict[str, str], boot: bool = True, min_n: int = 0,
+                   nested: tuple[str, ...] = ()) -> str:
     """WITH clauses ending in ``res``: one row per spec, for specs with one or two regressors.
 
+    The absorbed effect counts as one parameter in the errors of the clusters it is ``nested`` in.
+
     Works on rows and per-cluster sums with residuals written out, independently of the operator's
     algebra.  With one regressor the second is a column of zeros.
     """
@@ -175,7 +180,8 @@ def regression_sql(rows: str, specs: list[Spec], keys: dict[str, str], boot: boo
             f"(SELECT spec, g, sum(u) AS u FROM cl_{name} GROUP BY 1, 2) GROUP BY spec)"
         )
         columns += [f"t_{name}.gs AS n_clusters_{name}",
-                    f"sqrt(t_{name}.gs / (t_{name}.gs - 1) * (f.n - 1) / (f.n - ({params})) * t_{name}.meat) AS se_{name}"]
+                    f"sqrt(t_{name}.gs / (t_{name}.gs - 1) * (f.n - 1) / (f.n - ({k + 1 if name in nested else params})) "
+                    f"* t_{name}.meat) AS se_{name}"]
         joins += f" JOIN t_{name} ON f.spec = t_{name}.spec"
         if not boot:
             continue
@@ -328,6 +334,139 @@ def absorbed_effect_report(spark, sf):
     return inference.verdict(t, "sig_hc1", "sig_state", "sig_boot_state")
 
 
+# customers lie within nations, not within months
+NESTED_SPECS = [
+    Spec("value by rush + village", "log_total", ("rush", "late_in_year"), fe=("village",), min_n=100),
+    Spec("open by value + village", "still_open", ("log_total", "rush"), fe=("village",), min_n=100),
+]
+NESTED_CLUSTERS = {"state": ["state"], "month": ["month"]}
+NESTED_KEYS = {"state": key_sql("state"), "month": key_sql("month")}
+
+
+@query(rounded_sql(regression_sql(ORDER_ROWS, NESTED_SPECS, NESTED_KEYS, boot=False, min_n=100, nested=("state",)) + " SELECT * FROM tab",
+                   inference_columns(NESTED_KEYS, boot=False)))
+def nested_effect_report(spark, sf):
+    """An absorbed effect nested in one kind of cluster and not in the other."""
+    return inference.inference_table(order_rows(spark, sf), NESTED_SPECS, NESTED_CLUSTERS, bootstrap=[])
+
+
+# interviews with missing answers among the parts of the cluster keys
+ANSWER_SPECS = [
+    Spec("size by hour", "q_size", ("start_hour", "date_interview"), min_n=50),
+    Spec("minutes by size", "duration_mins", ("q_size", "start_hour"), min_n=50),
+]
+ANSWER_CLUSTERS = {"answer": ["state", "q_group"], "kind": ["q_kind"]}
+ANSWER_KEYS = {"answer": key_sql("state", "q_group"), "kind": key_sql("q_kind")}
+
+
+def answer_sql(where: str = "true") -> str:
+    rows = f"{INTERVIEWS}, d AS (SELECT * FROM iv WHERE {where})"
+    sql = regression_sql(rows, ANSWER_SPECS, ANSWER_KEYS, min_n=50) + " SELECT * FROM tab"
+    return rounded_sql(sql, inference_columns(ANSWER_KEYS))
+
+
+def _answer_report(spark, sf, missing):
+    return inference.inference_table(
+        interviews(spark, sf), ANSWER_SPECS, ANSWER_CLUSTERS, reps=REPS, seed=SEED, missing_clusters=missing
+    )
+
+
+@query(answer_sql())
+def missing_clusters_as_level(spark, sf):
+    return _answer_report(spark, sf, "level")
+
+
+@query(answer_sql("state IS NOT NULL AND q_group IS NOT NULL AND q_kind IS NOT NULL"))
+def missing_clusters_dropped(spark, sf):
+    return _answer_report(spark, sf, "drop")
+
+
+# the last regressor is the sum of two others, so one of the three has to go: the last in the order of the spec
+MANY_SPECS = [
+    Spec("price by quantity", "price", ("quantity", "discount", "tax", "levies"), min_n=50),
+    Spec("price by discount", "price", ("discount", "quantity", "tax", "levies"), min_n=50),
+    Spec("price by levies", "price", ("levies", "quantity", "discount", "tax"), min_n=50),
+]
+MANY_ROWS = LINE_ROWS + ", m AS (SELECT *, discount + tax AS levies FROM d)"
+
+
+def partialling_sql(rows: str, source: str, specs: list[Spec], keys: dict[str, str]) -> str:
+    """Errors of specs with any number of regressors, by taking out one regressor after the other.
+
+    The first round, in the spec's order, finds the regressors with variation of their own; the second
+    takes those out of the reported one and of the outcome.  No matrix is inverted.
+    """
+    k = max(len(s.xs) for s in specs)
+    xs = range(1, k + 1)
+    g = ", ".join(f"{expr} AS g_{name}" for name, expr in keys.items())
+    names = ", ".join(f"g_{name}" for name in keys)
+    long = " UNION ALL ".join(
+        f"SELECT '{s.label}' AS spec, '{s.y}' AS outcome, '{s.key}' AS key_predictor, CAST({s.y} AS DOUBLE) AS y, "
+        + ", ".join(f"CAST({s.xs[j - 1] if j <= len(s.xs) else '0'} AS DOUBLE) AS x{j}" for j in xs)
+        + f", {g} FROM {source}"
+        for s in specs
+    )
+    w = "WINDOW w AS (PARTITION BY spec)"
+
+    def without(j: int, of: list[str]) -> str:
+        own = f"sum(b{j} * b{j}) OVER w > 1e-10 * sum(x{j} * x{j}) OVER w"
+        return ", ".join(
+            f"CASE WHEN {own} THEN {v} - b{j} * (sum(b{j} * {v}) OVER w / sum(b{j} * b{j}) OVER w) ELSE {v} END AS {v}" for v in of
+        )
+
+    parts = [
+        rows,
+        f"lng AS (SELECT * FROM ({long}) WHERE y IS NOT NULL AND " + " AND ".join(f"x{j} IS NOT NULL" for j in xs) + ")",
+        f"a0 AS (SELECT spec, outcome, key_predictor, {names}, y - avg(y) OVER w AS y, "
+        + ", ".join(f"x{j} - avg(x{j}) OVER w AS x{j}, x{j} - avg(x{j}) OVER w AS b{j}" for j in xs) + f" FROM lng {w})",
+    ]
+    for j in range(1, k):
+        parts.append(f"a{j} AS (SELECT * REPLACE ({without(j, [f'b{i}' for i in range(j + 1, k + 1)])}) FROM a{j - 1} {w})")
+    own = {j: f"sum(b{j} * b{j}) OVER w > 1e-10 * sum(x{j} * x{j}) OVER w" for j in xs}
+    parts.append(
+        f"c1 AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {own[j]} THEN x{j} ELSE 0 END AS b{j}' for j in xs)}), "
+        + " + ".join(f"CASE WHEN {own[j]} THEN 1 ELSE 0 END" for j in xs) + f" AS params FROM a{k - 1} {w})"
+    )
+    for j in range(2, k + 1):
+        parts.append(f"c{j} AS (SELECT * REPLACE ({without(j, ['b1', 'y', *[f'b{i}' for i in range(j + 1, k + 1)]])}) FROM c{j - 1} {w})")
+    parts += [
+        f"f AS (SELECT spec, outcome, key_predictor, count(*) AS n, any_value(params) + 1 AS params, sum(b1 * b1) AS s11, "
+        f"sum(b1 * y) / sum(b1 * b1) AS beta FROM c{k} GROUP BY 1, 2, 3)",
+        f"r AS (SELECT spec, {names}, b1 / s11 * (y - beta * b1) AS u FROM c{k} JOIN f USING (spec))",
+        "h AS (SELECT spec, sum(u * u) AS meat FROM r GROUP BY 1)",
+    ]
+    columns = ["f.spec", "f.outcome", "f.key_predictor", "f.n AS n_obs", "f.beta", "sqrt(n / (n - params) * h.meat) AS se_hc1"]
+    joins = "f JOIN h ON f.spec = h.spec"
+    for name in keys:
+        parts.append(
+            f"t_{name} AS (SELECT spec, count(*) AS gs, sum(u * u) AS meat FROM "
+            f"(SELECT spec, g_{name}, sum(u) AS u FROM r GROUP BY 1, 2) GROUP BY 1)"
+        )
+        columns += [f"t_{name}.gs AS n_clusters_{name}", f"sqrt(t_{name}.gs / (t_{name}.gs - 1) * (n - 1) / (n - params) * t_{name}.meat) AS se_{name}"]
+        joins += f" JOIN t_{name} ON f.spec = t_{name}.spec"
+    flags = ["*", "beta / se_hc1 AS t_hc1", "abs(beta / se_hc1) > 1.96 AS sig_hc1", "false AS boot_failed"]
+    for name in keys:
+        flags += [f"beta / se_{name} AS t_{name}", f"abs(beta / se_{name}) > 1.96 AS sig_{name}"]
+    return f"WITH {', '.join(parts)} SELECT {', '.join(flags)} FROM (SELECT {', '.join(columns)} FROM {joins})"
+
+
+@query(rounded_sql(partialling_sql(MANY_ROWS, "m", MANY_SPECS, LINE_KEYS), inference_columns(LINE_KEYS, boot=False)))
+def many_regressors(spark, sf):
+    """Four regressors, one of them the sum of two others."""
+    rows = line_rows(spark, sf).withColumn("levies", F.col("discount") + F.col("tax"))
+    return inference.inference_table(rows, MANY_SPECS, LINE_CLUSTERS, bootstrap=[])
+
+
+SURVIVOR_FLAGS = ["sig_hc1", "sig_state", "sig_boot_state"]
+
+
+@query(regression_sql(LINE_ROWS, KEY_SPECS, LINE_KEYS, min_n=50) + f" SELECT spec, key_predictor FROM tab WHERE {' AND '.join(SURVIVOR_FLAGS)}")
+def surviving_specs(spark, sf):
+    """The specifications that are significant under every method."""
+    t = inference.inference_table(line_rows(spark, sf), KEY_SPECS, LINE_CLUSTERS, reps=REPS, seed=SEED)
+    return inference.survivors(t, SURVIVOR_FLAGS).select("spec", "key_predictor")
+
+
 @query(rounded_sql(
     "SELECT * FROM (" + regression_sql(LINE_ROWS, KEY_SPECS[:2], LINE_KEYS, boot=False)
     + " SELECT spec, beta, t_hc1, t_state AS t_clust, 'state' AS cluster_type FROM tab) UNION ALL SELECT * FROM ("

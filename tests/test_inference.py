@@ -5,12 +5,14 @@ import pandas as pd
 import pytest
 
 from canvass.operators.inference import (
+    cluster_key,
     WEBB, draw_index, flip_summary, fragile, inference_table, outcome_specs, regress, significance_code, survivors, text_hash, tidy, verdict)
 from canvass.operators.moments import Spec
 
 
 def weight(seed, rep, cluster):
-    return WEBB[draw_index(text_hash(seed, "c", str(cluster)), text_hash(seed, "r", str(rep)))]
+    name = f"{len(str(cluster))}:{cluster}"  # as cluster_key names a cluster of one part
+    return WEBB[draw_index(text_hash(seed, "c", name), text_hash(seed, "r", str(rep)))]
 
 
 def ols(X, y):
@@ -150,6 +152,100 @@ def test_missing_cluster_is_its_own_cluster(spark):
     assert r["n_clusters_g"] == 3
 
 
+def test_rows_without_a_cluster_can_be_dropped(spark):
+    d = frame(300).dropna().reset_index(drop=True)
+    d["h"] = np.where(d.index % 5 == 0, np.nan, d.g % 4)  # a missing part as NaN
+    d["name"] = np.where(d.index % 7 == 0, None, d.f.astype(str))  # and as null
+    df = spark.createDataFrame(d.astype({"name": object})).repartition(4)
+    levels = {"g": ["g"], "both": ["h", "name"]}
+    spec = Spec("s", "y", ("x1", "x2"))
+    [got] = regress(df, [spec], levels, reps=29, missing_clusters="drop")
+    kept = df.where("not isnan(h) and h is not null and name is not null")
+    [want] = regress(kept, [spec], levels, reps=29)
+    assert 0 < got["n_obs"] == want["n_obs"] < len(d)
+    assert got["n_clusters_both"] == want["n_clusters_both"] == d.dropna().groupby(["h", "name"]).ngroups
+    for k in ("beta", "se_hc1", "se_g", "se_both"):
+        assert got[k] == pytest.approx(want[k], rel=1e-9)
+    assert (got["p_boot_g"], got["p_boot_both"]) == (want["p_boot_g"], want["p_boot_both"])
+    [level] = regress(df, [spec], levels, bootstrap=[])
+    assert level["n_obs"] == len(d) and level["n_clusters_both"] > got["n_clusters_both"]
+    with pytest.raises(ValueError):
+        regress(df, [spec], levels, missing_clusters="ignore")
+
+
+def test_each_spec_has_its_own_complete_columns(spark):
+    d = frame(300).dropna().reset_index(drop=True)
+    d["name"] = np.where(d.index % 7 == 0, None, d.f.astype(str))
+    df = spark.createDataFrame(d.astype({"name": object}))
+    specs = [Spec("all", "y", ("x1",)), Spec("named", "y", ("x1",), complete=("name",)), Spec("fe", "y", ("x1",), fe=("name",), complete=("name",))]
+    got = {r["spec"]: r for r in regress(df, specs, {"g": ["g"]}, bootstrap=[])}
+    named = d.dropna()
+    assert (got["all"]["n_obs"], got["named"]["n_obs"], got["fe"]["n_obs"]) == (len(d), len(named), len(named))
+    X, y = np.c_[named.x1 - named.x1.mean(), np.ones(len(named))], (named.y - named.y.mean()).values
+    assert got["named"]["beta"] == pytest.approx(ols(X, y)[0], rel=1e-8)
+    assert got["named"]["se_g"] == pytest.approx(crv1(X, y, named.g.values)[0], rel=1e-8)
+    within = named[["x1", "y"]] - named.groupby("name")[["x1", "y"]].transform("mean")
+    assert got["fe"]["beta"] == pytest.approx((within.x1 * within.y).sum() / (within.x1**2).sum(), rel=1e-8)
+
+
+def test_no_rows_left_after_dropping(spark):
+    df = spark.sql("select id as x, id * id as y, cast(null as string) as g from range(30)")
+    assert regress(df, [Spec("s", "y", ("x",))], {"g": ["g"]}, bootstrap=[], missing_clusters="drop") == []
+
+
+def test_nested_effect_counts_as_one_parameter(spark):
+    d = frame(400, 8).dropna()
+    d["f"] = d.g * 3 + d.f % 3  # within g; not within h
+    d["h"] = np.arange(len(d)) % 10
+    df = spark.createDataFrame(d).repartition(3)
+    spec = Spec("fe", "y", ("x2", "x1"), fe=("f",))
+    dummies = pd.get_dummies(d.f).values.astype(float)
+    X, y = np.c_[(d[["x2", "x1"]] - d[["x2", "x1"]].mean()).values, dummies], (d.y - d.y.mean()).values
+    every = X.shape[1]
+    params = {"nested": (3, every), "all": (every, every), "none": (3, 3)}
+    for mode, (in_g, in_h) in params.items():
+        [r] = regress(df, [spec], {"g": ["g"], "h": ["h"]}, bootstrap=[], fe_dof=mode)
+        assert r["se_g"] == pytest.approx(crv1(X, y, d.g.values, in_g)[0], rel=1e-7)
+        assert r["se_h"] == pytest.approx(crv1(X, y, d.h.values, in_h)[0], rel=1e-7)
+        assert r["se_hc1"] == pytest.approx(hc1(X, y)[1][0], rel=1e-7)
+    with pytest.raises(ValueError):
+        regress(df, [spec], {"g": ["g"]}, fe_dof="some")
+
+
+def test_effect_is_nested_by_its_own_rows_only(spark):
+    # the one level that lies in two clusters has only one of them among the complete rows
+    rows = [(float(i), float(i * i % 7), f"f{i % 4}", "a" if i % 4 < 2 else "b") for i in range(40)]
+    rows += [(None, 1.0, "f0", "b")]
+    df = spark.createDataFrame(rows, "x double, y double, f string, g string")
+    spec = Spec("s", "y", ("x",), fe=("f",))
+    [nested] = regress(df, [spec], {"g": ["g"]}, bootstrap=[])
+    [none] = regress(df, [spec], {"g": ["g"]}, bootstrap=[], fe_dof="none")
+    [every] = regress(df, [spec], {"g": ["g"]}, bootstrap=[], fe_dof="all")
+    assert nested["se_g"] == none["se_g"] < every["se_g"]
+
+
+def test_four_regressors_one_collinear(spark):
+    d = frame(500, 4).dropna()
+    d["x4"] = d.f + 0.1 * d.x2
+    d["x5"] = 3 * d.x2 - 2 * d.x4  # nothing of its own
+    df = spark.createDataFrame(d).repartition(3)
+    [r] = regress(df, [Spec("s", "y", ("x1", "x2", "x4", "x5"))], {"g": ["g"]}, reps=49)
+    z = (d[["x1", "x2", "x4"]] - d[["x1", "x2", "x4"]].mean()) / d[["x1", "x2", "x4"]].std()
+    X, y = np.c_[np.ones(len(d)), z], (d.y - d.y.mean()).values
+    b, se = hc1(X, y)
+    scale = d.x1.std()
+    assert r["beta"] == pytest.approx(b[1] / scale, rel=1e-7)
+    assert r["se_hc1"] == pytest.approx(se[1] / scale, rel=1e-7)
+    assert r["se_g"] == pytest.approx(crv1(X, y, d.g.values)[1] / scale, rel=1e-7)
+    assert r["p_boot_g"] == boot(X, y, d.g.values, 1, 49, 42)
+
+
+def test_cluster_names_of_different_tuples_differ(spark):
+    rows = [("a", "1:b"), ("a1:b", None), ("a1", ":b"), (None, "a"), ("a", None), ("-", "a"), ("", ""), (None, None), ("1:a", ""), ("", "1:a")]
+    df = spark.createDataFrame(rows, "p string, q string").select(cluster_key(["p", "q"]).alias("k"))
+    assert df.distinct().count() == len(rows)
+
+
 def test_verdicts_and_flips(spark):
     rows = [("a", True, True, True, 0.01), ("b", True, True, False, 0.2), ("c", False, False, False, 0.5),
             ("d", True, False, True, 0.04), ("e", True, True, False, None)]
