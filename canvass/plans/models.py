@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from canvass.functions import semantics as S
@@ -467,6 +469,33 @@ def surviving_specs(spark, sf):
     return inference.survivors(t, SURVIVOR_FLAGS).select("spec", "key_predictor")
 
 
+SCREEN = 0.5  # a wide net: what has a robust |t| above this is listed unless every bootstrap confirms it
+
+
+@query(f"""{ORDER_SQL} SELECT spec, key_predictor FROM tab WHERE abs(t_hc1) > {SCREEN} AND NOT (sig_boot_village AND sig_boot_state)
+  AND p_boot_village IS NOT NULL AND p_boot_state IS NOT NULL""")
+def fragile_specs(spark, sf):
+    """Above the screening value with robust errors, not significant under some bootstrap; specifications whose bootstrap failed are no part."""
+    t = inference.inference_table(order_rows(spark, sf), ORDER_SPECS, ORDER_CLUSTERS, reps=REPS, seed=SEED, crit=SCREEN)
+    listed = inference.fragile(t, "sig_hc1", ["sig_boot_village", "sig_boot_state"], ["p_boot_village", "p_boot_state"])
+    return listed.select("spec", "key_predictor")
+
+
+RESTRICTED = "village >= 30 AND balance < 5 AND late_in_year = 1"
+
+
+RESTRICTED_ROWS = f"{ORDER_ROWS.replace('d AS', 'everyone AS', 1)}, d AS (SELECT * FROM everyone WHERE {RESTRICTED})"
+
+
+@query(rounded_sql(regression_sql(RESTRICTED_ROWS, ORDER_SPECS[:2], ORDER_KEYS, boot=False, min_n=20) + " SELECT * FROM tab",
+                   inference_columns(ORDER_KEYS, boot=False)))
+def restricted_sample(spark, sf):
+    """Two regressions on the rows that meet three conditions; a missing value meets none."""
+    rows = order_rows(spark, sf).where(RESTRICTED)
+    specs = [replace(s, min_n=20) for s in ORDER_SPECS[:2]]
+    return inference.inference_table(rows, specs, ORDER_CLUSTERS, bootstrap=[])
+
+
 @query(rounded_sql(
     "SELECT * FROM (" + regression_sql(LINE_ROWS, KEY_SPECS[:2], LINE_KEYS, boot=False)
     + " SELECT spec, beta, t_hc1, t_state AS t_clust, 'state' AS cluster_type FROM tab) UNION ALL SELECT * FROM ("

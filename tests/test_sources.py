@@ -57,7 +57,8 @@ def test_ordinals_and_literals(spark):
 def test_histograms_partition_the_rows(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 2.5, 9.99, 10]] + [(None,)], "x double")
     h = {r.bin: r.n for r in histogram.equal_width(df, "x", 5).collect()}
-    assert h == {0: 2, 1: 2, 4: 2}
+    assert h == {0: 2, 1: 2, 2: 0, 3: 0, 4: 2}
+    assert histogram.equal_width(df, "x", 5, empty=False).count() == 3
     fixed = {r.bin: r.n for r in histogram.fixed_width(df, "x").collect()}
     assert sum(fixed.values()) == 6 and fixed[2] == 2
     nice = histogram.suggested_bins(df, "x", 5).collect()
