@@ -24,6 +24,8 @@ from canvass.session import materialize
 GROUP = 2_000
 # Signatures of at most this many (counted) names are broadcast; beyond it both sides are shuffled.
 BROADCAST_NAMES = 5_000
+# Gazetteer names compared by one task of a round.
+NAMES_PER_TASK = 50_000
 
 
 # accented capitals and what they are folded to; letters that are not listed stay as they are
@@ -112,28 +114,33 @@ def _left_signatures(left: DataFrame, blocks: Sequence[str], max_dist: int) -> D
 def _spread(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Add two salts so that a signature shared by very many names is compared in many small groups.
 
-    Each left name takes one row of the grid and visits every column; each right name the reverse.
+    Each left name takes one row of the grid and visits every column; each right name the reverse.  The salts come from
+    counts that are combined before the shuffle, and reach the names by a join that keeps the names of a frequent
+    signature out of the shuffle.  Signatures that only one side has end there, as they make no pair.
     """
-    sizes = (
+    sizes = materialize(
         count_by(left, keys, "__nl")
         .join(count_by(right, keys, "__nr"), list(keys))
-        .where(F.col("__nl").cast("double") * F.col("__nr") > GROUP * GROUP)
+        .withColumn("__big", F.col("__nl").cast("double") * F.col("__nr") > GROUP * GROUP)
         .select(
             *keys,
-            F.ceil(F.col("__nl") / GROUP).cast("int").alias("__sl"),
-            F.ceil(F.col("__nr") / GROUP).cast("int").alias("__sr"),
+            "__nl",
+            "__nr",
+            F.when(F.col("__big"), F.ceil(F.col("__nl") / GROUP)).otherwise(1).cast("int").alias("__sl"),
+            F.when(F.col("__big"), F.ceil(F.col("__nr") / GROUP)).otherwise(1).cast("int").alias("__sr"),
         )
     )
 
-    def split(df: DataFrame, name: str, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
-        out = df.join(sizes, list(keys), "left")
-        mine = F.coalesce(F.pmod(F.xxhash64(name), F.col(own)).cast("int"), F.lit(0))
-        visits = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
-        return out.select(*df.columns, mine.alias(own_salt), F.explode(visits).alias(other_salt))
+    def split(
+        df: DataFrame, name: str, count: str, own: str, other: str, own_salt: str, other_salt: str
+    ) -> DataFrame:
+        out = join_per_key(df, sizes.select(*keys, count, own, other), keys, count)
+        mine = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
+        return out.select(*df.columns, mine.alias(own_salt), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_salt))
 
     return (
-        split(left, "__l", "__sl", "__sr", "__a", "__b"),
-        split(right, "__r", "__sr", "__sl", "__b", "__a"),
+        split(left, "__l", "__nl", "__sl", "__sr", "__a", "__b"),
+        split(right, "__r", "__nr", "__sr", "__sl", "__b", "__a"),
     )
 
 
@@ -217,8 +224,11 @@ def nearest_names(
         .agg(F.min(F.struct(*right_order)).alias("__ord"))
     )
     names = usable(left, left_name).groupBy(*blocks, F.col(left_name).alias("__l")).agg(F.count(F.lit(1)).alias("n"))
-    # the rounds are bound by comparisons, not by bytes, so the names are spread over all cores
-    r = materialize(r.repartition(left.sparkSession.sparkContext.defaultParallelism))
+    # the rounds are bound by comparisons, not by bytes: tasks get names in numbers that follow the gazetteer, not the
+    # cluster, and a small gazetteer is still spread over all cores
+    r = materialize(r)
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-r.count() // NAMES_PER_TASK))
+    r = materialize(r.repartition(tasks))
     rx = r.select(*[F.col(b).alias(f"__rb_{b}") for b in blocks], "__r", "__ord")
     same = F.col("__l") == F.col("__r")
     for b in blocks:

@@ -117,6 +117,36 @@ def nearest_names_blocked(spark, sf):
     return linkage.nearest_names(left, right, "word", "place", ["ord", "place"], 2, ["grp"])
 
 
+# the words of documents labelled toxic against those of documents labelled good, language by language
+BY_LANGUAGE = f"""
+words AS (SELECT lang, quality, toxic, d.doc_id,
+    {FOLDED.format(r"unnest(regexp_extract_all(text, '\p{L}+'))")} AS word
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE lang IS NOT NULL AND (quality = 1 OR toxic = 1)),
+gz AS (SELECT lang, word AS place, min(doc_id) AS ord FROM words WHERE quality = 1 GROUP BY 1, 2),
+ln AS (SELECT lang, word, count(*) AS n FROM words WHERE toxic = 1 GROUP BY 1, 2),
+cand AS (
+  SELECT ln.lang, ln.word, 0 AS d, gz.ord, gz.place FROM ln JOIN gz ON ln.lang = gz.lang AND ln.word = gz.place
+  UNION ALL
+  SELECT u.lang, u.word, levenshtein(u.word, gz.place) AS d, gz.ord, gz.place
+  FROM (SELECT lang, word FROM ln ANTI JOIN gz ON ln.lang = gz.lang AND ln.word = gz.place) u
+  JOIN gz ON u.lang = gz.lang AND abs(length(u.word) - length(gz.place)) <= 2),
+best AS (SELECT lang, word, CAST(d AS INTEGER) AS match_distance, place AS matched_name FROM cand WHERE d <= 2
+  QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY d, ord, place) = 1)
+"""
+
+
+@query(f"""WITH {BY_LANGUAGE} SELECT ln.lang, ln.word, ln.n, match_distance, matched_name
+  FROM ln LEFT JOIN best ON ln.lang = best.lang AND ln.word = best.word""")
+def nearest_names_by_language(spark, sf):
+    """Blocks of very different size: one for each language."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text").join(labels, "doc_id")
+    d = d.where("quality = 1 or toxic = 1").withColumn("keys", F.struct("doc_id", "lang", "quality", "toxic"))
+    words = _words(d, "keys").select("keys.*", "word")
+    right = words.where("quality = 1").select("lang", F.col("word").alias("place"), F.col("doc_id").alias("ord"))
+    return linkage.nearest_names(words.where("toxic = 1"), right, "word", "place", ["ord"], 2, ["lang"])
+
+
 # ------------------------------------------------ code -> id -> attributes -> validation
 
 LINKED = f"""{WORDS},

@@ -80,6 +80,22 @@ def test_blocks_keep_links_inside(spark):
     assert got == {"UP": "RAMPURA", "RJ": None}
 
 
+def test_split_blocks_of_different_size(spark, monkeypatch):
+    from canvass.functions import skew
+
+    monkeypatch.setattr(L, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(L, "GROUP", 3)
+    monkeypatch.setattr(L, "NAMES_PER_TASK", 7)
+    monkeypatch.setattr(skew, "HOT_PARTS", 50)
+    blocks = {"big": (names(160, 31, 7, "AB"), names(120, 32, 7, "AB")), "small": (names(9, 33, 6), names(4, 34, 6)), "left only": (["AB"], [])}
+    l = spark.createDataFrame([(b, x) for b, (left, _) in blocks.items() for x in left], "b string, l string").repartition(3)
+    r = spark.createDataFrame([(b, x, i) for b, (_, right) in blocks.items() for i, x in enumerate(right)], "b string, r string, ord int")
+    got = {}
+    for x in L.nearest_names(l, r, "l", "r", ["ord"], 2, ["b"]).collect():
+        got.setdefault(x.b, {})[x.l] = (x.match_distance, x.matched_name)
+    assert got == {b: brute(left, right, 2) for b, (left, right) in blocks.items()}
+
+
 def test_ties_take_the_first_row_and_its_columns(spark):
     l = spark.createDataFrame([("CAT", 1), ("CAT", 2), ("DOG", 3)], "l string, id int")
     r = spark.createDataFrame([("BAT", 2, "two"), ("HAT", 1, "one"), ("HAT", 5, "five"), ("DOG", 9, "nine")], "r string, ord int, tag string")
