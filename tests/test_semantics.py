@@ -97,8 +97,9 @@ def test_top_k_keeps_ties(spark):
     assert sorted((r.h, r.n) for r in got) == [(8, 5), (9, 4), (10, 3), (11, 3)]
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles_of_measurements(spark, accuracy):
+@pytest.mark.parametrize("accuracy,few", [(20, 10), (100, 100), (10_000, 10_000)])
+def test_exact_quantiles_of_measurements(spark, monkeypatch, accuracy, few):
+    monkeypatch.setattr(Q, "FEW", few)
     rng = np.random.default_rng(1)
     groups = {"a": rng.normal(size=3001), "b": np.round(rng.exponential(size=500), 1), "c": np.array([2.0]), None: np.ones(50)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
@@ -113,6 +114,18 @@ def test_exact_quantiles_of_measurements(spark, accuracy):
     assert np.allclose(whole.q, np.quantile(np.concatenate(list(groups.values())), probs), rtol=1e-12)
 
 
+def test_a_wrong_bracket_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEW", 5)
+    values = [float(v) for v in range(1000)] + [500.0] * 300 + [float("inf"), float("-inf")]
+    base = spark.createDataFrame([(v,) for v in values], "__v double").repartition(3)
+    ordered = sorted(values)
+    wrong = [(0, 900.0, 950.0), (1, None, None), (10, 500.0, 501.0), (499, 0.0, 3.0), (500, 2000.0, 3000.0), (700, -9.0, -5.0),
+             (799, 500.0, 500.0), (805, 501.0, 501.0), (1300, 7.0, 7.0), (1301, -3.0, 3.0)]
+    targets = spark.createDataFrame([(len(values), *w) for w in wrong], "n long, rank long, lo double, hi double")
+    got = {r.rank: r.value for r in Q.order_statistics(base, [], targets, 100).collect()}
+    assert got == {rank: ordered[rank] for rank, _, _ in wrong}
+
+
 def test_six_numbers_of_counts(spark):
     values = [1, 1, 2, 5, 9, 9, 10, None]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v int")
