@@ -27,10 +27,14 @@ COLLINEAR = 1e-10
 TIE = 1e-9
 # Modulus of the weight hash (the Mersenne prime 2^31 - 1).
 PRIME = 2_147_483_647
+# (row, replication) pairs: what is worth a task of its own while cores are idle, and the most one task gets
 PAIRS_PER_TASK = 1_500_000
-ROWS_PER_TASK = 150_000
-MAX_TASKS = 2_000
+MOST_PAIRS_PER_TASK = 150_000_000
 BLOCK = 1_000
+# numbers in one block of vectors
+BLOCK_NUMBERS = 2_000_000
+# cells of one effect level that meet its drawn means in one task
+LEVEL_CELLS = 20_000
 
 
 @dataclass
@@ -177,17 +181,10 @@ def draw_index(cluster, rep):
     return x % 6
 
 
-def _replicated(table: DataFrame, rows: int, reps: int, seed: int) -> DataFrame:
-    """Every row once per replication, with its weight; spread out when there are many rows."""
-    tasks = min(int(rows * reps / ROWS_PER_TASK) + 1, MAX_TASKS)
-    spread = table.repartition(tasks, "__g") if tasks > 1 else table
-    hashes = F.expr("array(" + ", ".join(f"{h}L" for h in rep_hashes(seed, reps)) + ")")
-    options = F.expr("array(" + ", ".join(f"{w!r}D" for w in WEBB) + ")")
-    drawn = spread.withColumn("__ch", cluster_hash(seed, F.col("__g"))).select(
-        "*", F.posexplode(hashes).alias("__rep", "__rh")
-    )
-    index = draw_index(F.col("__ch"), F.col("__rh"))
-    return drawn.withColumn("__w", F.element_at(options, (index + 1).cast("int"))).drop("__ch", "__rh")
+def _tasks(df: DataFrame, pairs: int) -> int:
+    """Tasks for so many (row, replication) pairs: enough for all cores, and for any number of pairs a bounded share each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(min(pairs // PAIRS_PER_TASK + 1, 2 * cores), pairs // MOST_PAIRS_PER_TASK + 1)
 
 
 def _weighted_sums(
@@ -221,7 +218,7 @@ def _weighted_sums(
         out.insert(0, "__rep", np.arange(reps + 1, dtype=np.int32))
         yield out
 
-    tasks = min(int(rows * reps / PAIRS_PER_TASK) + 1, MAX_TASKS)
+    tasks = _tasks(chosen, rows * reps)
     spread = chosen.repartition(tasks) if tasks > 1 else chosen.coalesce(1)
     schema = "__rep int, " + ", ".join(f"{c} double" for c in names)
     parts = spread.mapInPandas(multiply, schema)
@@ -319,6 +316,44 @@ def _bootstrap_plain(
     return results
 
 
+def _run_sums(pieces: Iterator[tuple[np.ndarray, np.ndarray]], key: str) -> Iterator[pd.DataFrame]:
+    """Add up the vectors of neighbouring rows with the same key; one row per run, the vector as bytes."""
+    held, total = None, None
+    for keys, vectors in pieces:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sums = np.add.reduceat(vectors, starts, axis=0)
+        names = keys[starts]
+        if total is not None:
+            if held == names[0]:
+                sums[0] += total
+            else:
+                yield pd.DataFrame({key: [held], "__x": [total.tobytes()]})
+        yield pd.DataFrame({key: names[:-1], "__x": [v.tobytes() for v in sums[:-1]]})
+        held, total = names[-1], sums[-1].copy()
+    if total is not None:
+        yield pd.DataFrame({key: [held], "__x": [total.tobytes()]})
+
+
+def _blocks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    rows = max(1, BLOCK_NUMBERS // width)
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=float).reshape(len(column), -1)
+
+
+def _sum_vectors(parts: DataFrame, key: str, width: int) -> DataFrame:
+    """One vector per key from partial sums; a key has at most one partial sum per task that made them."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _run_sums(((b[key].to_numpy(object), _stacked(b["__x"])) for b in _blocks(batches, width)), key)
+
+    return parts.repartition(key).sortWithinPartitions(key).mapInPandas(add, f"{key} string, __x binary")
+
+
 def _bootstrap_absorbed(
     cells: DataFrame,
     rows: int,
@@ -332,43 +367,102 @@ def _bootstrap_absorbed(
 ) -> None:
     """The same with an absorbed effect: drawn residuals have to be demeaned again in every draw.
 
-    Works on (effect, cluster) cells.  All joins and groupings carry the replication number in their
-    key, so one very large effect level is spread over the replications.
+    Works on (effect, cluster) cells; all replications of a cell are one vector.  First the drawn means of each
+    effect level are added up, then every cell takes its share of its level's means and these are added up by cluster.
+    Each sum is made within tasks first, so what is shuffled is at most one row per cell, and a very large
+    level or cluster reaches one task as one row per task.  The cells of a large level are split to meet its means.
     """
-    cols = [cluster_key(cluster).alias("__g"), F.struct(*fe).alias("__f")]
+    summed, greatest = [], []
     for i in picked:
         s = solutions[i]
         f = s.fit
-        cols += [
-            *_cluster_columns(i, s),
+        chosen = _cluster_columns(i, s)
+        summed += [
             _residual_sum(s, s.restricted).alias(s.col(i, "e")),
             _dot(s.a, [_dev(f, j) for j in s.kept]).alias(s.col(i, "at")),
-            F.col(f.col("ng")).alias(s.col(i, "ng")),
-        ]
-    base = cells.select(*cols)
-    w = F.col("__w")
-    drawn = _replicated(base, rows, reps, seed)
-    shift = drawn.groupBy("__rep", F.col("__f").alias("__f2")).agg(
-        *[
-            F.try_divide(F.sum(w * F.col(solutions[i].col(i, "e"))), F.max(solutions[i].col(i, "ng"))).alias(f"mu{i}")
-            for i in picked
+            *chosen,
         ]
+        greatest.append(F.col(f.col("ng")).alias(s.col(i, "ng")))
+    base = cells.select(cluster_key(fe).alias("__f"), cluster_key(cluster).alias("__g"), *summed, *greatest)
+    sizes = [s.col(i, "ng") for i, s in ((i, solutions[i]) for i in picked)]
+    base = base.groupBy("__f", "__g").agg(
+        *[F.sum(c).alias(c) for c in base.columns[2:] if c not in sizes], *[F.max(c).alias(c) for c in sizes]
     )
-    shift = shift.withColumnRenamed("__rep", "__rep2")
-    joined = drawn.join(shift, (F.col("__rep") == F.col("__rep2")) & F.col("__f").eqNullSafe(F.col("__f2")))
-    per_cluster, aggs = [], []
-    for i in picked:
-        s = solutions[i]
-        z = F.col(s.col(i, "z"))
-        shifted = w * F.col(s.col(i, "al")) - F.col(s.col(i, "at")) * F.coalesce(F.col(f"mu{i}"), F.lit(0.0))
-        per_cluster.append(F.sum(shifted).alias(s.col(i, "z")))
-        aggs.append(F.sum(z * z).alias(s.col(i, "Q")))
-        for j in range(len(s.kept) + 1):
-            per_cluster.append(F.sum(w * F.col(s.col(i, "w", j))).alias(s.col(i, "w", j)))
-            per_cluster.append(F.sum(s.col(i, "c", j)).alias(s.col(i, "c", j)))
-            aggs.append(F.sum(s.col(i, "w", j)).alias(s.col(i, "P", j)))
-            aggs.append(F.sum(z * F.col(s.col(i, "c", j))).alias(s.col(i, "R", j)))
-    draws = joined.groupBy("__rep", "__g").agg(*per_cluster).groupBy("__rep").agg(*aggs)
+    per_row = [F.try_divide(F.lit(1.0), F.col(c)).alias(f"{c}_inv") for c in sizes]
+    tasks = _tasks(base, rows * reps)
+    base = base.select(cluster_hash(seed, F.col("__g")).alias("__ch"), "*", *per_row).fillna(0.0)
+    base = materialize(base.repartition(tasks, "__f", "__g"))
+
+    hashes = np.array(rep_hashes(seed, reps), dtype=np.int64)
+    weights = np.array(WEBB)
+    m = len(picked)
+    width = m * reps
+    e = [solutions[i].col(i, "e") for i in picked]
+    inverse = [f"{c}_inv" for c in sizes]
+    at_names = [solutions[i].col(i, "at") for i in picked]
+    # what the last step needs of a cluster beside the vectors: per spec al, then w and c by position
+    more = [
+        [s.col(i, "al"), *[s.col(i, "w", j) for j in range(len(s.kept) + 1)], *[s.col(i, "c", j) for j in range(len(s.kept) + 1)]]
+        for i, s in ((i, solutions[i]) for i in picked)
+    ]
+    scalars = [c for names in more for c in names]
+
+    def drawn(keys: pd.Series) -> np.ndarray:
+        return weights[draw_index(keys.to_numpy(np.int64)[:, None], hashes[None, :])]
+
+    def level_means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces():
+            for b in _blocks(batches, width):
+                shares = b[e].to_numpy(float) * b[inverse].to_numpy(float)
+                yield b["__f"].to_numpy(object), (shares[:, :, None] * drawn(b["__ch"])[:, None, :]).reshape(len(b), width)
+
+        yield from _run_sums(pieces(), "__f")
+
+    partial = base.select("__f", "__ch", *e, *inverse).sortWithinPartitions("__f").mapInPandas(level_means, "__f string, __x binary")
+    means = _sum_vectors(partial, "__f", width)
+
+    counts = base.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.withColumn("__split", F.ceil(F.col("__n") / LEVEL_CELLS).cast("int")))
+    split = join_per_key(base.select("__f", "__g", "__ch", *at_names, *scalars), counts, ["__f"], "__n")
+    split = split.withColumn("__at", F.pmod(F.col("__ch"), F.col("__split")).cast("int"))
+    copies = means.join(counts, "__f").select("__f", "__x", F.explode(F.sequence(F.lit(0), F.col("__split") - 1)).alias("__at"))
+
+    def cluster_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces():
+            for b in _blocks(batches, width):
+                mu = _stacked(b["__x"]).reshape(len(b), m, reps) * b[at_names].to_numpy(float)[:, :, None]
+                yield b["__g"].to_numpy(object), np.c_[b[scalars].to_numpy(float), mu.reshape(len(b), width)]
+
+        yield from _run_sums(pieces(), "__g")
+
+    met = split.join(copies, ["__f", "__at"]).select("__g", "__x", *at_names, *scalars).sortWithinPartitions("__g")
+    shares = _sum_vectors(met.mapInPandas(cluster_shares, "__g string, __x binary"), "__g", width + len(scalars))
+    outputs = [
+        [s.col(i, "Q"), *[s.col(i, what, j) for what in "PR" for j in range(len(s.kept) + 1)]]
+        for i, s in ((i, solutions[i]) for i in picked)
+    ]
+    names = [c for columns in outputs for c in columns]
+
+    def replications(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), reps))
+        for b in _blocks(batches, width):
+            w, x = drawn(b["__ch"]), _stacked(b["__x"])
+            mu = x[:, len(scalars) :].reshape(len(b), m, reps)
+            at, to = 0, 0
+            for k, own in enumerate(more):
+                size = (len(own) - 1) // 2
+                z = w * x[:, at, None] - mu[:, k]
+                total[to] += (z * z).sum(axis=0)
+                total[to + 1 : to + 1 + size] += x[:, at + 1 : at + 1 + size].T @ w
+                total[to + 1 + size : to + 1 + 2 * size] += x[:, at + 1 + size : at + 1 + 2 * size].T @ z
+                at, to = at + len(own), to + 1 + 2 * size
+        out = pd.DataFrame(total.T, columns=names)
+        out.insert(0, "__rep", np.arange(1, reps + 1, dtype=np.int32))
+        yield out
+
+    schema = "__rep int, " + ", ".join(f"{c} double" for c in names)
+    parts = shares.select(cluster_hash(seed, F.col("__g")).alias("__ch"), "__x").mapInPandas(replications, schema)
+    draws = parts.groupBy("__rep").agg(*[F.sum(c).alias(c) for c in names])
     _p_values(draws.toPandas(), solutions, picked, results)
 
 

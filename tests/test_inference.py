@@ -98,6 +98,31 @@ def test_matches_row_level_fit(spark):
         assert r["p_boot_g"] == boot(X, y, rows.g.values, 1, 99, 42)
 
 
+def test_absorbed_bootstrap_in_pieces(spark, monkeypatch):
+    """Split levels, small blocks and several tasks give the p-values of refitting with dummies; two specs at once."""
+    from canvass.operators import inference as I
+
+    rng = np.random.default_rng(12)
+    n = 400
+    f = np.where(rng.random(n) < 0.5, 0, rng.integers(1, 6, n))
+    g = rng.integers(0, 15, n)
+    x1, x2 = rng.normal(size=n) + f, rng.normal(size=n)
+    y = 0.3 * x2 + f + rng.normal(size=n) + rng.normal(size=15)[g]
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x1": x1, "x2": x2, "f": f, "g": g, "h": g % 7})).repartition(4)
+    specs = [Spec("a", "y", ("x2", "x1"), fe=("f",)), Spec("b", "x1", ("x2",), fe=("f",))]
+    whole = regress(df, specs, {"g": ["g"], "h": ["h"]}, reps=99, seed=7)
+    monkeypatch.setattr(I, "LEVEL_CELLS", 2)
+    monkeypatch.setattr(I, "BLOCK_NUMBERS", 500)
+    monkeypatch.setattr(I, "MOST_PAIRS_PER_TASK", 1000)
+    pieces = regress(df, specs, {"g": ["g"], "h": ["h"]}, reps=99, seed=7)
+    dummies = np.eye(6)[f]
+    for one, other in zip(whole, pieces):
+        assert one["p_boot_g"] == other["p_boot_g"] and one["p_boot_h"] == other["p_boot_h"]
+    for level, ids in (("g", g), ("h", g % 7)):
+        assert whole[0][f"p_boot_{level}"] == pytest.approx(boot(np.c_[x2, x1, dummies], y, ids, 0, 99, 7))
+        assert whole[1][f"p_boot_{level}"] == pytest.approx(boot(np.c_[x2, dummies], x1, ids, 0, 99, 7))
+
+
 def test_absorbed_effect_matches_dummies(spark):
     d = frame(400, 8).dropna()
     df = spark.createDataFrame(d).repartition(3)
