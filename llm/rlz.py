@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.textops import U, Words, raw, repeated, windows
 
@@ -143,6 +144,9 @@ def factors(hit: np.ndarray, ref: np.ndarray, first: np.ndarray, width: int) ->
     return [(int(first[at[s]]), int(at[e] - at[s] + width), int(ref[at[s]])) for s, e in zip(start, end)]
 
 
+RESULTS = ("n_words", "n_removed", "kept", "factors")
+
+
 def substring_dedup(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WIDTH, verbatim: bool = False
 ) -> DataFrame:
@@ -151,8 +155,10 @@ def substring_dedup(
     A word is removed when a window of ``width`` words that covers it starts anywhere else too, in the same
     document or another; all occurrences go, and all windows are judged on the input.  ``kept`` is the
     remaining words joined by one space; with ``verbatim``, a text that loses nothing is kept as it is.  ``factors`` are ``(start, length, block)`` in words.  Nulls and
-    texts of fewer than ``width`` words lose nothing; repeated rows are copies of each other.
+    texts of fewer than ``width`` words lose nothing; repeated rows are copies of each other.  A kept column with the
+    name of a result gives way to it; nest columns in a struct to keep them whatever their names.
     """
+    keep = tuple(c for c in keep if c not in RESULTS)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
     size = src.agg(F.sum(F.octet_length("__text")), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
@@ -211,6 +217,8 @@ def substring_dedup(
     anchors = texts.applyInArrow(ask_anchors, MESSAGE).groupBy("range").applyInArrow(_answer, ANSWER)
     found = src.groupBy("__block").cogroup(anchors.groupBy("block")).applyInArrow(ask_windows, MESSAGE)
     found = found.groupBy("range").applyInArrow(_answer, ANSWER)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[: len(names)])
-    schema = f"{kinds}n_words bigint, n_removed bigint, kept string, factors array<struct<start: bigint, length: bigint, block: int>>"
+    added = T.StructType.fromDDL(
+        "n_words bigint, n_removed bigint, kept string, factors array<struct<start: bigint, length: bigint, block: int>>"
+    )
+    schema = T.StructType(src.schema.fields[: len(names)] + added.fields)
     return src.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(parse, schema)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from llm import queries
@@ -107,3 +108,52 @@ def test_near_duplicates_leave_by_row(spark):
     one_of = [(5, " ".join(c)), (5, " ".join(near))]
     assert sum(got.pop(x, 0) for x in one_of) == 1
     assert got == Counter([(1, " ".join(a)), (5, " ".join(b)), (8, " ".join(d)), (None, " ".join(a)), (9, ""), (9, "one")])
+
+
+CLASHING = ["score", "best_ratio", "mean_ratio", "n_words", "n_removed", "kept", "factors", "ids", "size", "group", "component_id", "range"]
+
+
+def many(spark):
+    """Odd rows: nulls, repeats, an id with two texts, a passage in two texts, extra columns named like results."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"start {passage} end"), (2, f"other {passage} tail"), (3, "plain words here"), (3, "plain words here"),
+            (3, "another text of the same id"), (4, None), (5, ""), (None, "no id at all"), (None, None), (6, " \n ")]
+    base = spark.createDataFrame([(i, t, "en", None, len(t) if t else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return base.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("doc_id", F.lit(-1))) for c in CLASHING})
+
+
+def test_stages_keep_columns_named_like_their_results(spark):
+    docs = many(spark)
+    rows = Counter(tuple(r) for r in docs.collect())
+    assert Counter(tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()) == rows
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert near.columns == docs.columns
+    plain = [r for r in near.collect() if r.doc_id == 3 and r.text == "plain words here"]
+    assert len(plain) == 1 and set(map(tuple, near.collect())) <= set(rows)
+    assert {r.doc_id for r in near.collect()} >= {3, 4, 5, 6, None}
+    cut = corpus_pipeline.cut_repeats(spark, docs, SF)
+    assert cut.columns == docs.columns
+    got = {(r.doc_id, r.text): r for r in cut.collect()}
+    assert cut.count() == docs.count() and {(1, "start end"), (2, "other tail"), (4, None), (5, ""), (6, " \n ")} <= set(got)
+    assert all(r[c] == f"{c} of {-1 if r.doc_id is None else r.doc_id}" for r in got.values() for c in CLASHING)
+    assert got[(1, "start end")].n_chars == 9
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    assert all(r[c] == f"{c} of {-1 if r.doc_id is None else r.doc_id}" for r in mixed.collect() for c in CLASHING)
+    last = corpus_pipeline.encode(spark, docs, SF)
+    assert Counter(r.doc_id for r in last.collect()) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = many(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.collect() == [] and (name == "byte_level_bpe" or out.columns == docs.columns)
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    rows = [(7, "some words again", x) for x in range(6)] + [(8, "some words again", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    first = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), SF).collect()]
+    assert len(first) == 1 and first[0][:2] == (7, "some words again")
+    assert first == [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.orderBy(F.desc("extra")), SF).collect()]
