@@ -7,7 +7,7 @@ stand anywhere else are cut out; the sources are mixed to their target weights;
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import bpe, mixing, ngram_join, rlz, toxicity
@@ -19,10 +19,16 @@ BROADCAST_IDS = 1_000_000
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
+def _nested(columns: list[str]) -> Column:
+    """Columns in one struct, so that none of them meets a result of the same name."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__keep")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5; the labels of rows that op7 holds out are not learned here either."""
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
-    return toxicity.toxicity(docs, labels, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    whole = docs.select("doc_id", "text", _nested(docs.columns))
+    return toxicity.toxicity(whole, labels, keep=("__keep",)).where("score < 0.5").select("__keep.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +47,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = cut(gone.distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = keyed.join(gone, "__row", "left_anti").select(*docs.columns)
-    if again:  # repeated rows share an id: one of each stays
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    if again:  # repeated rows share an id: of each the one with the smallest hash stays
+        rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        first = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__rest") if rest else F.lit(None).alias("__rest")
+        one = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(first)
+        one = one.select("doc_id", "text", "__rest.*") if rest else one.drop("__rest")
+        kept = one.select(*kept.columns).unionByName(kept.where("doc_id is null"))
     return kept
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that stand anywhere else; others keep their text as it is."""
-    out = rlz.substring_dedup(docs, keep=tuple(c for c in docs.columns if c != "text"), verbatim=True)
-    new = {"text": F.col("kept").alias("text"), "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("n_chars")).alias("n_chars")}
-    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    out = rlz.substring_dedup(docs.select("text", _nested(rest)), keep=("__keep",), verbatim=True)
+    size = F.coalesce(F.length("kept").cast("long"), F.col("__keep.n_chars"))
+    new = {"text": F.col("kept").alias("text"), "n_chars": size.alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"__keep.`{c}`")) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
