@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on odd rows, on an empty table, and on given rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -412,6 +413,56 @@ def test_toxicity_on_held_out_rows(labelled):
     assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows]) > 0.98
 
 
+def brute_kneser_ney(docs, d=toxicity.DISCOUNT):
+    """Ratios of the words of every text by the formula, from ``(words, label or None)``."""
+    n, types = [Counter(), Counter()], [Counter(), Counter()]
+    steps = lambda ws: list(zip(["", *ws], ws))
+    for ws, label in docs:
+        if label is not None:
+            n[label].update(set(steps(ws)))
+    for c in (0, 1):
+        types[c].update(w for _, w in n[c])
+    seen = set(types[0]) | set(types[1])
+    size = sum(types[0].values()) + sum(types[1].values()) + 0.5 * (len(seen) + 1)
+
+    def word(c, w):
+        total = sum(types[c].values())
+        rest = 1 - sum(max(t - d, 0) for t in types[c].values()) / total
+        return max(types[c][w] - d, 0) / total + rest * (types[0][w] + types[1][w] + 0.5) / size
+
+    def pair(c, v, w):
+        after = [t for (a, _), t in n[c].items() if a == v]
+        if not after:
+            return word(c, w)
+        return max(n[c][v, w] - d, 0) / sum(after) + (1 - sum(max(t - d, 0) for t in after) / sum(after)) * word(c, w)
+
+    return [[math.log(pair(1, v, w) / pair(0, v, w)) for v, w in steps(ws)] for ws, _ in docs]
+
+
+@pytest.mark.parametrize("per_range", [10**9, 40])
+def test_kneser_ney_against_brute_force(spark, monkeypatch, per_range):
+    monkeypatch.setattr(toxicity, "KEYS_PER_RANGE", per_range)
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(160):
+        ws = [f"w{int(x)}" for x in rng.zipf(1.5, 25) % 40]
+        if i % 4 == 0:
+            ws[10:12] = ["you", "scum"]  # the pair, not its words, tells the classes apart
+        else:
+            ws[5], ws[15] = "you", "scum"
+        docs.append((ws * (1 + i % 3), None if i % 10 == 9 else int(i % 4 == 0)))
+    docs += [(["new"], None), ([], 0), (["w1", "unseen", "w1"], None)]
+    rows = spark.createDataFrame([(i, " ".join(ws)) for i, (ws, _) in enumerate(docs)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(docs) if y is not None], "doc_id long, label int")
+    got = {r.doc_id: r for r in toxicity.toxicity(rows, labels).collect()}
+    assert len(got) == len(docs)
+    for i, own in enumerate(brute_kneser_ney(docs)):
+        pairs = [(a + b) / 2 for a, b in zip(own, own[1:])] or own or [0.0]
+        assert got[i].mean_ratio == pytest.approx(np.mean(own or [0.0]), abs=1e-5)
+        assert got[i].best_ratio == pytest.approx(max(pairs), abs=1e-5)
+    assert np.mean([(got[i].best_ratio > 1) == (i % 4 == 0) for i in range(160)]) > 0.95
+
+
 def test_toxicity_learns_nothing_from_held_out_labels(labelled):
     docs, labels = labelled
     other = labels.withColumn("toxic", F.when(toxicity.held_out(5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic")))
