@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from canvass.operators import moments
 from canvass.operators.inference import (
     cluster_key,
     WEBB, draw_index, flip_summary, fragile, inference_table, outcome_specs, regress, significance_code, survivors, text_hash, tidy, verdict)
@@ -292,3 +294,22 @@ def test_outcomes_missing_from_the_table_are_skipped(spark):
     table = inference_table(df, specs, {"g": ["g"]}, bootstrap=["g"], reps=9)
     long = tidy(table, ["spec"], {"t_hc1": "HC1", "t_g": "Cluster"}, "method", "t_stat")
     assert [(r["method"], r.method_order) for r in long.orderBy("method_order").collect()] == [("HC1", 1), ("Cluster", 2)]
+
+
+def test_many_cells_are_summed_where_their_rows_meet(spark, monkeypatch):
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 500).alias("village"),
+        (F.xxhash64("id") % 100 / 10).alias("x"),
+        F.when(F.col("id") % 11 > 0, F.xxhash64(F.col("id") + 7) % 100 / 10).alias("y"),
+    )
+    specs = [Spec("y", "y", ("x",)), Spec("x", "x", ("y",))]
+    few = regress(rows, specs, {"village": ["village"]}, reps=99)
+    monkeypatch.setattr(moments, "HELD_BYTES", 0)
+    many = regress(rows, specs, {"village": ["village"]}, reps=99)
+    assert [list(r) for r in few] == [list(r) for r in many]
+    assert all(a == b or a == pytest.approx(b) for r, s in zip(few, many) for a, b in zip(r.values(), s.values()))
+    # no other partition holds rows of a cell, so no task holds sums of all cells
+    fits, _ = moments.distinct_fits(specs)
+    placed = moments._gathered(rows, fits, ["village"]).withColumn("at", F.spark_partition_id())
+    placed = placed.groupBy("village").agg(F.count_distinct("at").alias("n"))
+    assert [r.n for r in placed.select("n").distinct().collect()] == [1]
