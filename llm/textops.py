@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 
 # texts of about this many bytes are worked on at once; a longer text is a piece of its own
 PIECE = 1 << 20
+# words of about this many bytes are hashed at once; the arrays for it and tables of powers take 64 bytes for each
+STRETCH = 1 << 18
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -98,7 +100,7 @@ class Words:
         out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(self.starts):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + 2 * PIECE)))
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + STRETCH)))
             lo, hi = self.starts[i], self.ends[j - 1]
             out[i:j] = range_hashes(BYTES[self.data[lo:hi]], self.starts[i:j] - lo, self.ends[i:j] - lo, _BASE)
             i = j

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm import bpe, licences, mixing, ngram_join, outliers, quality_fm, records, rlz, toxicity
+from llm import bpe, licences, mixing, ngram_join, outliers, quality_fm, records, rlz, textops, toxicity
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -488,6 +489,18 @@ def test_machine_uses_the_sum_of_squares_identity():
     assert m.score(slot, x, np.array([3]), dense[None, :])[0] == pytest.approx(float(full @ m.w) + pairs)
 
 
+def test_hashing_words_holds_a_small_multiple_of_a_stretch():
+    text = " ".join(f"w{i % 977}é{i}" for i in range(400_000)).encode()
+    words = textops.Words(*textops.raw(pa.array([text, b"", text[:1000]])))
+    tracemalloc.start()
+    found = words.hashes()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - found.nbytes < 64 * textops.STRETCH + (4 << 20)
+    assert len(np.unique(found[:400_000])) == 400_000
+    assert (found[400_000:-1] == found[: len(found) - 400_001]).all()  # wherever a stretch ends
+
+
 def operators(docs, labels):
     yield outliers.quality_rules(docs)
     yield licences.scan(docs)
