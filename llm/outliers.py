@@ -36,6 +36,8 @@ DIMS = list(FLOORS)
 TAIL = 0.005
 # more than this many cells are joined by a shuffle instead of a broadcast
 BROADCAST_CELLS = 10_000
+# cells for one file of a table that has a row for each of them
+FILE_CELLS = 10_000
 
 
 def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
@@ -186,9 +188,20 @@ def _distance() -> Column:
     return out
 
 
-def cells(rows: DataFrame, passed: Column, least: int) -> tuple[DataFrame, bool]:
+def _held(table: DataFrame, files: int) -> DataFrame:
+    """A table of cells, cut into ``files`` files.
+
+    It is aggregated by as many tasks as any other and then gathered: a file for each of these tasks, most of them
+    empty, costs an executor a new process (which sets the file's mode) whose memory counts as the executor's own.
+    """
+    return cut(table.repartition(files))
+
+
+def cells(rows: DataFrame, passed: Column, least: int) -> tuple[DataFrame, bool, int]:
     """Give each row its ``cell``: its language and source, or, where fewer than ``least`` rows pass, the
-    small sources of its language together, then all such rows together, then none (null)."""
+    small sources of its language together, then all such rows together, then none (null).
+
+    Also returns whether the cells are few, and the number of files for a table of them."""
     whole = F.lit('{"all":1}')
     level = [
         F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")),
@@ -197,12 +210,13 @@ def cells(rows: DataFrame, passed: Column, least: int) -> tuple[DataFrame, bool]
     ]
     rows = rows.withColumn("cell", level[0])
     small = True
+    files = rows.agg(F.approx_count_distinct("cell")).first()[0] // FILE_CELLS + 1
     for up in [*level[1:], F.lit(None).cast("string")]:
-        counts = cut(rows.groupBy("cell").agg(F.count(F.when(passed, F.lit(1))).alias("__n")))
+        counts = _held(rows.groupBy("cell").agg(F.count(F.when(passed, F.lit(1))).alias("__n")), files)
         small = counts.count() <= BROADCAST_CELLS
         rows = _join(rows, counts, ["cell"], small)
         rows = rows.withColumn("cell", F.when(F.col("__n") < least, up).otherwise(F.col("cell"))).drop("__n")
-    return rows, small
+    return rows, small, files
 
 
 def mcd_verdicts(
@@ -221,29 +235,29 @@ def mcd_verdicts(
     cell have no distance and are no outliers.  Copies count as often as they occur.
     """
     p = len(DIMS)
-    rows, small = cells(stats.withColumns(vector()), passed, least)
+    rows, small, files = cells(stats.withColumns(vector()), passed, least)
     rows = cut(rows)
     base = rows.where(passed & F.col("cell").isNotNull())
     # start 0: moments of all rows; start 1: the rows nearest to the medians, in units of the floors
-    meds = cut(base.groupBy("cell").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in DIMS]).alias("mid")))
+    meds = _held(base.groupBy("cell").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in DIMS]).alias("mid")), files)
     unit = [0.0] * (p * (p + 1) // 2)
     for i, f in enumerate(FLOORS.values()):
         unit[i * (i + 1) // 2 + i] = 1 / f
     ball = meds.withColumns({"inv": F.array(*[F.lit(v) for v in unit]), "det": F.lit(0.0), "start": F.lit(1)})
     whole = _fit(_moments(base, ["cell"], F.lit(True)), ["cell"], 1.0).withColumn("start", F.lit(0))
-    fit = cut(whole.select("cell", "start", "mid", "inv", "det").unionByName(ball))
+    fit = _held(whole.select("cell", "start", "mid", "inv", "det").unionByName(ball), files)
     key = ["cell", "start"]
     twice = base.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
         near = _join(twice, fit, key, small).withColumn("distance", _distance())
         edge = near.groupBy(*key).agg(F.percentile_approx("distance", share, 10_000).alias("edge"))
-        near = _join(near, cut(edge), key, small)
-        fit = cut(_fit(_moments(near, key, F.col("distance") <= F.col("edge")), key, share))
+        near = _join(near, _held(edge, files), key, small)
+        fit = _held(_fit(_moments(near, key, F.col("distance") <= F.col("edge")), key, share), files)
     best = fit.groupBy("cell").agg(F.min_by(F.struct("mid", "inv"), F.struct("det", "start")).alias("b"))
-    best = cut(best.select("cell", "b.*"))
+    best = _held(best.select("cell", "b.*"), files)
     # one reweighting step over all rows that the raw estimate does not call far
     near = _join(base, best, ["cell"], small).withColumn("distance", _distance())
-    last = cut(_fit(_moments(near, ["cell"], F.col("distance") <= chi2_quantile(0.975, p)), ["cell"], 0.975))
+    last = _held(_fit(_moments(near, ["cell"], F.col("distance") <= chi2_quantile(0.975, p)), ["cell"], 0.975), files)
     out = _join(rows, last, ["cell"], small).withColumn("distance", _distance())
     return out.withColumn("outlier", F.coalesce(F.col("distance") > chi2_quantile(1 - tail, p), F.lit(False)))
 

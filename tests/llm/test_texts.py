@@ -56,6 +56,23 @@ def test_chi2():
     assert outliers.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
 
 
+def test_tables_of_cells_are_one_file(spark, given, monkeypatch):
+    """Few cells: one file each time, however many tasks have summed them; only the rows keep a file a task."""
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    files = []
+    monkeypatch.setattr(outliers, "cut", lambda df: files.append((df.columns, (done := df.checkpoint()).rdd.getNumPartitions())) or done)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        outliers.quality_rules(given).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 15
+    assert {n for columns, n in files if "n_words" not in columns} == {1}
+
+
 def test_outliers_are_rejected_and_the_rest_is_kept(spark):
     rng = np.random.default_rng(1)
     rows = []
