@@ -12,9 +12,10 @@ shingles in which linked sets can differ, so linked sets agree on a whole group,
 names the tile.  Within each tile a tree joins the points; pairs that survive are verified exactly.
 
 Copies share one set and are joined once.  Tiles that share members are joined as one group, so a pair is
-looked at once however many tiles it shares.  Before that, every member is verified against the first owner with which
+looked at once however many tiles it shares.  Sets too few of whose shingles are in any other set link with nothing and
+leave first: texts with common lines only, which would make one group of most of a corpus.  Then every member is verified against the first owner with which
 it shares most tiles: this connects large groups of near copies with no more pairs than members.
-Only groups that are not yet connected are joined by trees, in blocks of bounded size; pairs that survive
+Only groups that are not yet connected are joined by trees, large ones by size class, in blocks of bounded size; pairs that survive
 the bounds are verified exactly, unless their documents are connected by then.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.tables import cut, release
-from llm.textops import U, Words, mix, pieces, range_hashes, raw, signed, windows
+from llm.textops import U, Words, mix, pieces, range_hashes, raw, repeated, signed, windows
 
 DIMS = 256
 # what op9 asks for; links need 100 * intersection >= percent * union
@@ -41,6 +42,12 @@ BLOCK = 1 << 20
 LEAF, FAN = 32, 8
 # tiles of one batch; text for each range of tile hashes; bytes of a hash that are sent, beside its range
 BATCH_TILES, RANGE_BYTES, TILE_BYTES = 500_000, 1 << 22, 6
+# share of the hashes by which sets that cannot link with any other are found
+SLICE = 0.5
+# up to this many ids of sets (8 MB) are broadcast
+BROADCAST_IDS = 1_000_000
+# more blocks than a size class of a group has
+CLASS = 1 << 40
 # rows for one task of the steps on pairs and links
 ROWS = 100_000
 
@@ -240,6 +247,82 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     return src.mapInArrow(run, "sid bigint, shingles array<bigint>")
 
 
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """The ids (sid) of sets that may link with another at all.
+
+    Of a linked set at least ``percent`` of 100 shingles are in the other, so at most the rest of them are in no other set;
+    nor are there more such shingles among those below the hash ``SLICE``, which are looked at here.  Texts that
+    share common lines only are told apart by this, whatever connects their tiles.  Hashes cut to some bytes may
+    take a shingle for a shared one, never the other way round.  A shingle is sent once a batch, however common it is.
+    """
+    size = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    ranges = int(size * SLICE * TILE_BYTES) // RANGE_BYTES + 1
+    lowest = U(int(SLICE * (1 << 32)))
+
+    def messages(sids: list[int], slices: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(slices)
+        owners = np.repeat(np.arange(len(sids)), [len(x) for x in slices])
+        common = repeated(values)
+        known = np.bincount(owners[common], minlength=len(sids))
+        # shared within the batch and counted: sent once, without an owner
+        owners, values = np.r_[owners[~common], np.full(len(again := np.unique(values[common])), -1)], np.r_[values[~common], again]
+        spot = ((values >> U(32)) * U(ranges) // lowest).astype(np.int64)
+        order = np.lexsort((owners, spot))
+        owners, values, spot = owners[order], values[order], spot[order]
+        cuts = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True]) if len(spot) else np.zeros(1, np.int64)
+        rows = [(-1, np.array(sids, np.int64).tobytes(), known.astype("<u4").tobytes(), b"")]
+        named = np.r_[np.array(sids, np.int64), 0]  # the last one stands for no owner
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            who, n = np.unique(owners[lo:hi], return_counts=True)
+            bare = values[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TILE_BYTES]
+            flags = np.where(who < 0, n + (1 << 31), n)
+            rows.append((int(spot[lo]), named[who].tobytes(), flags.astype("<u4").tobytes(), bare.tobytes()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
+            names=["range", "sids", "sizes", "hashes"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sids, slices, held = [], [], 0
+        for b in batches:
+            for sid, s in zip(b.column("sid").to_pylist(), b.column("shingles")):
+                own = s.values.to_numpy().view(np.uint64)
+                sids.append(sid)
+                slices.append(own[: np.searchsorted(own, lowest << U(32))])
+                held += len(slices[-1])
+                if held >= BATCH_TILES:
+                    yield messages(sids, slices)
+                    sids, slices, held = [], [], 0
+        if sids:
+            yield messages(sids, slices)
+
+    def meet(part: pa.Table) -> pa.Table:
+        sids, sizes = (np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("sids", np.int64), ("sizes", "<u4")))
+        if part["range"][0].as_py() < 0:
+            shared = sizes.astype(np.int64)
+        else:
+            free, sizes = sizes >= 1 << 31, sizes & ((1 << 31) - 1)
+            bare = np.frombuffer(b"".join(part["hashes"].to_pylist()), np.uint8).reshape(-1, TILE_BYTES)
+            names = np.zeros((len(bare), 8), np.uint8)
+            names[:, :TILE_BYTES] = bare
+            hits = np.r_[0, np.cumsum(repeated(names.view("<u8").ravel()))]
+            ends = np.cumsum(sizes.astype(np.int64))
+            shared = np.where(free, 0, hits[ends] - hits[ends - sizes])
+        keep = shared > 0
+        return pa.table({"sid": pa.array(sids[keep], pa.int64()), "n": pa.array(shared[keep], pa.int64())})
+
+    sent = sets.mapInArrow(run, "range bigint, sids binary, sizes binary, hashes binary")
+    # the batches' own counts need no common task
+    spread = F.when(F.col("range") < 0, -1 - F.pmod(F.xxhash64("sids"), F.lit(ranges))).otherwise(F.col("range"))
+    met = sent.withColumn("range", spread).groupBy("range").applyInArrow(meet, "sid bigint, n bigint")
+    met = met.groupBy("sid").agg(F.sum("n").alias("shared"))
+    # signed longs keep the order of the hashes when the highest bit is turned
+    below = F.size(F.filter("shingles", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))) < F.lit(int(lowest << U(32)) - (1 << 63))))
+    counts = sets.select("sid", F.size("shingles").alias("size"), below.alias("below"))
+    alone = F.col("below") - F.coalesce("shared", F.lit(0))
+    return counts.join(met, "sid", "left").where(100 * alone <= (100 - percent) * F.col("size")).select("sid")
+
+
 def _points(sets: list[np.ndarray]) -> np.ndarray:
     """The sets' group counts; they stop at 65,535, from where on all sizes are let through by the bound."""
     counts = np.stack([np.bincount((s & U(DIMS - 1)).astype(np.int64), minlength=DIMS) for s in sets])
@@ -413,10 +496,16 @@ def jaccard_components(
     texts = docs.join(firsts, docs.doc_id.eqNullSafe(firsts["first"]), "left_semi")
     sets = _sets(texts, text, width).dropDuplicates(["sid"])
     sets = cut(sets.join(shared, "sid", "left_semi"))
+    able = _linkable(sets, percent)
+    release(spark)  # once another query has run, or the last plan is still held
+    able = settled(able)
+    able = F.broadcast(able) if able.count() <= BROADCAST_IDS else able
+    sets = cut(sets.join(able, "sid", "left_semi"))
     release(spark)
 
     groups = components(stars.select("a", "b"))
-    best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+    both = stars.join(able.withColumnRenamed("sid", "a"), "a", "left_semi").join(able.withColumnRenamed("sid", "b"), "b", "left_semi")
+    best = both.groupBy("a").agg(F.max(F.struct("n", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
     release(spark)
     links = settled(_verify(best, sets, percent))
     release(spark)
@@ -425,14 +514,25 @@ def jaccard_components(
     label = F.coalesce("root", "sid").alias("label")
     grouped = groups.select(F.col("node").alias("sid"), F.col("root").alias("super"))
     grouped = settled(grouped.join(roots, grouped.sid == roots.node, "left").select("sid", "super", label))
+    grouped = grouped.join(able, "sid", "left_semi")
     mixed = grouped.groupBy("super").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     open_ = grouped.join(mixed.select("super"), "super")
-    weights = open_.join(sets.select("sid", F.size("shingles").alias("n")), "sid").groupBy("super").agg(F.sum("n").alias("n"))
-    weights = settled(weights.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    work = weights.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    open_ = open_.join(weights.select("super", "blocks"), "super")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.join(sets.select("sid", F.size("shingles").alias("n")), "sid")
+    # a group of several blocks is dealt by size first: linked sets are of one class or of two that follow each other
+    many = open_.groupBy("super").agg((F.sum("n") > BLOCK).alias("many"))
+    step = math.log(100 / percent) * 1.001
+    open_ = open_.join(many, "super").withColumn("class", F.when(F.col("many"), F.floor(F.log("n") / step)).otherwise(0).cast("long"))
+    open_ = settled(open_.select("super", "sid", "label", "n", "class"))
+    weights = open_.groupBy("super", "class").agg(F.sum("n").alias("n"))
+    weights = weights.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    own = F.sequence(F.col("class") * CLASS, F.col("class") * CLASS + F.col("blocks") - 1)
+    near = weights.select("super", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), own.alias("own"))
+    near = near.groupBy("super", "class").agg(F.flatten(F.collect_list("own")).alias("others"))
+    weights = settled(weights.join(near, ["super", "class"]))
+    work = weights.agg(F.sum(F.col("n") * F.size("others"))).first()[0] or 0
+    open_ = open_.drop("n").join(weights.drop("n"), ["super", "class"])
+    open_ = open_.withColumn("block", F.col("class") * CLASS + F.pmod(F.xxhash64("sid"), "blocks"))
+    open_ = open_.withColumn("other", F.explode("others"))
     open_ = open_.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     part = F.pmod(F.xxhash64("super", "one", "two"), F.lit(work // BLOCK + 1)).alias("part")
     open_ = open_.join(sets, "sid").select("super", "one", "two", "block", "sid", "label", "shingles", part)

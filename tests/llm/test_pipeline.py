@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from llm import queries
+from llm import ngram_join, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -157,3 +157,23 @@ def test_of_repeated_rows_the_same_one_stays(spark):
     first = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), SF).collect()]
     assert len(first) == 1 and first[0][:2] == (7, "some words again")
     assert first == [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.orderBy(F.desc("extra")), SF).collect()]
+
+
+def test_texts_with_common_lines_only_are_not_sent_to_be_compared(spark, monkeypatch):
+    """300 unrelated texts with 30 common words are one group of tiles; ten have a near copy, and only these meet, in small blocks."""
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [f"{common} " + " ".join(f"t{i}_{k}" for k in range(60 + i % 90)) for i in range(300)]
+    texts += [texts[i] + f" x{i}" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    tables = []
+    settled = ngram_join.settled
+    monkeypatch.setattr(ngram_join, "settled", lambda df: tables.append(out := settled(df)) or out)
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, sets, percent: pairs.where("false"))
+    monkeypatch.setattr(ngram_join, "BLOCK", 500)
+    monkeypatch.setattr(ngram_join, "BATCH_TILES", 2_000)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, width=5, percent=80).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i in range(310)}
+    groups = next(t for t in tables if t.columns == ["sid", "super", "label"])
+    assert groups.groupBy("super").count().agg(F.max("count")).first()[0] >= 250
+    sent = [t for t in tables if "class" in t.columns and "label" in t.columns]
+    assert len(sent) == 1 and sent[0].count() == 20
