@@ -10,8 +10,8 @@ neighbours.
 
 Vectors that are equal are indexed once: of a group of copies only the smallest ids can be among the
 nearest, and a group of equal queries is searched once.  The sample, the model (0.2 MB) and the number of
-partitions are bounded; partitions with very many members are split at random for the comparison, which
-changes nothing in the result, so no task holds more than ``HOLD`` vectors of one partition.
+partitions are bounded; a task streams the members of its share of the partitions past a bounded block of
+queries and keeps the best of each, so what it holds and what it returns do not follow the number of members.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from llm.tables import cut
 
 SAMPLE = 20_000
 MAX_PARTS = 256
-HOLD = 20_000
+# a query meets its partitions in this many tasks, and leaves its nearest once in each; a task holds so many queries
+STRIPES, HELD_QUERIES = 16, 20_000
 HIDDEN = 128
 GRAPH = 20
 # share of the neighbours in the sample that the probed partitions must hold
@@ -181,6 +182,65 @@ def learn(vectors: DataFrame, rows: int) -> Router | None:
     return Router(weights, found[0]["mass"])
 
 
+class Best:
+    """The queries of one stripe and the ``k`` nearest found so far of each, while the members stream by."""
+
+    def __init__(self, k: int):
+        self.k, self.asked, self.q, self.ready = k, [], [], False
+
+    def ask(self, rows: pd.DataFrame) -> None:
+        self.asked.append(rows)
+
+    def _begin(self) -> None:
+        rows = pd.concat(self.asked) if self.asked else pd.DataFrame({"gid": np.zeros(0, np.int64), "vec": [], "parts": []})
+        self.qid, self.asked, self.ready = rows["gid"].to_numpy(), [], True
+        self.width = max(map(len, rows["vec"]), default=0)
+        self.q = _filled(rows["vec"], self.width)
+        flat = np.concatenate([*rows["parts"], np.zeros(0, int)]).astype(int)
+        order = np.argsort(flat, kind="stable")
+        parts, first = np.unique(flat[order], return_index=True)
+        owner = np.repeat(np.arange(len(rows)), [len(p) for p in rows["parts"]])[order]
+        self.places = dict(zip(parts.tolist(), np.split(owner, first[1:])))
+        self.gid = np.zeros((len(rows), self.k), np.int64)
+        self.score = np.full((len(rows), self.k), -np.inf)
+
+    def meet(self, part: int, members: pd.DataFrame) -> None:
+        if not self.ready:
+            self._begin()
+        which = self.places.get(int(part))
+        if which is None:
+            return
+        width = max(self.width, *map(len, members["vec"]))
+        x, gid = _filled(members["vec"], width), members["gid"].to_numpy()
+        take = min(len(x), self.k + 8)
+        for lo in range(0, len(which), 256):
+            rows = which[lo : lo + 256]
+            y = np.pad(self.q[rows], ((0, 0), (0, width - self.width)))
+            rough = y @ x.T
+            # as far as the two products can differ by rounding
+            off = 1e-12 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
+            some = rough.max(axis=1) >= self.score[rows, -1] - off
+            if not some.any():
+                continue
+            rows, y, rough = rows[some], y[some], rough[some]
+            near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+            # the same order of additions for each pair, so equal vectors get equal scores
+            exact = np.stack([(x[i] * q).sum(axis=1) for i, q in zip(near, y)])
+            gids, scores = np.c_[self.gid[rows], gid[near]], np.c_[self.score[rows], exact]
+            order = np.lexsort((gids, -scores))[:, : self.k]
+            self.gid[rows], self.score[rows] = np.take_along_axis(gids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+    def found(self) -> pd.DataFrame:
+        if not self.ready:
+            self._begin()
+        i, j = np.nonzero(np.isfinite(self.score))
+        return pd.DataFrame({"qid": self.qid[i], "gid": self.gid[i, j], "score": self.score[i, j]})
+
+
+def _filled(vectors, width: int) -> np.ndarray:
+    return np.stack([np.pad(x, (0, width - len(x))) for x in vectors]) if len(vectors) else np.zeros((0, width))
+
+
 def nearest(
     rows: DataFrame, queries: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -222,34 +282,35 @@ def nearest(
 
     filed = groups.select("gid", "vec").mapInPandas(route(True, ["gid", "vec"]), "gid long, vec array<double>, part array<int>")
     filed = filed.select("gid", "vec", F.col("part")[0].alias("part"))
-    filed = cut(filed)
-    splits = cut(filed.groupBy("part").agg(F.ceil(F.count("*") / HOLD).cast("int").alias("splits")))
-    filed = filed.join(splits, "part").withColumn("split", F.pmod(F.xxhash64("gid"), "splits").cast("int"))
+    blocks = asked_groups.count() // HELD_QUERIES + 1
+    # a stripe has its share of every partition; a block of queries meets each stripe in one task
+    stripe = F.pmod(F.xxhash64("gid"), F.lit(STRIPES)).cast("int").alias("stripe")
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    members = filed.select(stripe, block, F.col("part").alias("at"), "gid", "vec", F.lit(None).cast("array<int>").alias("parts"))
     sent = asked_groups.mapInPandas(route(False, ["qid", "vec"]), "qid long, vec array<double>, part array<int>")
-    sent = sent.select("qid", "vec", F.explode("part").alias("part")).join(splits, "part")
-    sent = sent.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-
-    def compare(key: tuple, members: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "gid": [], "score": []}
-        if len(members) and len(wanted):
-            width = max(map(len, [*members["vec"], *wanted["vec"]]))
-            fill = lambda vs: np.stack([np.pad(x, (0, width - len(x))) for x in vs])
-            x, gid, qid = fill(members["vec"]), members["gid"].to_numpy(), wanted["qid"].to_numpy()
-            take = min(len(x), k + 1 + 8)
-            for lo in range(0, len(qid), 256):
-                y = fill(wanted["vec"].iloc[lo : lo + 256])
-                rough = y @ x.T
-                near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                # the same order of additions for each pair, so equal vectors get equal scores
-                exact = np.stack([(x[i] * q).sum(axis=1) for i, q in zip(near, y)])
-                order = np.lexsort((gid[near], -exact))[:, : k + 1]
-                out["gid"].append(np.take_along_axis(gid[near], order, axis=1).ravel())
-                out["score"].append(np.take_along_axis(exact, order, axis=1).ravel())
-                out["qid"].append(np.repeat(qid[lo : lo + 256], order.shape[1]))
-        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()})
-
-    key = ["part", "split"]
-    found = filed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(compare, "qid long, gid long, score double")
+    stripe = F.explode(F.sequence(F.lit(0), F.lit(STRIPES - 1))).alias("stripe")
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")
+    sent = sent.select(stripe, block, F.lit(-1).alias("at"), F.col("qid").alias("gid"), "vec", F.col("part").alias("parts"))
+
+    def compare(batches):
+        """The rows of a stripe and block: its queries, then its members by partition.  Held are the queries, the best so far of each, and one batch."""
+        key, held = None, None
+        for batch in batches:
+            for own, rows in batch.groupby(["stripe", "block"], sort=False):
+                if own != key:
+                    if held is not None:
+                        yield held.found()
+                    key, held = own, Best(k + 1)
+                for part, some in rows.groupby("at", sort=False):
+                    if part < 0:
+                        held.ask(some)
+                    else:
+                        held.meet(part, some)
+        if held is not None:
+            yield held.found()
+
+    both = members.unionByName(sent).repartition(STRIPES * blocks, "stripe", "block").sortWithinPartitions("stripe", "block", "at")
+    found = both.mapInPandas(compare, "qid long, gid long, score double")
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "gid"))
     found = found.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
     # groups back to ids: at most (k + 1) ** 2 for a query, of which k + 1 stay

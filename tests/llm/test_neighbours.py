@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,30 @@ def test_recall_with_partitions(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_rows_of_the_comparison_follow_the_queries(spark, monkeypatch):
+    """Vectors without clusters: most partitions are probed, yet a query leaves its nearest once for each stripe; blocks and batches change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist(), 0, 1, 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, KIND)
+    before = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0))
+    want = brute(rows)
+    hits = sum(len({v for v, _ in before[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+    monkeypatch.setattr(neighbours, "HELD_QUERIES", 30)
+    monkeypatch.setattr(neighbours, "STRIPES", 3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert found(neighbours.nearest(df, F.col("vec_id") % 20 == 0)) == before
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    best = neighbours.Best(5)
+    best.ask(pd.DataFrame({"gid": [7, 8], "vec": [np.ones(8), -np.ones(8)], "parts": [list(range(20)), [3]]}))
+    for part in range(20):
+        best.meet(part, pd.DataFrame({"gid": range(100 * part, 100 * part + 100), "vec": list(rng.normal(size=(100, 8)))}))
+    assert len(best.found()) == 10
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(2).normal(size=(2000, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
