@@ -17,6 +17,13 @@ from llm.tables import cut, table
 BROADCAST_IDS = 1_000_000
 # near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+# bytes of a batch that a task sends to Python; the executor and the Python worker both hold it, and keep room for the largest
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python by their size, not by 10,000 rows; a setting of the session, as stages run when they are written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _nested(columns: list[str]) -> Column:
@@ -26,6 +33,7 @@ def _nested(columns: list[str]) -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5; the labels of rows that op7 holds out are not learned here either."""
+    _small_batches(spark)
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0)
     whole = docs.select("doc_id", "text", _nested(docs.columns))
     return toxicity.toxicity(whole, labels, keep=("__keep",)).where("score < 0.5").select("__keep.*")
@@ -36,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows leave by id and text, so an id with several texts loses only those that are near copies.
     """
+    _small_batches(spark)
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     found = ngram_join.jaccard_components(keyed, width=NEAR_WIDTH, percent=NEAR_PERCENT, row="__row")
     gone = found.where("doc_id <> component_id").select("__row")
@@ -58,6 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that stand anywhere else; others keep their text as it is."""
+    _small_batches(spark)
     rest = [c for c in docs.columns if c != "text"]
     out = rlz.substring_dedup(docs.select("text", _nested(rest)), keep=("__keep",), verbatim=True)
     size = F.coalesce(F.length("kept").cast("long"), F.col("__keep.n_chars"))
@@ -70,9 +80,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each text of the mix: its id, number of tokens, and digests of the ids and of the decoded bytes."""
+    """One row for each text of the mix: its id, number of tokens, and digests of the ids and of the decoded bytes.
+
+    The ids are written and read again: with both steps in one task it would have two Python workers, and all of them
+    stay for the stages of a later run.
+    """
+    _small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(docs, path, pattern), path, pattern)
+    return bpe.digests(cut(bpe.encode(docs, path, pattern)), path, pattern)
 
 
 STAGES = [

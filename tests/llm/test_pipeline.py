@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,30 @@ def test_texts_with_common_lines_only_are_not_sent_to_be_compared(spark, monkeyp
     assert groups.groupBy("super").count().agg(F.max("count")).first()[0] >= 250
     sent = [t for t in tables if "class" in t.columns and "label" in t.columns]
     assert len(sent) == 1 and sent[0].count() == 20
+
+
+def test_a_task_of_any_stage_has_one_python_worker_and_small_batches(spark):
+    """Workers that follow each other in a task are all kept by the executor, each with room for its largest batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(5000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 500).alias("text"), F.lit("en").alias("lang"),
+        F.lit("a").alias("source"), F.lit(9).cast("long").alias("n_chars"),
+    )
+    few = docs.where("doc_id < 20")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64())})
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.set(key, before)
+        done = stage(spark, few, SF)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        # an exchange ends a task; below it the Python steps of another one begin
+        for line in re.split(r"Exchange|Scan ExistingRDD", plan):
+            assert len(re.findall(r"MapInArrow|InArrow|InPandas", line)) <= 1, name
+        if name != "mixing":  # the only stage without Python
+            largest = docs.select("text").coalesce(1).mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
+            assert largest <= 2 * corpus_pipeline.BATCH_BYTES, name
+    spark.conf.set(key, before)
