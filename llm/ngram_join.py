@@ -247,6 +247,22 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     return src.mapInArrow(run, "sid bigint, shingles array<bigint>")
 
 
+def _dealt(sids: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    """Counts by set as one row for each bucket of sets: a set has counts from as many ranges of hashes as there are."""
+    spot = (sids.view(np.uint64) % U(buckets)).astype(np.int64)
+    order = np.argsort(spot, kind="stable")
+    sids, counts, spot = sids[order], counts[order].astype("<u4"), spot[order]
+    cuts = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True]) if len(spot) else np.zeros(1, np.int64)
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table(
+        {
+            "bucket": pa.array(spot[cuts[:-1]], pa.int64()),
+            "sids": pa.array([sids[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
+            "counts": pa.array([counts[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
+        }
+    )
+
+
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
     """The ids (sid) of sets that may link with another at all.
 
@@ -308,14 +324,18 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
             hits = np.r_[0, np.cumsum(repeated(names.view("<u8").ravel()))]
             ends = np.cumsum(sizes.astype(np.int64))
             shared = np.where(free, 0, hits[ends] - hits[ends - sizes])
-        keep = shared > 0
-        return pa.table({"sid": pa.array(sids[keep], pa.int64()), "n": pa.array(shared[keep], pa.int64())})
+        return _dealt(sids[shared > 0], shared[shared > 0], ranges)
+
+    def total(part: pa.Table) -> pa.Table:
+        sids, counts = (np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("sids", np.int64), ("counts", "<u4")))
+        found, spot = np.unique(sids, return_inverse=True)
+        return pa.table({"sid": pa.array(found, pa.int64()), "shared": pa.array(np.bincount(spot, counts, len(found)).astype(np.int64))})
 
     sent = sets.mapInArrow(run, "range bigint, sids binary, sizes binary, hashes binary")
     # the batches' own counts need no common task
     spread = F.when(F.col("range") < 0, -1 - F.pmod(F.xxhash64("sids"), F.lit(ranges))).otherwise(F.col("range"))
-    met = sent.withColumn("range", spread).groupBy("range").applyInArrow(meet, "sid bigint, n bigint")
-    met = met.groupBy("sid").agg(F.sum("n").alias("shared"))
+    met = sent.withColumn("range", spread).groupBy("range").applyInArrow(meet, "bucket bigint, sids binary, counts binary")
+    met = met.groupBy("bucket").applyInArrow(total, "sid bigint, shared bigint")
     # signed longs keep the order of the hashes when the highest bit is turned
     below = F.size(F.filter("shingles", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))) < F.lit(int(lowest << U(32)) - (1 << 63))))
     counts = sets.select("sid", F.size("shingles").alias("size"), below.alias("below"))

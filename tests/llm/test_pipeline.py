@@ -205,3 +205,32 @@ def test_a_task_of_any_stage_has_one_python_worker_and_small_batches(spark):
             largest = docs.select("text").coalesce(1).mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
             assert largest <= 2 * corpus_pipeline.BATCH_BYTES, name
     spark.conf.set(key, before)
+
+
+def test_counts_of_shared_shingles_come_back_in_few_rows(spark, monkeypatch):
+    """A set with shingles in every range of hashes is no row of each; what may link is the same with many ranges."""
+    lists = [[(7919 * i + k) * 0x9E3779B97F4A7C15 % 2**64 for k in range(40 + i % 3)] for i in range(300)]
+    lists = [sorted(x) for x in lists + [[*x[:38], *y[38:]] for x, y in zip(lists, lists[1:])]]
+    rows = [(i * 0x632BE59BD9B4E019 % 2**63, [v - 2**64 if v >= 2**63 else v for v in x]) for i, x in enumerate(lists, 1)]
+    sets = spark.createDataFrame(rows, "sid long, shingles array<long>").repartition(4).checkpoint()
+    held = Counter(v for x in lists for v in x if v < 2**63)
+    alone = {r[0]: sum(held[v] == 1 for v in x if v < 2**63) for r, x in zip(rows, lists)}
+    expected = {r[0] for r in rows if 100 * alone[r[0]] <= 20 * len(r[1])}
+    assert 0 < len(expected) < len(rows)
+    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 1 << 12)
+    made = []
+
+    def walk(node):
+        if node.nodeName().startswith("FlatMapGroupsInArrow"):
+            made.append(node.metrics().apply("pythonNumRowsReceived").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        able = ngram_join._linkable(sets, 80)
+        assert {r.sid for r in able.collect()} == expected
+        walk(able._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert made and max(made) <= len(rows)
